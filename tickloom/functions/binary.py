@@ -1,7 +1,7 @@
 """Fields of a binary payload as built-in expressions.
 
-Offsets are zero based. The payload is rendered as hexadecimal text once per row
-(Spark evaluates the shared sub-expression once) and integers are cut out of it.
+Offsets are zero based. Integers are cut out as bytes, which costs nothing, and
+only those few bytes are rendered as hexadecimal text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ WHITE_SPACE = (
 
 def unsigned(payload: Column, offset: int, width: int) -> Column:
     """Big-endian unsigned integer as BIGINT; NULL above 2^63 - 1."""
-    digits = F.substring(F.hex(payload), 2 * offset + 1, 2 * width)
+    digits = F.hex(F.substring(payload, offset + 1, width))
     return F.conv(digits, 16, 10).try_cast("bigint")
 
 

@@ -171,15 +171,11 @@ SELECTS: dict[str, tuple[list[str], str]] = {
             from e_enriched where market_cat = 'Q'""",
     ),
     "write_signal": (["e_obi"], "select * from e_obi"),
-    "summary_csv": (
-        ["l_bars"],
-        """select stock, minute_bucket, market_cat, volume, round(vwap, 6) as vwap,
-             round(avg_price, 6) as avg_price, trade_count from l_bars""",
-    ),
+    "summary_csv": (["l_bars"], "select * from l_bars"),
     "stock_summary_csv": (
         ["e_enriched"],
         """select stock, market_cat, cast(sum(shares) as bigint) as total_volume,
-             round(sum(price_ticks) / count(price_ticks) / 10000.0, 6) as avg_price,
+             sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price,
              count(*) as trade_count
            from e_enriched group by 1, 2""",
     ),

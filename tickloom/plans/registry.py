@@ -139,7 +139,7 @@ def summary_csv(spark, sf_dir):
     """Bar summary written as CSV and read back with its schema."""
     path = scratch_path(spark, "bars")
     sinks.write_summary_csv(tape_views.item_bars(spark, sf_dir), path)
-    return _rounded(tables.scan_summary_csv(spark, path, BAR_SUMMARY), "vwap", "avg_price")
+    return tables.scan_summary_csv(spark, path, BAR_SUMMARY)
 
 
 @query
@@ -147,7 +147,7 @@ def stock_summary_csv(spark, sf_dir):
     path = scratch_path(spark, "stocks")
     enriched = tape_views.enriched(spark, sf_dir)
     sinks.write_summary_csv(bars.stock_summary(enriched), path)
-    return _rounded(tables.scan_summary_csv(spark, path, STOCK_SUMMARY), "avg_price")
+    return tables.scan_summary_csv(spark, path, STOCK_SUMMARY)
 
 
 # --- rows and columns --------------------------------------------------------
@@ -400,7 +400,7 @@ def rolling_volatility(spark, sf_dir):
 def rolling_volatility_l(spark, sf_dir):
     """All stocks of the line-item tape, many trades of one time."""
     spread = signals.rolling_volatility(
-        tape_views.item_trades(spark, sf_dir), 90 * DAY, top=None, slice_ns=60 * DAY
+        tape_views.item_trades(spark, sf_dir), 90 * DAY, top=None, slice_ns=180 * DAY
     )
     return _rounded(
         spread.select("stock", "ts_ns", "shares", "price_ticks", "volatility"), "volatility"

@@ -42,7 +42,7 @@ def messages(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
     )
     order = F.col("msg_type").isin("A", "P")
     ticks = F.when(
-        order, F.round(F.col("value") * measures.TICKS_PER_UNIT).cast("bigint")
+        order, F.rint(F.col("value") * measures.TICKS_PER_UNIT).cast("bigint")
     )
     category = F.substring(F.lit(CATEGORIES), (k % 4 + 1).cast("int"), F.lit(1))
     events = _table(spark, sf_dir, "events")
@@ -92,7 +92,7 @@ def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades: the part is the stock, the unit price the price."""
     shares = F.col("l_quantity").cast("bigint")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     ticks = F.call_function("div", cents * 100, shares)
     return _table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("stock"),
