@@ -119,6 +119,6 @@ def market_impact(
     return (
         last_quote(messages, **options)
         .filter("msg_type = 'P'")
-        .select(*columns, "last_a_price")
         .withColumn("market_impact", impact(F.col("price"), F.col("last_a_price")))
+        .select(*columns, "last_a_price", "market_impact")
     )

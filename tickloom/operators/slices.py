@@ -162,7 +162,8 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, slices: int = 256)
     """
     first = F.col(order[0])
     steps = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(df.approxQuantile(order[0], steps, 1.0 / (4 * slices))))
+    found = df.approxQuantile(order[0], steps, 1.0 / (4 * slices)) if steps else []
+    cuts = sorted(set(found))
     position = F.when(first.isNull(), F.lit(-1)).otherwise(
         _cut_index(first.cast("double"), cuts, 0)
     )
