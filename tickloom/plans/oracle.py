@@ -80,11 +80,11 @@ VIEWS = {
             cast(sum(case when side = 'S' then shares else 0 end) as bigint) as s
           from e_adds group by 1, 2) o""",
     "f_rows": f"""
-        select l.stock, l.timestamp_sec, round(coalesce(o.obi, 0.0), 6) as OBI,
+        select l.stock, l.timestamp_sec, coalesce(o.obi, 0.0) as OBI,
           round(l.sd, 6) as Rolling_Volatility, l.n as Trade_Count_Per_Min,
-          round(l.vwap - l.vwap_prev, 6) as VWAP_Change,
+          l.vwap - l.vwap_prev as VWAP_Change,
           case when l.future > l.price then 1.0::double else 0.0::double end as price_direction,
-          round(coalesce(p.obi, 0.0), 6) as obi_before
+          coalesce(p.obi, 0.0) as obi_before
         from e_lagged l
         left join f_obi o on o.stock = l.stock and o.bar = (l.timestamp_sec // {DAY_S}) * {DAY_S}
         left join f_obi p
@@ -126,6 +126,7 @@ _L_SUMMARY = """
 
 _ENRICHED_COLUMNS = "seq, stock, ts_ns, shares, price_ticks, stock_locate, market_cat"
 
+# The newest bar counts even when its VWAP is NULL (no volume), hence arg_max_null.
 _CHANGE = """
     (arg_max(avg_price, minute_bucket) - arg_min(avg_price, minute_bucket))"""
 _CHANGE_PCT = f"""
@@ -241,14 +242,14 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "asof_last_quote": (
         ["e_trades", "e_adds"],
         """select t.seq, t.stock_locate, t.ts_ns, t.price, a.price as last_a_price,
-             round(t.price - a.price, 6) as market_impact
+             t.price - a.price as market_impact
            from e_trades t asof left join e_adds a
              on t.stock_locate = a.stock_locate and t.ts_ns >= a.ts_ns""",
     ),
     "asof_last_quote_by_side": (
         ["e_trades", "e_adds"],
         """select t.seq, t.side, t.price, a.price as last_a_price,
-             round(t.price - a.price, 6) as market_impact
+             t.price - a.price as market_impact
            from e_trades t asof left join e_adds a
              on t.stock_locate = a.stock_locate and t.side = a.side and t.ts_ns >= a.ts_ns""",
     ),
@@ -348,7 +349,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "vwap_change": (
         ["e_lagged"],
         """select seq, vwap as VWAP, vwap_prev as VWAP_prev,
-             round(vwap - vwap_prev, 6) as VWAP_Change from e_lagged""",
+             vwap - vwap_prev as VWAP_Change from e_lagged""",
     ),
     "future_max_label": (
         ["e_stats"],
@@ -358,8 +359,8 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     ),
     "bar_pct_change": (
         ["e_bars"],
-        """select stock, minute_bucket, avg_price, round(avg_price / nullif(lag(avg_price) over (
-               partition by stock order by minute_bucket), 0) - 1, 6) as pct_change from e_bars""",
+        """select stock, minute_bucket, avg_price, avg_price / nullif(lag(avg_price) over (
+               partition by stock order by minute_bucket), 0) - 1 as pct_change from e_bars""",
     ),
     "tick_direction": (
         ["e_bars"],
@@ -371,7 +372,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         ["e_bars"],
         f"""select stock, arg_min(avg_price, minute_bucket) as first_price,
               arg_max(avg_price, minute_bucket) as last_price,
-              round({_CHANGE}, 6) as price_change, round({_CHANGE_PCT}, 6) as price_change_pct,
+              {_CHANGE} as price_change, {_CHANGE_PCT} as price_change_pct,
               case when {_CHANGE_PCT} >= 0 then '▲' else '▼' end as direction
             from e_bars group by 1""",
     ),
@@ -425,10 +426,10 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "key_metrics": (
         ["e_bars"],
         f"""select stock, arg_max(avg_price, minute_bucket) as last_price,
-              arg_max(vwap, minute_bucket) as last_vwap,
+              arg_max_null(vwap, minute_bucket) as last_vwap,
               cast(sum(volume) as bigint) as total_volume,
               cast(sum(trade_count) as bigint) as trade_count,
-              round({_CHANGE}, 6) as price_change, round({_CHANGE_PCT}, 6) as price_change_pct
+              {_CHANGE} as price_change, {_CHANGE_PCT} as price_change_pct
             from e_bars group by 1""",
     ),
     "key_metric_labels": (
@@ -439,7 +440,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
               format('{{:,}}', v) as total_volume, printf('$%.2f', w) as vwap,
               format('{{:,}}', n) as trade_count
             from (select stock, arg_max(avg_price, minute_bucket) as p,
-                arg_max(vwap, minute_bucket) as w, cast(sum(volume) as bigint) as v,
+                arg_max_null(vwap, minute_bucket) as w, cast(sum(volume) as bigint) as v,
                 cast(sum(trade_count) as bigint) as n, {_CHANGE_PCT} as c
               from e_bars group by 1) m""",
     ),

@@ -255,22 +255,15 @@ def attach_obi(spark, sf_dir):
 @query
 def asof_last_quote(spark, sf_dir):
     tape = tape_views.messages(spark, sf_dir, "purchase", "view", "click")
-    return _rounded(
-        joins.market_impact(
-            tape, ("seq", "stock_locate", "ts_ns", "price"), slice_ns=QUARTER_DAY
-        ),
-        "market_impact",
-    )
+    columns = ("seq", "stock_locate", "ts_ns", "price")
+    return joins.market_impact(tape, columns, slice_ns=QUARTER_DAY)
 
 
 @query
 def asof_last_quote_by_side(spark, sf_dir):
     tape = tape_views.messages(spark, sf_dir, "purchase", "view", "click")
-    return _rounded(
-        joins.market_impact(
-            tape, ("seq", "side", "price"), slice_ns=QUARTER_DAY, by_side=True
-        ),
-        "market_impact",
+    return joins.market_impact(
+        tape, ("seq", "side", "price"), slice_ns=QUARTER_DAY, by_side=True
     )
 
 
@@ -424,7 +417,7 @@ def rolling_count_vwap(spark, sf_dir):
 @query
 def vwap_change(spark, sf_dir):
     stats = signals.rolling_trade_stats(tape_views.trades(spark, sf_dir), DAY_S, DAY_S)
-    return _rounded(stats.select("seq", "VWAP", "VWAP_prev", "VWAP_Change"), "VWAP_Change")
+    return stats.select("seq", "VWAP", "VWAP_prev", "VWAP_Change")
 
 
 @query
@@ -436,9 +429,7 @@ def future_max_label(spark, sf_dir):
 @query
 def bar_pct_change(spark, sf_dir):
     changes = reports.bar_pct_change(tape_views.day_bars(spark, sf_dir))
-    return _rounded(
-        changes.select("stock", "minute_bucket", "avg_price", "pct_change"), "pct_change"
-    )
+    return changes.select("stock", "minute_bucket", "avg_price", "pct_change")
 
 
 @query
@@ -449,11 +440,7 @@ def tick_direction(spark, sf_dir):
 
 @query
 def session_change(spark, sf_dir):
-    return _rounded(
-        reports.session_change(tape_views.day_bars(spark, sf_dir)),
-        "price_change",
-        "price_change_pct",
-    )
+    return reports.session_change(tape_views.day_bars(spark, sf_dir))
 
 
 @query
@@ -494,9 +481,7 @@ def session_phase(spark, sf_dir):
 
 @query
 def key_metrics(spark, sf_dir):
-    return _rounded(
-        reports.key_metrics(tape_views.day_bars(spark, sf_dir)), "price_change", "price_change_pct"
-    )
+    return reports.key_metrics(tape_views.day_bars(spark, sf_dir))
 
 
 @query
@@ -610,20 +595,13 @@ def _test_features(spark, sf_dir, **options):
 
 @query
 def build_features(spark, sf_dir):
-    return _rounded(
-        _test_features(spark, sf_dir, top=50), "OBI", "Rolling_Volatility", "VWAP_Change"
-    )
+    return _rounded(_test_features(spark, sf_dir, top=50), "Rolling_Volatility")
 
 
 @query
 def build_features_lagged(spark, sf_dir):
     """The imbalance of the bar before, free of look-ahead."""
-    return _rounded(
-        _test_features(spark, sf_dir, top=50, obi_lag=1),
-        "OBI",
-        "Rolling_Volatility",
-        "VWAP_Change",
-    )
+    return _rounded(_test_features(spark, sf_dir, top=50, obi_lag=1), "Rolling_Volatility")
 
 
 @query
