@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import measures
@@ -23,15 +23,30 @@ from tickloom.operators import rows
 from tickloom.operators.joins import join_dimension
 
 
-def _sums(trades: DataFrame, by: Sequence[str]) -> DataFrame:
+def trade_sums() -> list[Column]:
+    """The exact sums all trade summaries are made of."""
     ticks, shares = F.col("price_ticks"), F.col("shares")
-    return trades.groupBy(*by).agg(
+    return [
         F.sum(shares).alias("shares_sum"),
         F.sum(measures.notional(ticks, shares)).alias("notional_sum"),
         F.sum(ticks).alias("ticks_sum"),
         F.count(ticks).alias("priced"),
         F.count(F.lit(1)).alias("n"),
-    )
+    ]
+
+
+def candle_columns() -> list[Column]:
+    """Low, high, open, close, VWAP and volume; open and close by (time, place in file)."""
+    ticks, shares = F.col("price_ticks"), F.col("shares")
+    when = measures.order_key(F.col("ts_ns"), F.col("seq"))
+    return [
+        measures.price(F.min(ticks)).alias("low"),
+        measures.price(F.max(ticks)).alias("high"),
+        measures.price(F.min_by(ticks, when)).alias("open"),
+        measures.price(F.max_by(ticks, when)).alias("close"),
+        measures.vwap(F.sum(measures.notional(ticks, shares)), F.sum(shares)).alias("vwap"),
+        F.sum(shares).alias("volume"),
+    ]
 
 
 def _by_category(
@@ -42,28 +57,40 @@ def _by_category(
     Without a directory the trades are already enriched and count once.
     """
     if directory is None:
-        return _sums(trades, [*by, "market_cat"]).withColumn("repeats", F.lit(1))
+        return trades.groupBy(*by, "market_cat").agg(*trade_sums()).withColumn("repeats", F.lit(1))
     repeats = directory.groupBy("stock", "market_cat").agg(F.count(F.lit(1)).alias("repeats"))
-    return join_dimension(_sums(trades, by), repeats, "stock", salt_from=by)
+    return join_dimension(
+        trades.groupBy(*by).agg(*trade_sums()), repeats, "stock", salt_from=by
+    )
 
 
 # Repeats cancel out of every quotient, so only totals carry them.
-def _volume():
+def _volume() -> Column:
     return F.col("shares_sum") * F.col("repeats")
 
 
-def _count():
+def _count() -> Column:
     return F.col("n") * F.col("repeats")
 
 
-def _vwap():
+def _vwap() -> Column:
     return measures.vwap(F.col("notional_sum"), F.col("shares_sum"))
 
 
-def _mean():
+def _mean() -> Column:
     return measures.mean_price(F.col("ticks_sum"), F.col("priced"))
 
 
+def bar_columns() -> list[Column]:
+    """Measures of a bar from `trade_sums` and `repeats`."""
+    return [
+        _volume().alias("volume"),
+        _vwap().alias("vwap"),
+        _mean().alias("avg_price"),
+        _count().alias("trade_count"),
+    ]
+
+
 def vwap_by_stock(trades: DataFrame, directory: DataFrame | None = None) -> DataFrame:
     """Volume-weighted price and volume per (stock, category), largest volume first."""
     return (
@@ -87,10 +114,7 @@ def minute_bars(
         "stock",
         "minute_bucket",
         "market_cat",
-        _volume().alias("volume"),
-        _vwap().alias("vwap"),
-        _mean().alias("avg_price"),
-        _count().alias("trade_count"),
+        *bar_columns(),
     )
     return bars.orderBy("stock", "minute_bucket", "market_cat") if ordered else bars
 
@@ -119,19 +143,10 @@ def ohlc_candles(
 
     Open and close follow (time, place in file), not the order of the scan.
     """
-    ticks, shares = F.col("price_ticks"), F.col("shares")
-    when = measures.order_key(F.col("ts_ns"), F.col("seq"))
     return (
         rows.with_bucket(trades, bar_ns, mode)
         .groupBy("stock", "minute_bucket")
-        .agg(
-            measures.price(F.min(ticks)).alias("low"),
-            measures.price(F.max(ticks)).alias("high"),
-            measures.price(F.min_by(ticks, when)).alias("open"),
-            measures.price(F.max_by(ticks, when)).alias("close"),
-            measures.vwap(F.sum(measures.notional(ticks, shares)), F.sum(shares)).alias("vwap"),
-            F.sum(shares).alias("volume"),
-        )
+        .agg(*candle_columns())
     )
 
 

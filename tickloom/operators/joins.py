@@ -79,8 +79,12 @@ def attach_imbalance(
 
 
 def keep_top(df: DataFrame, top: DataFrame, on: str = "stock") -> DataFrame:
-    """Rows whose key is in a top-k result, which has at most k rows by its limit."""
-    return df.join(F.broadcast(top.select(on)), on, "left_semi")
+    """Rows whose key is in a top-k result.
+
+    The limit bounds the size Spark estimates for it: a usual k is broadcast
+    without a hint, a huge one is not.
+    """
+    return df.join(top.select(on), on, "left_semi")
 
 
 def last_quote(

@@ -20,8 +20,13 @@ FEATURE_WINDOW_S = 60
 LABEL_HORIZON_S = 30
 
 
-def _side_volume(side: str) -> Column:
-    return F.sum(F.when(F.col("side") == side, F.col("shares")).otherwise(F.lit(0)))
+def side_volumes() -> list[Column]:
+    """Added buy and sell volume; other sides count for neither."""
+
+    def volume(side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("shares")).otherwise(F.lit(0)))
+
+    return [volume("B").alias("Buy_Vol"), volume("S").alias("Sell_Vol")]
 
 
 def order_book_imbalance(adds: DataFrame, bar_ns: int = times.MINUTE_NS) -> DataFrame:
@@ -29,7 +34,7 @@ def order_book_imbalance(adds: DataFrame, bar_ns: int = times.MINUTE_NS) -> Data
     return (
         rows.with_bucket(adds, bar_ns)
         .groupBy("stock", "minute_bucket")
-        .agg(_side_volume("B").alias("Buy_Vol"), _side_volume("S").alias("Sell_Vol"))
+        .agg(*side_volumes())
         .withColumn("OBI", measures.imbalance(F.col("Buy_Vol"), F.col("Sell_Vol")))
     )
 
@@ -40,7 +45,7 @@ def order_book_imbalance_eps(adds: DataFrame, bar_s: int = 60, eps: float = 1e-9
     return (
         adds.withColumn("minute_bucket", start)
         .groupBy("stock", "minute_bucket")
-        .agg(_side_volume("B").alias("Buy_Vol"), _side_volume("S").alias("Sell_Vol"))
+        .agg(*side_volumes())
         .withColumn("OBI", measures.imbalance_eps(F.col("Buy_Vol"), F.col("Sell_Vol"), eps))
     )
 

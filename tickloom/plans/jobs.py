@@ -18,6 +18,7 @@ from tickloom.schema import (
     ORDER_BOOK_IMBALANCE,
     STOCK_SUMMARY,
 )
+from tickloom.session import materialise
 from tickloom.sources import frames, messages, sinks, tables
 
 # Names of the tables below the data folder.
@@ -51,9 +52,12 @@ def load_summaries(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataF
 def land(spark: SparkSession, feed: str, data_dir: str) -> None:
     """Binary files to landed messages and enriched trades."""
     decoded = messages.decode_messages(frames.read_frames(spark, feed))
-    sinks.write_partitioned(
-        decoded.withColumn("hour", hour_of_day(F.col("ts_ns"))), f"{data_dir}/{MESSAGES}"
+    # The range shuffle of the sink samples its input first. Without this table
+    # every file would be read, split and decoded twice.
+    decoded = materialise(
+        decoded.withColumn("hour", hour_of_day(F.col("ts_ns"))), "messages"
     )
+    sinks.write_partitioned(decoded, f"{data_dir}/{MESSAGES}")
     landed = load_messages(spark, data_dir)
     enriched = joins.enrich_trades(
         rows.trades(landed).drop("side"), rows.directory(landed)

@@ -141,6 +141,12 @@ _MIN_BARS = f"""
       sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price, count(*) as trade_count
     from e_enriched group by 1, 2, 3"""
 
+# A stream emits a bar once it ended an hour before the newest row.
+def _finished(view: str) -> str:
+    return f"""(minute_bucket + 1) * {DAY} <=
+      (select max(ts_ns) from {view}) - 3600000000000"""
+
+
 # name: (views read directly, select)
 SELECTS: dict[str, tuple[list[str], str]] = {
     "decode_messages": (["e_msgs"], f"select seq, {_DECODED} from e_msgs where msg_type <> 'X'"),
@@ -511,6 +517,20 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         """select stock, minute_bucket, case when OBI > 0 then concat('+', printf('%.4f', OBI))
              when OBI is not null then printf('%.4f', OBI) end as label from e_obi""",
     ),
+    "stream_land": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
+    "stream_minute_bars": (
+        ["e_enriched"],
+        f"select * from ({_MIN_BARS}) b where {_finished('e_enriched')}",
+    ),
+    "stream_order_book_imbalance": (
+        ["e_obi", "e_adds"],
+        f"select * from e_obi where {_finished('e_adds')}",
+    ),
+    "stream_candles": (
+        ["e_trades"],
+        f"""select * from (select stock, ts_ns // {DAY} as minute_bucket, {_OPEN_CLOSE}
+              from e_trades group by 1, 2) c where {_finished('e_trades')}""",
+    ),
     "q_tickers": (["l_trades"], "select distinct stock from l_trades order by stock"),
     "q_summary": (
         ["e_enriched"],

@@ -17,10 +17,12 @@ from tickloom.plans import features, model, queries, tape_views
 from tickloom.session import materialise, scratch_path
 from tickloom.sources import frames as frame_source
 from tickloom.sources import messages, sinks, tables
+from tickloom.streaming import live
 from tickloom.schema import (
     BAR_SUMMARY,
     ENRICHED_TRADES,
     LANDED_MESSAGES,
+    MESSAGES,
     STOCK_SUMMARY,
 )
 
@@ -551,6 +553,51 @@ def signed_obi(spark, sf_dir):
     return obi.select("stock", "minute_bucket", display.signed(F.col("OBI")).alias("label"))
 
 
+# --- streams -----------------------------------------------------------------
+
+
+def _message_stream(spark, sf_dir):
+    path = scratch_path(spark, "tape")
+    sinks.write_signal(tape_views.messages(spark, sf_dir).select(*MESSAGES.names), path)
+    return spark.readStream.schema(MESSAGES).parquet(path)
+
+
+def _finished(spark, stream):
+    path = scratch_path(spark, "bars")
+    live.write_bars(stream, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return tables.scan_parquet(spark, path, stream.schema)
+
+
+@query
+def stream_land(spark, sf_dir):
+    """Feed files of the whole tape landed by a stream."""
+    feed, path = scratch_path(spark, "feed"), scratch_path(spark, "messages")
+    tape_views.write_feed(tape_views.frames(spark, sf_dir), feed)
+    live.land(
+        live.read_feed(spark, feed), path, scratch_path(spark, "checkpoint")
+    ).awaitTermination()
+    return tables.scan_parquet(spark, path, LANDED_MESSAGES).select(*_MESSAGE_COLUMNS[1:])
+
+
+@query
+def stream_minute_bars(spark, sf_dir):
+    trades = rows.trades(_message_stream(spark, sf_dir))
+    enriched = joins.enrich_trades(trades, tape_views.directory(spark, sf_dir))
+    return _finished(spark, live.minute_bars(enriched, DAY, "1 hour"))
+
+
+@query
+def stream_order_book_imbalance(spark, sf_dir):
+    adds = rows.add_orders(_message_stream(spark, sf_dir))
+    return _finished(spark, live.order_book_imbalance(adds, DAY, "1 hour"))
+
+
+@query
+def stream_candles(spark, sf_dir):
+    trades = rows.trades(_message_stream(spark, sf_dir))
+    return _finished(spark, live.ohlc_candles(trades, DAY, "1 hour"))
+
+
 # --- read queries ------------------------------------------------------------
 
 

@@ -60,14 +60,18 @@ def read_frames(
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     )
     # The filter on length reaches the source, so larger files are not opened.
-    small = files.filter(F.col("length") <= whole_file_bytes).select("path", "content")
-    frames = small.mapInArrow(_split_files, FRAMES)
+    frames = split_files(files.filter(F.col("length") <= whole_file_bytes))
     large = files.filter(F.col("length") > whole_file_bytes).select("path", "length")
     if large.isEmpty():
         return frames
     return frames.unionByName(_read_ranges(large, max(range_bytes, SMALLEST_RANGE)))
 
 
+def split_files(files: DataFrame) -> DataFrame:
+    """Frames of whole files given as (path, content)."""
+    return files.select("path", "content").mapInArrow(_split_files, FRAMES)
+
+
 def prefix_sample(
     frames: DataFrame, budget: int, slice_width: int = RANGE_BYTES, by_offset: bool = False
 ) -> DataFrame:
