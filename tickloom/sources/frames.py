@@ -38,7 +38,7 @@ WHOLE_FILE_BYTES = 128 * 1024 * 1024
 RANGE_BYTES = 16 * 1024 * 1024
 RANGES_PER_TASK = 4
 FAN = 64  # tables chained in one group: 64 x 256 KiB
-BATCH = 50_000
+BATCH = 30_000  # frames of at most 65,535 bytes: below 2 GiB, the limit of a batch
 
 _ARROW_FRAMES = pa.schema(
     [("path", pa.string()), ("seq", pa.int64()), ("payload", pa.binary())]
@@ -87,37 +87,39 @@ def prefix_sample(
     return summed.filter(F.col("__bytes") <= budget).drop("__bytes")
 
 
-def _walk(data: bytes, stop: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of the complete frames that start before `stop`."""
-    at, size = 0, len(data)
+def _starts(data: bytes, stop: int) -> array:
+    """Starts of the complete frames that begin before `stop`, then where the last ends."""
+    at, size, starts = 0, len(data), array("q")
     while at < stop and at + PREFIX <= size:
         end = at + PREFIX + (data[at] << 8 | data[at + 1])
         if end > size:
-            return
-        yield at, end
+            break
+        starts.append(at)
         at = end
+    starts.append(at)
+    return starts
 
 
 def _frame_batches(
     path: str, data: bytes, base: int, stop: int
 ) -> Iterator[pa.RecordBatch]:
-    starts: list[int] = []
-    payloads: list[bytes] = []
-    for start, end in _walk(data, stop):
-        starts.append(base + start)
-        payloads.append(data[start + PREFIX : end])
-        if len(starts) == BATCH:
-            yield _batch(path, starts, payloads)
-            starts, payloads = [], []
-    if starts:
-        yield _batch(path, starts, payloads)
-
-
-def _batch(path: str, starts: list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    columns = [pa.array([path] * len(starts)), pa.array(starts), pa.array(payloads)]
-    return pa.RecordBatch.from_arrays(
-        [c.cast(f.type) for c, f in zip(columns, _ARROW_FRAMES)], schema=_ARROW_FRAMES
-    )
+    """Only the walk over the prefixes is a loop; payloads are cut out all at once."""
+    borders = np.frombuffer(_starts(data, stop), dtype=np.int64)
+    content = np.frombuffer(data, dtype=np.uint8)
+    for first in range(0, len(borders) - 1, BATCH):
+        part = borders[first : first + BATCH + 1]
+        starts = part[:-1]
+        piece, inside = content[part[0] : part[-1]], starts - part[0]
+        keep = np.ones(len(piece), dtype=bool)
+        keep[inside] = keep[inside + 1] = False
+        ends = np.concatenate(([0], np.cumsum(np.diff(part) - PREFIX))).astype(np.int32)
+        payloads = pa.BinaryArray.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(piece[keep])]
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(path, len(starts)), pa.array(starts + base), payloads],
+            schema=_ARROW_FRAMES,
+        )
 
 
 def _split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ def decode_messages(frames: DataFrame) -> DataFrame:
     return frames.filter(_accepted(p)).select(
         "path",
         "seq",
-        binary.char(p, 0).alias("msg_type"),
+        F.when(directory, "R").when(add, "A").otherwise("P").alias("msg_type"),
         binary.unsigned(p, *LOCATE).cast("int").alias("stock_locate"),
         binary.unsigned(p, *TIMESTAMP).alias("ts_ns"),
         stock.alias("stock"),
