@@ -70,14 +70,26 @@ def test_last_known_equals_plain_window(spark):
     assert column(plain, "i", "last") == column(sliced, "i", "last")
 
 
-@pytest.mark.parametrize("slices", [1, 2, 50])
-def test_numbered(spark, slices):
-    rng = random.Random(slices)
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbered(spark, coalesce):
+    rng = random.Random(6)
     points = [(rng.choice([None, *range(40)]), i) for i in range(600)]
     table = spark.createDataFrame(points, "t bigint, i bigint").repartition(5)
     ordered = sorted(points, key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
     wanted = {i: n for n, (_, i) in enumerate(ordered)}
-    assert column(numbered(table, ["t", "i"], "n", slices), "i", "n") == wanted
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(setting, coalesce)
+        assert column(numbered(table, ["t", "i"], "n"), "i", "n") == wanted
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_numbered_by_text(spark):
+    points = [(f"{i % 7}", i) for i in range(50)]
+    table = spark.createDataFrame(points, "t string, i bigint")
+    wanted = {i: n for n, (_, i) in enumerate(sorted(points))}
+    assert column(numbered(table, ["t", "i"], "n"), "i", "n") == wanted
 
 
 def test_numbered_empty(spark):

@@ -1,4 +1,4 @@
-"""`spark-submit -m tickloom` entry: land, signals, train, or all three."""
+"""Command line of the batch jobs: land, signals, train, or all three."""
 
 from __future__ import annotations
 

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.measures import order_key
 from tickloom.functions.times import slice_start
+from tickloom.session import materialise
 
 _SLICE, _AT, _SIGN = "__slice", "__at", "__sign"
 
@@ -142,43 +143,33 @@ def last_known(
     )
 
 
-def _cut_index(value: Column, cuts: Sequence[float], base: int) -> Column:
-    """How many of the sorted `cuts` lie below `value`, by halving."""
-    if not cuts:
-        return F.lit(base)
-    middle = len(cuts) // 2
-    return F.when(
-        value > cuts[middle], _cut_index(value, cuts[middle + 1 :], base + middle + 1)
-    ).otherwise(_cut_index(value, cuts[:middle], base))
-
-
-def numbered(df: DataFrame, order: Sequence[str], name: str, slices: int = 256) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add the row number 0..n-1 over the whole table in the given order.
 
-    The first order column must be numeric. Its quantiles (a bounded handful of
-    numbers) cut the table into slices; the number is the count of rows in the
-    earlier slices plus the place inside the slice. Slices depend on values
-    only, so a re-run task gives the same numbers.
+    Rows are range-partitioned and sorted, so a row's number is the count of rows
+    in earlier partitions plus its place in its own. The sorted rows are written
+    once with both parts in one id; nothing is computed again after that, so a
+    lost executor cannot move a row to another partition.
     """
-    first = F.col(order[0])
-    steps = [i / slices for i in range(1, slices)]
-    found = df.approxQuantile(order[0], steps, 1.0 / (4 * slices)) if steps else []
-    cuts = sorted(set(found))
-    position = F.when(first.isNull(), F.lit(-1)).otherwise(
-        _cut_index(first.cast("double"), cuts, 0)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id holds the partition above bit 33 and the place in it below.
+    table = materialise(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    rows = table.withColumns(
+        {
+            "__part": F.shiftright("__id", 33),
+            "__place": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)),
+        }
     )
-    rows = df.withColumn(_SLICE, position)
-    before = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # At most `slices` + 1 rows from here, whatever the size of the table.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition, whatever the size of the table.
     starts = (
-        rows.groupBy(_SLICE)
+        rows.groupBy("__part")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(_SLICE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
-    inside = Window.partitionBy(_SLICE).orderBy(*[F.col(c) for c in order])
     return (
-        rows.join(F.broadcast(starts), _SLICE)
-        .withColumn(name, F.col("__start") + F.row_number().over(inside) - F.lit(1))
+        rows.join(F.broadcast(starts), "__part")
+        .withColumn(name, F.col("__start") + F.col("__place"))
         .select(*df.columns, name)
     )
 
