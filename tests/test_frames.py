@@ -89,6 +89,16 @@ def test_mixed_sizes_and_odd_range(spark, folder):
     assert _read(spark, path, whole_file_bytes=100_000, range_bytes=77_777) == wanted
 
 
+def test_names_and_folders(spark, tmp_path):
+    data = _tape(random.Random(2), 200_000)
+    for name in ("with space.bin", "per%20cent.bin", "plus+and&.bin", "ü.bin"):
+        (tmp_path / "in" / "deep er").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "deep er" / name).write_bytes(data)
+    whole = _read(spark, tmp_path)
+    assert len(whole) == 4 and all(v == _plain(data) for v in whole.values())
+    assert _read(spark, tmp_path, whole_file_bytes=0, range_bytes=70_000) == whole
+
+
 def test_written_feed_reads_back(spark, tmp_path):
     rng = random.Random(5)
     rows = [("f", i, bytearray(rng.randbytes(rng.randrange(60)))) for i in range(500)]

@@ -27,10 +27,19 @@ def char(payload: Column, offset: int) -> Column:
     return F.decode(F.substring(payload, offset + 1, 1), "ISO-8859-1")
 
 
+def is_text(payload: Column, offset: int, width: int) -> Column:
+    """Whether the bytes are valid UTF-8."""
+    return F.is_valid_utf8(F.substring(payload, offset + 1, width).cast("string"))
+
+
 def text(payload: Column, offset: int, width: int) -> Column:
-    """UTF-8 text without surrounding white space; NULL when it is not valid UTF-8."""
-    raw = F.substring(payload, offset + 1, width).cast("string")
-    return F.regexp_replace(F.try_validate_utf8(raw), f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+    """UTF-8 text without surrounding white space; for bytes that pass `is_text`.
+
+    Names are blank-padded ASCII almost always; only others pay for the pattern.
+    """
+    trimmed = F.trim(F.substring(payload, offset + 1, width).cast("string"))
+    stripped = F.regexp_replace(trimmed, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+    return F.when(trimmed.rlike("[^!-~]"), stripped).otherwise(trimmed)
 
 
 def field(value: Column, width: int) -> Column:

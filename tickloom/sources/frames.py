@@ -37,6 +37,7 @@ SMALLEST_RANGE = ENTRIES
 WHOLE_FILE_BYTES = 128 * 1024 * 1024
 RANGE_BYTES = 16 * 1024 * 1024
 RANGES_PER_TASK = 4
+MOST_TASKS = 50_000  # beyond it a task takes more ranges, one after the other
 FAN = 64  # tables chained in one group: 64 x 256 KiB
 BATCH = 30_000  # frames of at most 65,535 bytes: below 2 GiB, the limit of a batch
 
@@ -225,7 +226,7 @@ def _read_ranges(files: DataFrame, width: int) -> DataFrame:
     )
     extent = files.agg(F.sum("length").alias("bytes"), F.max("length").alias("longest"))
     total, longest = extent.first()
-    tasks = max(1, total // (width * RANGES_PER_TASK))
+    tasks = min(max(1, total // (width * RANGES_PER_TASK)), MOST_TASKS)
     ranges = ranges.repartition(tasks, "path", "no")
 
     table_schema = "path string, no bigint, exits binary"

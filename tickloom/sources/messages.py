@@ -28,18 +28,14 @@ def _is_type(payload: Column, *kinds: str) -> Column:
     return first.isin(*[bytearray(kind, "ascii") for kind in kinds])
 
 
-def _valid_text(payload: Column, offset: int, width: int) -> Column:
-    return F.is_valid_utf8(F.substring(payload, offset + 1, width).cast("string"))
-
-
 def _accepted(payload: Column) -> Column:
     size = F.octet_length(payload)
     directory = (
         _is_type(payload, "R")
         & (size >= DIRECTORY_LENGTH)
-        & _valid_text(payload, *DIRECTORY_STOCK)
+        & binary.is_text(payload, *DIRECTORY_STOCK)
     )
-    order = _is_type(payload, "A", "P") & (size >= ORDER_LENGTH) & _valid_text(payload, *STOCK)
+    order = _is_type(payload, "A", "P") & (size >= ORDER_LENGTH) & binary.is_text(payload, *STOCK)
     return directory | order
 
 
