@@ -18,6 +18,7 @@ SETTINGS = {
 
 
 LOCAL_SCRATCH = "tickloom.scratch.dir"
+_KEPT: list[tempfile.TemporaryDirectory] = []
 
 
 def build_session(app: str = "tickloom", **conf: str) -> SparkSession:
@@ -31,18 +32,23 @@ def build_session(app: str = "tickloom", **conf: str) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    A local session without the setting gets a temporary folder. On a cluster a
-    missing setting is an error, as a machine-local folder would be lost with
-    its machine.
+    A local session without the setting gets a temporary folder that goes away
+    with the process. On a cluster a missing setting is an error, as a
+    machine-local folder would be lost with its machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_SCRATCH, None)
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get(LOCAL_SCRATCH, None)
+    )
     if root:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="tickloom-")
-    spark.conf.set(LOCAL_SCRATCH, root)
-    return root
+    folder = tempfile.TemporaryDirectory(prefix="tickloom-", ignore_cleanup_errors=True)
+    _KEPT.append(folder)
+    spark.conf.set(LOCAL_SCRATCH, folder.name)
+    return folder.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
