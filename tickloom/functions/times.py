@@ -10,6 +10,9 @@ MINUTE_NS = 60 * SECOND_NS
 HOUR_NS = 60 * MINUTE_NS
 DAY_NS = 24 * HOUR_NS
 
+# Default slice of windows over hot stocks: some thousand slices a day.
+SLICE_NS = 10 * SECOND_NS
+
 
 def whole(numerator: Column, divisor: int) -> Column:
     """Integer division; never passes through a double."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.times import SECOND_NS
+from tickloom.functions.times import SLICE_NS
 from tickloom.operators.slices import last_known
 
 # A directory row is about 100 bytes in memory, so this is some tens of megabytes.
@@ -90,7 +90,7 @@ def keep_top(df: DataFrame, top: DataFrame, on: str = "stock") -> DataFrame:
 def last_quote(
     messages: DataFrame,
     keys: Sequence[str] = ("stock_locate",),
-    slice_ns: int = SECOND_NS,
+    slice_ns: int = SLICE_NS,
     by_side: bool = False,
 ) -> DataFrame:
     """Add `last_a_price`: the newest add-order price up to each A or P row.

@@ -55,7 +55,7 @@ def rolling_volatility(
     window_ns: int = VOLATILITY_WINDOW_NS,
     top: int | None = 10,
     keys: Sequence[str] = ("stock",),
-    slice_ns: int = times.SECOND_NS,
+    slice_ns: int = times.SLICE_NS,
 ) -> DataFrame:
     """Sample stddev of price over [ts - window, ts] for the stocks of largest volume.
 
