@@ -71,7 +71,7 @@ def test_text_is_stripped_like_python(spark):
     ]
 
 
-def test_large_reference_and_latin_category(spark):
+def test_large_order_ref_and_latin_category(spark):
     _, got = _decoded(
         spark,
         order("A", 1, 1, 2**63, "B", 1, b"X", 1),

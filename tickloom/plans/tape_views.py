@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import binary, measures, times
 from tickloom.operators import bars, joins, rows
+from tickloom.session import ship_package
 from tickloom.sources.frames import open_file
 
 # Market categories by remainder of the event's number.
@@ -172,6 +173,7 @@ def write_feed(frames: DataFrame, path: str) -> int:
                     written += 1
         yield pa.RecordBatch.from_pydict({"frames": pa.array([written], pa.int64())})
 
+    ship_package(frames.sparkSession)
     ordered = frames.repartitionByRange("path", "seq").sortWithinPartitions("path", "seq")
     done = ordered.select("payload").mapInArrow(write, "frames bigint")
     return done.agg(F.sum("frames")).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ SETTINGS = {
 
 LOCAL_SCRATCH = "tickloom.scratch.dir"
 _KEPT: list[tempfile.TemporaryDirectory] = []
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "tickloom", **conf: str) -> SparkSession:
@@ -29,6 +32,24 @@ def build_session(app: str = "tickloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Needed before a Python stage when the package is neither installed on the
+    executors nor submitted with `--py-files`.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _SHIPPED or not os.path.isdir(package):
+        return
+    folder = tempfile.TemporaryDirectory(prefix="tickloom-", ignore_cleanup_errors=True)
+    _KEPT.append(folder)
+    parent, name = os.path.split(package)
+    archive = shutil.make_archive(os.path.join(folder.name, name), "zip", parent, name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.slices import running_total
 from tickloom.schema import FRAMES
-from tickloom.session import materialise
+from tickloom.session import materialise, ship_package
 
 PREFIX = 2
 ENTRIES = PREFIX + 65_535  # possible entry points of a range: 0 .. 65,536
@@ -70,6 +70,7 @@ def read_frames(
 
 def split_files(files: DataFrame) -> DataFrame:
     """Frames of whole files given as (path, content)."""
+    ship_package(files.sparkSession)
     return files.select("path", "content").mapInArrow(_split_files, FRAMES)
 
 
@@ -214,6 +215,7 @@ def _split_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _read_ranges(files: DataFrame, width: int) -> DataFrame:
+    ship_package(files.sparkSession)
     ranges = files.select(
         "path",
         "length",
