@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from oracle_check import connect, difference
+from tickloom.plans import oracle, registry
 
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, SQL = registry.REGISTRY, oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
