@@ -6,11 +6,11 @@ hashing. Documents that share a band are candidates; every link is confirmed on
 the full shingle sets.
 
 Work on copies: equal sets fall into one class by a 64-bit digest. In a bucket
-the members are first compared with its smallest member only. What is still in
-different components of one bucket afterwards is compared in full, so a group of
-near copies costs about one comparison per member and bucket, yet no link
-between candidates is lost: two members of one bucket end up connected or were
-compared directly.
+the members are first compared with its smallest member only. Documents that
+still share a bucket with another component afterwards go through an exact
+similarity join with prefix filtering, in which loosely edited copies of one
+text, similar but not enough, do not meet. No link between candidates is lost:
+two members of one bucket are connected already or are found by the join.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from tickloom.llm import common
 SEED = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE_WORDS = 5
 BANDS, BAND_VALUES = 28, 5
+CLASSES = 128
 
 
 def shingles(text: bytes, hashes: common.WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -98,6 +99,11 @@ def _signatures(bands: int, values: int, width: int):
     return run
 
 
+def spread(found: np.ndarray) -> np.ndarray:
+    """Number of shingles in each of `CLASSES` hash classes; two sets share at most the sum of the smaller ones."""
+    return np.bincount((found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32)
+
+
 def _sets(width: int):
     """Whole shingle sets, as bytes, of the texts that have a candidate."""
 
@@ -111,8 +117,9 @@ def _sets(width: int):
                     batch.column(0),
                     pa.array([node_of(x) for x in found], pa.int64()),
                     pa.array([x.tobytes() for x in found], pa.binary()),
+                    common.lists(np.stack([spread(x) for x in found]) if found else np.empty((0, CLASSES), np.int32)),
                 ],
-                names=["id", "node", "set"],
+                names=["id", "node", "set", "spread"],
             )
 
     return run
@@ -140,6 +147,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(rows), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))],
+            names=["node", "shingle"],
+        )
+
+
+def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, part, spread, left): the rarest shingles of every node of `nodes(node, n, part)`.
+
+    With all sets in one order, two sets of the wanted similarity share a shingle
+    among the first n - ceil(percent * n / 100) + 1 of each. The order is by the
+    number of nodes that hold a shingle, so what many near copies have in common
+    comes last. `left` counts the set's shingles from this one on.
+    """
+    rows = sets.join(nodes.select("node"), "node", "left_semi").select("node", "set")
+    rows = rows.mapInArrow(_exploded, "node bigint, shingle bigint")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    # A shingle of one node alone comes first and finds no partner: only its number matters.
+    common_ones = rows.join(held, "shingle").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("ordered")
+    )
+    taken = common_ones.join(nodes, "node").withColumn("alone", F.col("n") - F.size("ordered")).withColumn(
+        "prefix", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
+    )
+    # The smallest partner has ceil(percent * n / 100) shingles; it must find enough from here on.
+    return (
+        taken.where("prefix > 0")
+        .join(sets.select("node", "spread"), "node")
+        .select(
+            *("node", "n", "part", "alone", "spread"),
+            F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix"))).alias("at", "x"),
+        )
+        .select("x.shingle", "node", "n", "part", "spread", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+        .where(f"{percent} * (n + ceil({percent} * n / 100)) <= {100 + percent} * left")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -181,7 +229,7 @@ def near_duplicates(
     sets = (
         rows.join(busy.select("id").distinct(), "id", "left_semi")
         .select("id", "text")
-        .mapInArrow(_sets(width), f"id {id_type}, node bigint, set binary")
+        .mapInArrow(_sets(width), f"id {id_type}, node bigint, set binary, spread array<int>")
     )
     # A repeated id can bring texts of other nodes, and repeated rows the same node twice.
     sets = common.stored(sets.join(busy, ["id", "node"], "left_semi").dropDuplicates(["node"]), "minmax-sets")
@@ -199,26 +247,35 @@ def near_duplicates(
     )
     first = common.stored(_confirmed(stars, sets, percent), "minmax-links")
 
-    # What a bucket still holds in different components is compared in full.
+    # What a bucket still holds in different components is joined in full, by prefix filtering.
     placed = members.select("bucket", "node", "n").join(common.components(first), "node", "left")
     placed = placed.select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
-    parts = placed.groupBy("bucket", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    parted = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1")
-    placed = common.stored(placed.join(parted.select("bucket"), "bucket", "left_semi"), "minmax-open")
-    parts = placed.groupBy("bucket", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    others = parts.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("part", "least", "most")))
+    parts = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    open_ = placed.join(parts.where("low < high").select("bucket"), "bucket", "left_semi")
+    open_ = common.stored(open_.select("node", "n", "part").distinct(), "minmax-open")
+    rare = common.stored(_prefixes(sets, open_, percent), "minmax-prefixes")
+    parts = rare.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    others = parts.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("part", "least", "most")))
     facing = (
-        parts.join(others, "bucket")
+        parts.join(others, "shingle")
         .where("part < part_b")
         .where(f"100 * most >= {percent} * least_b and 100 * most_b >= {percent} * least")
-        .select("bucket", "part", "part_b")
+        .select("shingle", "part", "part_b")
+    )
+    sides = ("node", "x"), ("n", "n_a"), ("left", "left_a"), ("spread", "spread_a")
+    near = rare.select("shingle", "part", *(F.col(c).alias(name) for c, name in sides))
+    sides = ("part", "part_b"), ("node", "y"), ("n", "n_b"), ("left", "left_b"), ("spread", "spread_b")
+    far = rare.select("shingle", *(F.col(c).alias(name) for c, name in sides))
+    # The first common shingle of a similar pair leaves room for all the others, and the hash classes do too.
+    enough = F.expr(f"{percent} * (n_a + n_b) <= {100 + percent} * least(left_a, left_b)")
+    roomy = F.expr(
+        f"{percent} * (n_a + n_b) <= {100 + percent} * "
+        "aggregate(zip_with(spread_a, spread_b, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
     )
-    near = placed.select("bucket", "part", F.col("node").alias("x"), F.col("n").alias("n_a"))
-    far = placed.select("bucket", F.col("part").alias("part_b"), F.col("node").alias("y"), F.col("n").alias("n_b"))
     rest = (
-        facing.join(near, ["bucket", "part"])
-        .join(far, ["bucket", "part_b"])
-        .where(similar)
+        facing.join(near, ["shingle", "part"])
+        .join(far, ["shingle", "part_b"])
+        .where(similar & enough & roomy)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
@@ -247,3 +304,18 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of `docs` whose document is the smallest id of its near-duplicate group.
+
+    Documents without an id and documents without words are groups of their own.
+    Of several rows with one id, of which any is kept, one row stays; rows
+    without an id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull())
+    kept = found.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
+    kept = common.stored(kept.where("_kept"), "kept-ids")
+    once = docs.join(kept.where("_rows = 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    again = docs.join(kept.where("_rows > 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    return once.union(again.dropDuplicates([id_col])).union(docs.where(F.col(id_col).isNull()))
