@@ -19,3 +19,41 @@ from documents d left join n using (doc_id) join c on c.doc_id = d.doc_id
 """
 
 ORACLE_SQL = {"op1_minhash": NEAR_DUPLICATES}
+
+QUOTES = rf"""
+with recursive
+m as materialized (select *, row_number() over () as rid from conversations),
+l as (select conv_id, turn, rid, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as ord from m),
+p as (select conv_id, turn, rid, ord,
+        length(regexp_replace(regexp_extract(line, '(?s)^((?:[ \t]*>)+)[ \t]?(.*)$', 1), '[^>]', '', 'g')) as level,
+        case when regexp_matches(line, '(?s)^((?:[ \t]*>)+)[ \t]?(.*)$')
+             then regexp_extract(line, '(?s)^((?:[ \t]*>)+)[ \t]?(.*)$', 2) else line end as body from l),
+h as (select rid, bool_or(level > 0) as quotes from p group by 1),
+k as (select p.* from p join h using (rid)
+      where not (level = 0 and quotes and regexp_matches(lower(body), '(?s)^[ \t]*on .*wrote:[ \t\r]*$'))),
+n as (select conv_id, turn, rid, level, ord, trim(regexp_replace(lower(body), '[ \t\r\f\x0B]+', ' ', 'g'), ' ') as unit, body from k),
+j as (select conv_id, turn, rid, level, trim(regexp_replace(lower(string_agg(body, ' ' order by ord)), '[ \t\r\f\x0B]+', ' ', 'g'), ' ') as whole
+      from k group by all),
+u as (select conv_id, turn, level, unit from n where unit <> ''
+      union select conv_id, turn, level, s from
+        (select conv_id, turn, level, unnest(string_split(regexp_replace(whole, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) as s from j) where s <> ''),
+said as (select conv_id, unit, min(turn) as origin from u where level = 0 group by all),
+q as (select u.*, origin from u left join said using (conv_id, unit) where level > 0),
+c as (select conv_id, turn, count(*) as quoted_units, count(*) filter (origin < turn) as linked_units from q group by all),
+v as (select conv_id, turn, level, origin, count(*) as votes from q where origin < turn group by all),
+links as (select conv_id, turn, origin as parent from v
+          qualify row_number() over (partition by conv_id, turn order by level, votes desc, origin desc) = 1),
+roots as (select conv_id, turn, parent, parent as root, 1 as depth from links
+          union all select r.conv_id, r.turn, r.parent, x.parent, depth + 1 from roots r join links x on x.conv_id = r.conv_id and x.turn = r.root),
+placed as (select conv_id, turn, any_value(parent) as parent, min(root) as root, max(depth) as depth from roots group by all),
+own as (select rid, trim(string_agg(body, chr(10) order by ord), ' ') as text from k where level = 0 group by 1)
+select m.conv_id, m.turn, m.role, coalesce(own.text, '') as text, coalesce(quoted_units, 0) as quoted_units,
+  coalesce(linked_units, 0) as linked_units, parent as parent_turn, coalesce(root, m.turn) as thread_turn,
+  cast(coalesce(depth, 0) as bigint) as depth,
+  row_number() over (partition by m.conv_id order by coalesce(root, m.turn), coalesce(depth, 0), m.turn, m.role, coalesce(own.text, '')) as position
+from m left join own using (rid) left join placed on placed.conv_id = m.conv_id and placed.turn = m.turn
+  left join c on c.conv_id = m.conv_id and c.turn = m.turn
+"""
+
+ORACLE_SQL["op4_quotes"] = QUOTES
