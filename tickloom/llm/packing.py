@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,14 @@ class ChunkIds(dict):
 
     The tokenizer never joins characters across white space and drops it, so a
     text's ids are those of its pieces one after another. White space other than
-    ASCII stays inside a piece and is left to the tokenizer.
+    ASCII stays inside a piece and is left to the tokenizer. It lower-cases and
+    splits signs from letters, so a piece of Latin letters with signs at its end
+    is its lower-cased letters, then its signs.
     """
 
-    blanks = str.maketrans("\t\n\r", "   ")
+    signs = ".,;:!?|#$%&*"
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,25 +57,49 @@ class ChunkIds(dict):
         self.tokenizer.no_truncation()
         self.most = most
 
+    def halves(self, chunk: str) -> tuple[str, str]:
+        core = chunk.rstrip(self.signs)
+        if not core or max(core) > "\xff" or not core[-1].isalnum() or "<|" in core:
+            return chunk, ""
+        return core.lower(), chunk[len(core) :]
+
+    def add(self, chunks: list[str]) -> None:
+        for start in range(0, len(chunks), 4096):
+            part = chunks[start : start + 4096]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[chunk] = array("I", found.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.translate(self.blanks).split(" ") for text in texts]
+        split = []
+        for text in texts:
+            for blank in "\n\t\r":
+                if blank in text:
+                    text = text.replace(blank, " ")
+            split.append(text.split(" "))
         if len(self) > self.most:
             self.clear()
-        missing = list(set().union(*split).difference(self))
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            for chunk, found in zip(
-                part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True
-            ):
-                self[chunk] = np.array(found.ids, "<u4").tobytes()
+        missing = [(chunk, *self.halves(chunk)) for chunk in set().union(*split).difference(self)]
+        self.add(list({half for _, *both in missing for half in both}.difference(self)))
+        for chunk, core, tail in missing:
+            self[chunk] = self[core] + self[tail]
         return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
 
 
+_HELD: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """The pieces that this Python worker has met, kept from task to task."""
+    if path not in _HELD:
+        _HELD[path] = ChunkIds(path)
+    return _HELD[path]
+
+
 def _pieces(path: str | None, size: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ChunkIds(path or vocabulary_path(VOCABULARY))
+        ids = chunk_ids(path or vocabulary_path(VOCABULARY))
         for batch in batches:
             rows, lengths, starts, sums, totals = [], [], [], [], []
             for row, found in enumerate(ids.encode(batch.column(1).to_pylist())):
