@@ -44,6 +44,7 @@ SEPARATORS = ".-_*~'’·"
 SUBSTITUTED, SHRUNK, JOINED = -1.5, -0.7, -0.7
 EDGE = "^"
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|])(?:[ .\-_*·](?:[^\W\d_]|[0-9@$!|])){3,}(?!\S)")
+SINGLES = re.compile(r"(?:^| )\S[ .\-_*·]\S[ .\-_*·]\S[ .\-_*·]\S")
 RUN = re.compile(r"([^\W\d_])\1\1")
 TRIM = re.compile(r"^(?:([^\w\s])\1+|[(\[{\"'«“¿])+|(?:([^\w\s])\2+|[.,;:!?)\]}\"'»”])+$")
 DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{re.escape(''.join(LEET))}]|[^\W\d_](?:[{re.escape(SEPARATORS)}][^\W\d_])+$)")
@@ -119,7 +120,11 @@ def looks_disguised(core: str) -> bool:
 
 def readings(token: str, model: CharacterModel | None) -> str:
     """The plain word of a raw token; '' if it has no letters."""
-    core = TRIM.sub("", token.lower())
+    core = token.lower()
+    if not core[:1].isalnum() or not core[-1:].isalnum():
+        core = TRIM.sub("", core)
+    if core.isalpha() and not RUN.search(core):
+        return core
     if model is not None and len(core) <= 40 and looks_disguised(core):
         return restore(core, model)
     if core.isalpha():
@@ -129,6 +134,8 @@ def readings(token: str, model: CharacterModel | None) -> str:
 
 def spaced(text: str) -> list[str]:
     """Words written letter by letter, joined."""
+    if not SINGLES.search(text):
+        return []
     return [re.sub(r"[ .\-_*·]", "", m.group()) for m in SPACED.finditer(text)]
 
 
@@ -138,15 +145,23 @@ def units(word: str) -> list[str]:
 
 
 def _gram_rows(seen: Counter[str]) -> pa.RecordBatch:
-    counts: Counter[str] = Counter()
-    for token, n in seen.items():
-        core = TRIM.sub("", token)
-        if core.isalpha() and len(core) < 40 and not RUN.search(core):
-            for gram in grams(core):
-                counts[gram] += n
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"]
-    )
+    """Character grams of plain words, as `grams` gives them, with the words' counts."""
+    plain = [(core, n) for token, n in seen.items() if (core := TRIM.sub("", token)).isalpha() and len(core) < 40]
+    plain = [(core, n) for core, n in plain if not RUN.search(core)]
+    lengths = np.array([len(core) + 3 for core, _ in plain], np.int64)
+    text = "".join(f"{EDGE}{EDGE}{core}{EDGE}" for core, _ in plain)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    weights = np.repeat(np.array([n for _, n in plain], np.int64), lengths)
+    ends = np.flatnonzero(np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= 2)
+    names, counts = [], []
+    for size in (1, 2, 3):
+        key = np.zeros(len(ends), np.int64)
+        for k in range(size):
+            key = key << 21 | points[ends - size + 1 + k]
+        found, place = np.unique(key, return_inverse=True)
+        counts += np.bincount(place, weights[ends], len(found)).astype(np.int64).tolist()
+        names += ["".join(chr(x >> 21 * k & 0x1FFFFF) for k in reversed(range(size))) for x in found.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["gram", "n"])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +230,18 @@ def _count_units(model: CharacterModel):
     return run
 
 
+class TokenEvidence(dict):
+    """Strongest evidence of the restored word of a raw token, remembered."""
+
+    def __init__(self, model: CharacterModel, evidence: dict[str, float]) -> None:
+        self.model, self.evidence = model, evidence
+
+    def __missing__(self, token: str) -> float:
+        found = units(readings(token, self.model))
+        value = self[token] = max([self.evidence.get(u, 0.0) for u in found], default=0.0)
+        return value
+
+
 class Scorer:
     """Probability that a text is toxic."""
 
@@ -222,22 +249,16 @@ class Scorer:
         self.model, self.evidence, self.weights = model, evidence, weights
 
     def start(self) -> None:
-        self.reader, self.known = Reader(self.model), {}
-
-    def word(self, word: str) -> float:
-        value = self.known.get(word)
-        if value is None:
-            value = self.known[word] = max((self.evidence.get(u, 0.0) for u in units(word)), default=0.0)
-        return value
+        self.known = TokenEvidence(self.model, self.evidence)
 
     def vector(self, text: str) -> tuple[float, float, float]:
         """Strongest evidence, log of the count of words with strong evidence, their share."""
         if len(self.known) > 300_000:
             self.known.clear()
-        found = self.reader.words(text)
-        values = list(map(self.word, found))
-        strong = sum(1 for v in values if v > 2.0)
-        return max(values, default=0.0), math.log1p(strong), math.sqrt(strong / max(1, len(found)))
+        values = list(map(self.known.__getitem__, [*text.split(), *spaced(text)]))
+        most = max(values, default=0.0)
+        strong = sum(1 for v in values if v > 2.0) if most > 2.0 else 0
+        return most, math.log1p(strong), math.sqrt(strong / max(1, len(values)))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.vector(t) for t in texts]).reshape(len(texts), 3)
