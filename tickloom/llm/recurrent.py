@@ -5,9 +5,9 @@ truncated backpropagation. Frequent words are predicted as class, then word in
 the class. Every other word belongs to the class of its ending; in it, words
 have their smoothed share of the corpus counts, so the vocabulary is not cut.
 
-Training: a first fit in one task on a bounded sample, then every task trains on
-all training texts of its partition from there, and the weights are averaged by
-Spark. Scoring carries the state through a text from its first to its last word.
+Training: a first fit in one task on a bounded sample, then every task trains
+from there on a fixed share of its partition's training texts, and the weights
+are averaged by Spark. Scoring carries the state through a text from its first to its last word.
 Counts cover all training texts. Counts of frequent words are shipped in a table
 of fixed size; all other words of a text are joined to the counts by a shuffle.
 """
@@ -34,8 +34,9 @@ CLASS_WORDS = 64
 ENDINGS = 127
 HIDDEN = 24
 WINDOW = 16
-LANES = 256
-SAMPLE_DOCS = 4_000
+LANES, TRAIN_LANES = 256, 64
+SAMPLE_DOCS = 2_000
+TRAIN_SHARE = 0.125
 FLUSH = 300_000
 BATCH_TOKENS = 600_000
 RATE = 0.08
@@ -151,8 +152,8 @@ class Network:
         """Natural log of P(class) and, for predicted words, of P(word | class)."""
         out = np.empty(len(targets))
         classes = vocabulary.class_of(targets)
-        for low in range(0, len(targets), 16_384):
-            part = slice(low, low + 16_384)
+        for low in range(0, len(targets), 2_048):
+            part = slice(low, low + 2_048)
             scores = states[part] @ self.to_class + self.class_bias
             top = scores.max(axis=1, keepdims=True)
             norm = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
@@ -260,7 +261,7 @@ class Trainer:
         self.squares[name][rows] = squares
         getattr(self.network, name)[rows] -= self.rate * gradient / np.sqrt(squares)
 
-    def fit(self, texts: list[np.ndarray], count: int = LANES) -> None:
+    def fit(self, texts: list[np.ndarray], count: int = TRAIN_LANES) -> None:
         tokens, first, lengths = streams(texts, count)
         hidden = self.network.state.shape[0]
         state = np.zeros((len(lengths), hidden), np.float32)
@@ -474,6 +475,7 @@ def score(
     hot_words: int = HOT_WORDS,
     output_words: int = OUTPUT_WORDS,
     sample_docs: int = SAMPLE_DOCS,
+    train_share: float = TRAIN_SHARE,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of `docs`.
 
@@ -481,6 +483,10 @@ def score(
     probability, `score` the network's. Both give a positive probability to every
     word: an unseen word counts as half an occurrence.
 
+    The counts cover all training texts. The weights are first fitted on about
+    `sample_docs` of them, then on `train_share` of them in parallel; both are
+    chosen by a hash, whole texts each.
+
     Texts with a null id neither train nor are held out. A null text counts as
     empty: its end alone. Repeated rows are scored and counted each. Without
     training texts both scores are defined by the smoothing alone. Other columns
@@ -520,13 +526,15 @@ def score(
     masses = np.array([*(mass[e] for e in endings), whole - sum(mass[e] for e in endings)]) + SMOOTH
 
     start = Network.start(vocabulary)
+    hashed = F.pmod(F.xxhash64("id", F.length("text")), F.lit(2**20))
     start.set_shares(vocabulary, np.array([hot[w] for w in predicted]) + SMOOTH, masses)
     start = start.flat()
     size = max(1, train.count())
-    chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(2**20)) < int(min(1.0, sample_docs / size) * 2**20))
+    chosen = train.where(hashed < int(min(1.0, sample_docs / size) * 2**20))
+    share = train.where(hashed >= int((1 - train_share) * 2**20))
     schema = "place bigint, weight double, tokens bigint"
     first = _averaged(chosen.select("text").repartition(1).mapInArrow(_train(vocabulary, start, 2, RATE), schema), start)
-    flat = _averaged(train.select("text").mapInArrow(_train(vocabulary, first, 1, RATE / 4), schema), first)
+    flat = _averaged(share.select("text").mapInArrow(_train(vocabulary, first, 1, RATE / 4), schema), first)
 
     shared = spark.sparkContext.broadcast((vocabulary, flat, hot, masses))  # of fixed size
 
