@@ -80,13 +80,14 @@ def test_ranges_equal_whole_files(spark, folder, monkeypatch):
     path, files = folder
     monkeypatch.setattr(frames, "FAN", 3)
     wanted = {n: _plain(d) for n, d in files.items() if _plain(d)}
-    assert _read(spark, path, whole_file_bytes=0, range_bytes=1) == wanted
+    assert _read(spark, path, range_bytes=1) == wanted
 
 
 def test_mixed_sizes_and_odd_range(spark, folder):
     path, files = folder
     wanted = {n: _plain(d) for n, d in files.items() if _plain(d)}
-    assert _read(spark, path, whole_file_bytes=100_000, range_bytes=77_777) == wanted
+    assert _read(spark, path, range_bytes=77_777) == wanted
+    assert _read(spark, path, range_bytes=100_000, most_tasks=2) == wanted
 
 
 def test_names_and_folders(spark, tmp_path):
@@ -96,7 +97,7 @@ def test_names_and_folders(spark, tmp_path):
         (tmp_path / "in" / "deep er" / name).write_bytes(data)
     whole = _read(spark, tmp_path)
     assert len(whole) == 4 and all(v == _plain(data) for v in whole.values())
-    assert _read(spark, tmp_path, whole_file_bytes=0, range_bytes=70_000) == whole
+    assert _read(spark, tmp_path, range_bytes=70_000) == whole
 
 
 def test_written_feed_reads_back(spark, tmp_path):

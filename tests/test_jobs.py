@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tape import S, column, directory, frame, order
 from tickloom import __main__ as command
+from tickloom.operators import bars as bar_ops
 from tickloom.plans import features, jobs, model, queries, tape_views
 from tickloom.schema import BAR_SUMMARY, STOCK_SUMMARY
 from tickloom.session import materialise, scratch_root
@@ -16,6 +17,7 @@ from tickloom.sources import sinks, tables
 
 MINUTE = 60 * S
 OPEN = 34_200 * S
+DAY = "2020-01-30"
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +45,7 @@ def feed(tmp_path_factory):
 @pytest.fixture(scope="module")
 def landed(spark, feed, tmp_path_factory):
     data = str(tmp_path_factory.mktemp("data"))
-    jobs.land(spark, feed[0], data)
+    jobs.land(spark, feed[0], data, DAY)
     jobs.compute_signals(spark, data)
     return data
 
@@ -58,6 +60,32 @@ def test_landed_messages(spark, feed, landed):
     assert tape.filter("stock = '7'").count() > 0
 
 
+def test_landed_columns_and_days(spark, feed, tmp_path):
+    data = str(tmp_path / "data")
+    for day in (DAY, "2020-01-31", DAY):
+        jobs.land(spark, feed[0], data, day)
+    tape = jobs.load_messages(spark, data)
+    assert {str(r.trade_date): r["count"] for r in tape.groupBy("trade_date").count().collect()} == dict.fromkeys(
+        (DAY, "2020-01-31"), sum(m[0] != "X" for m in feed[1]) + 4
+    )
+    row = tape.where("msg_type = 'P' and trade_date = '2020-01-30'").orderBy("ts_ns").first()
+    assert row.timestamp == row.ts_ns and row.hour == row.ts_ns // (3600 * S)
+    assert str(row.readable_time).startswith(f"{DAY} {row.hour:02d}:")
+    assert tape.select("trade_date", "seq").distinct().count() == tape.count()
+    bars_ = bar_ops.minute_bars(jobs.load_enriched(spark, data))
+    one = bar_ops.minute_bars(jobs.load_enriched(spark, data).where("trade_date = '2020-01-30'"))
+    assert bars_.count() == 2 * one.count()
+
+
+def test_scratch_is_emptied(spark, feed, tmp_path):
+    import os
+
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    command.main(["all", "--feed", feed[0], "--date", DAY, "--data", str(tmp_path / "out")])
+    assert {n for n in set(os.listdir(root)) - before if not n.startswith("rdd-")} == set()
+
+
 def test_partition_filter_prunes(spark, landed):
     plan = jobs.load_messages(spark, landed).filter("msg_type = 'P'")
     text = plan._jdf.queryExecution().executedPlan().toString()
@@ -95,6 +123,8 @@ def test_bar_summary(spark, feed, landed):
 def test_stock_summary_and_read_queries(spark, landed):
     bars_table, stocks_table = jobs.load_summaries(spark, landed)
     enriched = jobs.load_enriched(spark, landed)
+    vwaps = {(r.stock, r.market_cat): r.total_volume for r in jobs.load_vwap(spark, landed).collect()}
+    assert vwaps == {(r.stock, r.market_cat): r.total_volume for r in stocks_table.collect()}
     assert sorted(map(tuple, stocks_table.collect())) == sorted(
         map(tuple, queries.q_summary(enriched).collect())
     )
@@ -184,8 +214,8 @@ def test_features_against_plain_windows(spark, landed):
             for row in df.collect()
         )
 
-    assert got.columns == ["stock", "timestamp_sec", *features.FEATURES, features.LABEL]
-    assert rounded(got) == rounded(plain)
+    assert got.columns == ["trade_date", "stock", "timestamp_sec", *features.FEATURES, features.LABEL]
+    assert rounded(got.drop("trade_date")) == rounded(plain)
     assert not got.isEmpty()
 
 
@@ -209,7 +239,7 @@ def test_model_is_repeatable(spark, landed):
 
 def test_split_is_chronological(spark):
     rows = spark.range(100).select(F.col("id").alias("timestamp_sec"))
-    train, test = model.chrono_split(rows, error=0.0)
+    train, test = model.chrono_split(rows)
     assert train.agg(F.max("timestamp_sec")).first()[0] < test.agg(F.min("timestamp_sec")).first()[0]
     assert (train.count(), test.count()) == (80, 20)
 
@@ -221,7 +251,7 @@ def test_no_complete_features(spark, landed):
 
 
 def test_command_line(spark, feed, tmp_path, capsys):
-    command.main(["all", "--feed", feed[0], "--data", str(tmp_path / "out")])
+    command.main(["all", "--feed", feed[0], "--date", DAY, "--data", str(tmp_path / "out")])
     assert "Test accuracy" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         command.main(["land", "--data", str(tmp_path)])

@@ -24,11 +24,11 @@ def message(kind, ts, seq, price, locate=1, side="B", shares=100, stock="X"):
 # --- joins -------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("max_rows", [0, 100])
-def test_enrich_drops_and_repeats(spark, max_rows):
+@pytest.mark.parametrize("salts", [None, 4])
+def test_enrich_drops_and_repeats(spark, salts):
     tape = trades(spark, ("X", 1, 1, 10, 5), ("X", 2, 2, 20, 6), ("Y", 3, 3, 30, 7))
     directory = spark.createDataFrame([(1, "X", "Q"), (2, "X", "Q"), (1, "X", "G")], DIR)
-    got = joins.enrich_trades(tape, directory, max_rows=max_rows)
+    got = joins.enrich_trades(tape, directory, salts=salts)
     assert sorted((r.seq, r.stock_locate, r.market_cat) for r in got.collect()) == [
         (1, 1, "G"), (1, 1, "Q"), (1, 2, "Q"), (2, 1, "G"), (2, 1, "Q"), (2, 2, "Q"),
     ]
@@ -50,11 +50,6 @@ def test_sums_per_category_equal_joined_rows(spark):
     assert summary[0].trade_count == 4 and summary[0].avg_price == 5.75
 
 
-def test_fits_broadcast(spark):
-    assert joins.fits_broadcast(spark.range(10), 10)
-    assert not joins.fits_broadcast(spark.range(11), 10)
-
-
 def test_directory_latest(spark):
     tape = spark.createDataFrame(
         [("R", 1, "X", 5, 1, "Q"), ("R", 2, "X", 5, 2, "G"), ("R", 3, "X", 4, 9, "S")],

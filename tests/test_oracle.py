@@ -15,17 +15,17 @@ def con(sf_dir):
 
 
 def test_names():
-    assert set(SQL) == set(QUERIES) - {"train_score"}
+    assert set(SQL) == set(QUERIES)
+
+
+# A stock or a category that the smallest tables do not hold.
+MAY_BE_EMPTY = {"point_filter", "q_candles", "obi_series", "scan_parquet"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf_dir, con, name):
     found = difference(QUERIES[name](spark, sf_dir), con, SQL[name])
-    assert found is None or (found == "no rows" and sf_dir.endswith("sf0.001")), found
-
-
-def test_train_score(spark, sf_dir):
-    assert QUERIES["train_score"](spark, "/root/testdata/sf0.01").count() > 0
+    assert found is None or (found == "no rows" and name in MAY_BE_EMPTY), found
 
 
 def test_entry(spark):

@@ -56,14 +56,15 @@ def test_hot_key_is_spread(spark, many_partitions):
 def test_salted_join_spreads_a_hot_stock(spark, many_partitions):
     facts = _hot(spark).withColumnRenamed("k", "stock")
     directory = facts.select("stock").distinct().withColumn("market_cat", F.lit("Q"))
-    joined = joins.enrich_trades(facts, directory.hint("merge"), max_rows=0)
+    joined = joins.enrich_trades(facts, directory.hint("merge"), salts=32)
     assert "SortMergeJoin" in _plan(joined)
     assert joined.count() == facts.count()
     assert _largest_share(joined) < 0.12
 
 
-def test_order_and_partitions_do_not_matter(spark, sf_dir):
-    tape = tape_views.messages(spark, sf_dir)
+@pytest.mark.parametrize("view", [tape_views.messages, tape_views.tied])
+def test_order_and_partitions_do_not_matter(spark, sf_dir, view):
+    tape = view(spark, sf_dir)
     shuffled = tape.orderBy(F.rand(5)).repartition(7)
 
     def results(messages):
@@ -123,11 +124,39 @@ def test_ranked_reports_cut_before_the_shuffle(spark, sf_dir):
 
 def test_aggregations_hash_and_combine(spark, sf_dir):
     trades = tape_views.trades(spark, sf_dir)
-    for df in (bars.ohlc_candles(trades), signals.second_stats(trades)):
+    day_bars = tape_views.day_bars(spark, sf_dir)
+    for df in (
+        bars.ohlc_candles(trades),
+        signals.second_stats(trades),
+        reports.session_change(day_bars),
+        reports.key_metrics(day_bars),
+        reports.abnormal_volume(day_bars, "last_bar"),
+        joins.directory_latest(tape_views.messages(spark, sf_dir)),
+    ):
         plan = _plan(df)
         assert "SortAggregate" not in plan and "partial_" in plan
 
 
+def _scans(df) -> int:
+    return _plan(df).count("FileScan")
+
+
+def test_inputs_are_scanned_no_more_than_needed(spark, sf_dir):
+    trades = tape_views.trades(spark, sf_dir)
+    assert _scans(signals.rolling_volatility(trades)) <= 2
+    assert _scans(features.build_features(tape_views.messages(spark, sf_dir))) <= 3
+    assert _scans(reports.abnormal_volume(tape_views.day_bars(spark, sf_dir), "last_bar")) == 1
+
+
+def test_joins_start_no_job_and_copy_no_dimension(spark, sf_dir):
+    trades, items = tape_views.item_trades(spark, sf_dir), tape_views.item_directory(spark, sf_dir)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    built = [bars.vwap_by_stock(trades, items), bars.stock_summary(trades, items), joins.enrich_trades(trades, items)]
+    assert len(tracker.getJobIdsForGroup()) == before
+    assert all("explode" not in _plan(df) for df in built)
+
+
 def test_top_join_is_broadcast_only_when_small(spark, sf_dir):
     trades = tape_views.trades(spark, sf_dir)
     assert "BroadcastHashJoin" in _plan(joins.keep_top(trades, bars.top_by_volume(trades, 10)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECOND_NS = 1_000_000_000
@@ -14,6 +14,14 @@ DAY_NS = 24 * HOUR_NS
 SLICE_NS = 10 * SECOND_NS
 
 
+def by_day(df: DataFrame, *keys: str) -> list[str]:
+    """Grouping keys of a tape: with the trade date first where the tape has one.
+
+    Times count from midnight, so days of one tape are told apart by this only.
+    """
+    return [c for c in ("trade_date",) if c in df.columns] + list(keys)
+
+
 def whole(numerator: Column, divisor: int) -> Column:
     """Integer division; never passes through a double."""
     return F.call_function("div", numerator, F.lit(divisor).cast("bigint"))

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import measures
-from tickloom.functions.times import MINUTE_NS
+from tickloom.functions.times import MINUTE_NS, by_day
 from tickloom.operators import rows
-from tickloom.operators.joins import join_dimension
+from tickloom.operators.joins import dimension_keys
 
 
 def trade_sums() -> list[Column]:
@@ -56,12 +56,12 @@ def _by_category(
 
     Without a directory the trades are already enriched and count once.
     """
+    by = by_day(trades, *by)
     if directory is None:
         return trades.groupBy(*by, "market_cat").agg(*trade_sums()).withColumn("repeats", F.lit(1))
-    repeats = directory.groupBy("stock", "market_cat").agg(F.count(F.lit(1)).alias("repeats"))
-    return join_dimension(
-        trades.groupBy(*by).agg(*trade_sums()), repeats, "stock", salt_from=by
-    )
+    on = dimension_keys(trades, directory)
+    repeats = directory.groupBy(*on, "market_cat").agg(F.count(F.lit(1)).alias("repeats"))
+    return trades.groupBy(*by).agg(*trade_sums()).join(repeats, on)
 
 
 # Repeats cancel out of every quotient, so only totals carry them.
@@ -95,7 +95,7 @@ def vwap_by_stock(trades: DataFrame, directory: DataFrame | None = None) -> Data
     """Volume-weighted price and volume per (stock, category), largest volume first."""
     return (
         _by_category(trades, directory, ["stock"])
-        .select("stock", "market_cat", _vwap().alias("vwap"), _volume().alias("total_volume"))
+        .select(*by_day(trades, "stock", "market_cat"), _vwap().alias("vwap"), _volume().alias("total_volume"))
         .orderBy(F.desc("total_volume"), "stock", "market_cat")
     )
 
@@ -110,13 +110,8 @@ def minute_bars(
     """Volume, VWAP, mean price and trade count per (stock, bar, category)."""
     bars = _by_category(
         rows.with_bucket(trades, bar_ns, mode), directory, ["stock", "minute_bucket"]
-    ).select(
-        "stock",
-        "minute_bucket",
-        "market_cat",
-        *bar_columns(),
-    )
-    return bars.orderBy("stock", "minute_bucket", "market_cat") if ordered else bars
+    ).select(*by_day(trades, "stock", "minute_bucket", "market_cat"), *bar_columns())
+    return bars.orderBy(*by_day(trades, "stock", "minute_bucket", "market_cat")) if ordered else bars
 
 
 def stock_summary(trades: DataFrame, directory: DataFrame | None = None) -> DataFrame:
@@ -124,8 +119,7 @@ def stock_summary(trades: DataFrame, directory: DataFrame | None = None) -> Data
     return (
         _by_category(trades, directory, ["stock"])
         .select(
-            "stock",
-            "market_cat",
+            *by_day(trades, "stock", "market_cat"),
             _volume().alias("total_volume"),
             _mean().alias("avg_price"),
             _count().alias("trade_count"),
@@ -145,7 +139,7 @@ def ohlc_candles(
     """
     return (
         rows.with_bucket(trades, bar_ns, mode)
-        .groupBy("stock", "minute_bucket")
+        .groupBy(*by_day(trades, "stock", "minute_bucket"))
         .agg(*candle_columns())
     )
 
@@ -168,7 +162,7 @@ def tickers(trades: DataFrame) -> DataFrame:
 
 def stock_totals(bars: DataFrame) -> DataFrame:
     """Per stock: volume, trades and mean volume of a bar."""
-    return bars.groupBy("stock").agg(
+    return bars.groupBy(*by_day(bars, "stock")).agg(
         F.sum("volume").alias("total_volume"),
         F.sum("trade_count").alias("trade_count"),
         measures.ratio(F.sum("volume"), F.count("volume")).alias("avg_bar_volume"),

@@ -7,73 +7,76 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.times import SLICE_NS
+from tickloom.functions import measures
+from tickloom.functions.times import SLICE_NS, by_day
 from tickloom.operators.slices import last_known
 
-# A directory row is about 100 bytes in memory, so this is some tens of megabytes.
-BROADCAST_ROWS = 300_000
-SALTS = 32
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def dimension_keys(facts: DataFrame, dimension: DataFrame) -> list[str]:
+    """Stock, and the trade date where both sides have one."""
+    return by_day(dimension, "stock") if "trade_date" in facts.columns else ["stock"]
 
 
 def join_dimension(
     facts: DataFrame,
     dimension: DataFrame,
-    on: str,
+    on: Sequence[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salt_from: Sequence[str] | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Join a large table with a small one that may have outgrown a broadcast.
-
-    The dimension is counted first. Within `max_rows` it is broadcast and the
-    facts are not shuffled. Beyond that both sides are shuffled on (key, salt)
-    with the dimension repeated per salt, so one hot key is spread over `SALTS`
-    tasks. The salt is a hash of fact columns: a re-run task repeats it.
+    """Join a large table with a smaller one.
+
+    Spark decides from its size estimates, and again at run time, whether the
+    dimension is broadcast; beyond the limit both sides are shuffled on the key
+    and adaptive execution splits the partitions of hot keys. Building the join
+    starts no job. `salts` spreads every key over that many tasks with a copy of
+    the dimension for each: for hot facts where adaptive execution is off. The
+    salt is a hash of fact columns, so a re-run task repeats it.
     """
-    if fits_broadcast(dimension, max_rows):
-        return facts.join(F.broadcast(dimension), on, how)
-    salt = F.pmod(F.xxhash64(*(salt_from or facts.columns)), F.lit(SALTS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    if not salts:
+        return facts.join(dimension, list(on), how)
+    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         facts.withColumn("__salt", salt)
-        .join(dimension.withColumn("__salt", copies), [on, "__salt"], how)
+        .join(dimension.withColumn("__salt", copies), [*on, "__salt"], how)
         .drop("__salt")
     )
 
 
 def enrich_trades(
-    trades: DataFrame, directory: DataFrame, max_rows: int = BROADCAST_ROWS
+    trades: DataFrame, directory: DataFrame, salts: int | None = None
 ) -> DataFrame:
     """Trades with their directory row.
 
-    Inner join on `stock`: a trade without a directory row is dropped, and a
-    stock with several directory rows repeats its trades. The locate code comes
-    from the directory, as in the directory table.
+    Inner join on `stock`, of the same day where both sides have a date: a trade
+    without a directory row is dropped, and a stock with several directory rows
+    repeats its trades. The locate code comes from the directory, as in the
+    directory table.
     """
     facts = trades.drop("stock_locate", "market_cat")
-    return join_dimension(facts, directory, "stock", max_rows=max_rows)
+    return join_dimension(facts, directory, dimension_keys(facts, directory), salts=salts)
 
 
 def directory_latest(messages: DataFrame) -> DataFrame:
-    """One directory row per stock: the newest, for a join without fan-out."""
-    newest = F.max(F.struct("ts_ns", "seq", "stock_locate", "market_cat"))
-    return (
-        messages.filter("msg_type = 'R'")
-        .groupBy("stock")
-        .agg(newest.alias("d"))
-        .select("d.stock_locate", "stock", "d.market_cat")
+    """One directory row per stock (and day): the newest, for a join without fan-out.
+
+    The newest place is found by hashing and joined back: a string next to it in
+    the aggregate would sort all rows.
+    """
+    rows = messages.filter("msg_type = 'R'").withColumn(
+        "__at", measures.order_key(F.col("ts_ns"), F.col("seq"))
     )
+    keys = by_day(messages, "stock")
+    newest = rows.groupBy(*keys).agg(F.max("__at").alias("__at"))
+    columns = by_day(messages, "stock_locate", "stock", "market_cat")
+    return rows.join(newest, [*keys, "__at"]).select(*columns).distinct()
 
 
 def attach_imbalance(
     trades: DataFrame, imbalance: DataFrame, keys: Sequence[str] = ("stock", "minute_bucket")
 ) -> DataFrame:
     """Left join with the imbalance of the same stock and bar; no bar gives 0.0."""
+    keys = by_day(trades, *keys)
     obi = imbalance.select(*keys, "OBI")
     return trades.join(obi, list(keys), "left").fillna({"OBI": 0.0})
 
@@ -101,7 +104,7 @@ def last_quote(
     """
     return last_known(
         messages.filter(F.col("msg_type").isin("A", "P")),
-        [*keys, "side"] if by_side else keys,
+        by_day(messages, *keys, *(["side"] if by_side else [])),
         "ts_ns",
         "seq",
         F.when(F.col("msg_type") == "A", F.col("price")),
@@ -124,5 +127,5 @@ def market_impact(
         last_quote(messages, **options)
         .filter("msg_type = 'P'")
         .withColumn("market_impact", impact(F.col("price"), F.col("last_a_price")))
-        .select(*columns, "last_a_price", "market_impact")
+        .select(*by_day(messages, *columns), "last_a_price", "market_impact")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import display, measures, times
-from tickloom.operators.bars import stock_totals
+from tickloom.functions.times import by_day
 
 # Thresholds of the reports.
 HIGH_VOLATILITY = 0.02
@@ -24,13 +24,22 @@ BEARISH_BELOW = 35.0
 _BAR_ORDER = ("minute_bucket", "market_cat")
 
 
-def _bar_window():
-    return Window.partitionBy("stock").orderBy(*_BAR_ORDER)
+def _bar_window(bars: DataFrame):
+    return Window.partitionBy(*by_day(bars, "stock")).orderBy(*_BAR_ORDER)
+
+
+def _bar_key() -> Column:
+    """Order of a stock's bars as one number, so that aggregates over it hash.
+
+    A category is one byte in the feed; longer names count by their first seven.
+    """
+    code = F.conv(F.hex(F.substring(F.coalesce("market_cat", F.lit("")), 1, 7)), 16, 10).cast("bigint")
+    return measures.order_key(F.col("minute_bucket"), F.coalesce(code, F.lit(0).cast("bigint")))
 
 
 def bar_pct_change(bars: DataFrame) -> DataFrame:
     """Add the change of avg_price from the stock's bar before, as a fraction."""
-    last = F.lag("avg_price").over(_bar_window())
+    last = F.lag("avg_price").over(_bar_window(bars))
     return bars.withColumn("pct_change", measures.ratio(F.col("avg_price"), last) - F.lit(1.0))
 
 
@@ -40,19 +49,19 @@ def bar_return_volatility(bars: DataFrame) -> DataFrame:
     Two bars give one change and so no stddev; a change from a price of zero has
     no size. The volatility is then NULL and the regime NORMAL.
     """
-    last = F.lag("avg_price").over(_bar_window())
+    last = F.lag("avg_price").over(_bar_window(bars))
     from_zero = F.coalesce((last == 0) & (F.col("avg_price") != 0), F.lit(False))
     spread = F.when(F.col("n") <= 1, F.lit(0.0)).when(~F.col("undefined"), F.col("sd"))
     return (
         bar_pct_change(bars)
         .withColumn("from_zero", from_zero)
-        .groupBy("stock")
+        .groupBy(*by_day(bars, "stock"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.stddev_samp("pct_change").alias("sd"),
             F.bool_or("from_zero").alias("undefined"),
         )
-        .select("stock", spread.alias("volatility"))
+        .select(*by_day(bars, "stock"), spread.alias("volatility"))
         .withColumn("regime", volatility_regime(F.col("volatility")))
     )
 
@@ -76,10 +85,15 @@ def abnormal_volume(bars: DataFrame, rule: str = "total") -> DataFrame:
         current = F.col("last_bar_volume")
     else:
         raise ValueError(f"unknown rule {rule!r}")
-    newest = bars.groupBy("stock", "minute_bucket").agg(F.sum("volume").alias("v"))
-    newest = newest.groupBy("stock").agg(F.max_by("v", "minute_bucket").alias("last_bar_volume"))
-    totals = stock_totals(bars).drop("trade_count")
-    joined = totals if rule == "total" else totals.join(newest, "stock")
+    per_bar = bars.groupBy(*by_day(bars, "stock", "minute_bucket")).agg(
+        F.sum("volume").alias("v"), F.count("volume").alias("n")
+    )
+    joined = per_bar.groupBy(*by_day(bars, "stock")).agg(
+        F.sum("v").alias("total_volume"),
+        measures.ratio(F.sum("v"), F.sum("n")).alias("avg_bar_volume"),
+        F.max_by("v", "minute_bucket").alias("last_bar_volume"),
+    )
+    joined = joined.drop("last_bar_volume") if rule == "total" else joined
     return joined.withColumn("abnormal", current > F.lit(2.0) * F.col("avg_bar_volume"))
 
 
@@ -89,52 +103,47 @@ def session_phase(trades: DataFrame) -> DataFrame:
     phase = F.when(F.col("hour").between(first, last), "OPEN").otherwise("CLOSED")
     return (
         trades.withColumn("hour", times.hour_of_day(F.col("ts_ns")))
-        .groupBy("stock", "hour")
+        .groupBy(*by_day(trades, "stock", "hour"))
         .agg(F.count(F.lit(1)).alias("trade_count"), F.sum("shares").alias("volume"))
         .withColumn("phase", phase)
     )
 
 
-def session_change(bars: DataFrame) -> DataFrame:
-    """First and last price of each stock, their difference, in percent, direction."""
-    at = F.struct(*_BAR_ORDER)
+def _session(bars: DataFrame) -> DataFrame:
+    """First and last bar, change and sums of each stock."""
+    at = F.col("__at")
     change = F.col("last_price") - F.col("first_price")
     percent = F.coalesce(measures.ratio(change, F.col("first_price")) * 100.0, F.lit(0.0))
     return (
-        bars.groupBy("stock")
+        bars.withColumn("__at", _bar_key())
+        .groupBy(*by_day(bars, "stock"))
         .agg(
             F.min_by("avg_price", at).alias("first_price"),
             F.max_by("avg_price", at).alias("last_price"),
+            F.max_by("vwap", at).alias("last_vwap"),
+            F.sum("volume").alias("total_volume"),
+            F.sum("trade_count").alias("trade_count"),
         )
         .withColumns({"price_change": change, "price_change_pct": percent})
-        .withColumn("direction", display.trend(F.col("price_change_pct")))
     )
 
 
+def session_change(bars: DataFrame) -> DataFrame:
+    """First and last price of each stock, their difference, in percent, direction."""
+    changed = _session(bars).drop("last_vwap", "total_volume", "trade_count")
+    return changed.withColumn("direction", display.trend(F.col("price_change_pct")))
+
+
 def key_metrics(bars: DataFrame) -> DataFrame:
     """Last price, session change, volume, last VWAP and trade count per stock."""
-    at = F.struct(*_BAR_ORDER)
-    change = F.col("last_price") - F.col("first_price")
-    percent = F.coalesce(measures.ratio(change, F.col("first_price")) * 100.0, F.lit(0.0))
-    return (
-        bars.groupBy("stock")
-        .agg(
-            F.min_by("avg_price", at).alias("first_price"),
-            F.max_by("avg_price", at).alias("last_price"),
-            F.max_by("vwap", at).alias("last_vwap"),
-            F.sum("volume").alias("total_volume"),
-            F.sum("trade_count").alias("trade_count"),
-        )
-        .withColumns({"price_change": change, "price_change_pct": percent})
-        .drop("first_price")
-    )
+    return _session(bars).drop("first_price")
 
 
 def key_metric_labels(metrics: DataFrame) -> DataFrame:
     """`key_metrics` as shown: currency, separators, arrow and percentage."""
     pct = F.col("price_change_pct")
     return metrics.select(
-        "stock",
+        *by_day(metrics, "stock"),
         display.upper_ticker(F.col("stock")).alias("ticker"),
         display.dollars(F.col("last_price")).alias("last_price"),
         F.concat_ws(" ", display.trend(pct), display.percent(F.abs(pct))).alias("change"),
@@ -146,7 +155,7 @@ def key_metric_labels(metrics: DataFrame) -> DataFrame:
 
 def volume_profile(bars: DataFrame) -> DataFrame:
     """Volume per bar of each stock."""
-    return bars.select("stock", "minute_bucket", "market_cat", "volume")
+    return bars.select(*by_day(bars, "stock", "minute_bucket", "market_cat"), "volume")
 
 
 def top_liquidity(summary: DataFrame, k: int = 10) -> DataFrame:
@@ -163,17 +172,17 @@ def last_n_bars(bars: DataFrame, n: int = 10) -> DataFrame:
 
     `row_number() <= n` is cut down on the map side before the shuffle.
     """
-    newest_first = Window.partitionBy("stock").orderBy(*[F.desc(c) for c in _BAR_ORDER])
+    newest_first = Window.partitionBy(*by_day(bars, "stock")).orderBy(*[F.desc(c) for c in _BAR_ORDER])
     kept = bars.withColumn("__rn", F.row_number().over(newest_first)).filter(
         F.col("__rn") <= n
     )
-    size = F.count(F.lit(1)).over(Window.partitionBy("stock"))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*by_day(bars, "stock")))
     return kept.withColumn("idx", (size - F.col("__rn")).cast("bigint")).drop("__rn")
 
 
 def tick_direction(bars: DataFrame) -> DataFrame:
     """Add the arrow of avg_price against the stock's bar before."""
-    change = F.col("avg_price") - F.lag("avg_price").over(_bar_window())
+    change = F.col("avg_price") - F.lag("avg_price").over(_bar_window(bars))
     return bars.withColumn("direction", display.arrow(change))
 
 
@@ -203,16 +212,15 @@ def depth_ladder(adds: DataFrame, levels: int = 5) -> DataFrame:
     best_first = F.when(F.col("side") == "B", -F.col("price_ticks")).otherwise(
         F.col("price_ticks")
     )
-    rank = F.row_number().over(Window.partitionBy("stock", "side").orderBy(best_first))
+    rank = F.row_number().over(Window.partitionBy(*by_day(adds, "stock", "side")).orderBy(best_first))
     return (
         adds.filter(F.col("side").isin("B", "S"))
-        .groupBy("stock", "side", "price_ticks")
+        .groupBy(*by_day(adds, "stock", "side", "price_ticks"))
         .agg(F.sum("shares").alias("size"))
         .withColumn("level", rank)
         .filter(F.col("level") <= levels)
         .select(
-            "stock",
-            "side",
+            *by_day(adds, "stock", "side"),
             F.col("level").cast("bigint").alias("level"),
             measures.price(F.col("price_ticks")).alias("price"),
             "size",
@@ -223,7 +231,7 @@ def depth_ladder(adds: DataFrame, levels: int = 5) -> DataFrame:
 def chart_candles(candles: DataFrame, bar_seconds: int = 60) -> DataFrame:
     """Candles with the chart's time axis in seconds."""
     return candles.select(
-        "stock",
+        *by_day(candles, "stock"),
         times.chart_time(F.col("minute_bucket"), bar_seconds).alias("time"),
         "open",
         "high",
@@ -235,7 +243,7 @@ def chart_candles(candles: DataFrame, bar_seconds: int = 60) -> DataFrame:
 def chart_vwap(candles: DataFrame, bar_seconds: int = 60) -> DataFrame:
     """The VWAP line over the candles."""
     return candles.select(
-        "stock",
+        *by_day(candles, "stock"),
         times.chart_time(F.col("minute_bucket"), bar_seconds).alias("time"),
         F.col("vwap").alias("value"),
     )
@@ -245,7 +253,7 @@ def obi_histogram(imbalance: DataFrame, bar_seconds: int = 60) -> DataFrame:
     """Bar height |OBI| with its sign and colour; an undefined OBI is not positive."""
     positive = F.coalesce(F.col("OBI") >= 0, F.lit(False))
     return imbalance.select(
-        "stock",
+        *by_day(imbalance, "stock"),
         times.chart_time(F.col("minute_bucket"), bar_seconds).alias("time"),
         F.abs("OBI").alias("value"),
         F.when(positive, F.lit(1)).otherwise(F.lit(-1)).alias("bar_sign"),
@@ -257,7 +265,7 @@ def obi_histogram(imbalance: DataFrame, bar_seconds: int = 60) -> DataFrame:
 
 def latest_row(df: DataFrame, value: str, at: str = "minute_bucket") -> DataFrame:
     """The newest `value` of each stock."""
-    return df.groupBy("stock").agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
+    return df.groupBy(*by_day(df, "stock")).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
 
 
 def sentiment(stocks: DataFrame, imbalance: DataFrame) -> DataFrame:
@@ -266,13 +274,14 @@ def sentiment(stocks: DataFrame, imbalance: DataFrame) -> DataFrame:
     A stock without any imbalance row counts as balanced, as does one whose
     newest imbalance is undefined.
     """
-    newest = latest_row(imbalance, "OBI").select("stock", "OBI")
+    keys = by_day(imbalance, "stock") if "trade_date" in stocks.columns else ["stock"]
+    newest = latest_row(imbalance, "OBI").select(*keys, "OBI")
     score = measures.clamp(50.0 + F.col("obi") * 50.0, 0.0, 100.0)
     return (
-        stocks.select("stock")
+        stocks.select(*keys)
         .distinct()
-        .join(newest, "stock", "left")
-        .select("stock", F.coalesce("OBI", F.lit(0.0)).alias("obi"))
+        .join(newest, keys, "left")
+        .select(*keys, F.coalesce("OBI", F.lit(0.0)).alias("obi"))
         .withColumn("sentiment_score", score)
         .withColumn("status", sentiment_status(F.col("sentiment_score")))
     )

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import times
+from tickloom.operators.slices import numbered as numbered_rows
+
+PLACE_BITS = 40
 
 
 def of_type(messages: DataFrame, kind: str) -> DataFrame:
@@ -25,7 +28,22 @@ def add_orders(messages: DataFrame) -> DataFrame:
 
 def directory(messages: DataFrame) -> DataFrame:
     """Distinct (locate, stock, category); several rows per stock are possible."""
-    return of_type(messages, "R").select("stock_locate", "stock", "market_cat").distinct()
+    columns = times.by_day(messages, "stock_locate", "stock", "market_cat")
+    return of_type(messages, "R").select(*columns).distinct()
+
+
+def number_files(messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Make `seq` a place in the whole tape: the file's number, then the offset in it.
+
+    Offsets repeat from file to file. With the files numbered by path, (ts_ns,
+    seq) is a total order, which open, close, newest quote and VWAP change need.
+    A file may reach 2^40 bytes. `files(path)` are the tape's files where they
+    are known already; numbers are dense and start at 0.
+    """
+    paths = (messages if files is None else files).select("path").distinct()
+    numbered = numbered_rows(paths, ["path"], "__file")
+    place = F.shiftleft("__file", PLACE_BITS).bitwiseOR(F.col("seq"))
+    return messages.join(numbered, "path").withColumn("seq", place).drop("__file")
 
 
 def trade_columns(messages: DataFrame) -> DataFrame:
@@ -66,6 +84,25 @@ def with_bucket(df: DataFrame, bar_ns: int = times.MINUTE_NS, mode: str = "floor
     return df.withColumn("minute_bucket", times.bucket(F.col("ts_ns"), bar_ns, mode))
 
 
+def landed(messages: DataFrame, trade_date: str | None = None) -> DataFrame:
+    """Messages with the columns of the landed table.
+
+    A feed's clock counts from midnight and its files carry no date, so the date
+    is given, as text or by a `trade_date` column of the messages; it is never guessed.
+    """
+    day = F.col("trade_date") if trade_date is None else F.lit(trade_date).cast("date")
+    midnight = F.unix_micros(day.cast("timestamp"))
+    ts = F.col("ts_ns")
+    return messages.withColumns(
+        {
+            "timestamp": ts,
+            "readable_time": F.timestamp_micros(midnight + times.whole(ts, 1000)),
+            "hour": times.hour_of_day(ts),
+            "trade_date": day,
+        }
+    )
+
+
 def named_keys_only(df: DataFrame, column: str = "stock") -> DataFrame:
     """Drop NULL and empty keys."""
     return df.filter(F.col(column).isNotNull() & (F.col(column) != ""))

@@ -13,6 +13,7 @@ from tickloom.operators import rows
 from tickloom.operators.bars import top_by_volume
 from tickloom.operators.joins import keep_top
 from tickloom.operators.slices import rolling_sums
+from tickloom.session import materialise
 
 # Frame widths of the signals.
 VOLATILITY_WINDOW_NS = 300 * times.SECOND_NS
@@ -33,7 +34,7 @@ def order_book_imbalance(adds: DataFrame, bar_ns: int = times.MINUTE_NS) -> Data
     """Added buy and sell volume per (stock, bar) and their imbalance."""
     return (
         rows.with_bucket(adds, bar_ns)
-        .groupBy("stock", "minute_bucket")
+        .groupBy(*times.by_day(adds, "stock", "minute_bucket"))
         .agg(*side_volumes())
         .withColumn("OBI", measures.imbalance(F.col("Buy_Vol"), F.col("Sell_Vol")))
     )
@@ -44,7 +45,7 @@ def order_book_imbalance_eps(adds: DataFrame, bar_s: int = 60, eps: float = 1e-9
     start = times.minute_start(times.seconds(F.col("ts_ns")), bar_s)
     return (
         adds.withColumn("minute_bucket", start)
-        .groupBy("stock", "minute_bucket")
+        .groupBy(*times.by_day(adds, "stock", "minute_bucket"))
         .agg(*side_volumes())
         .withColumn("OBI", measures.imbalance_eps(F.col("Buy_Vol"), F.col("Sell_Vol"), eps))
     )
@@ -61,11 +62,12 @@ def rolling_volatility(
 
     `top=None` keeps all stocks. The first trade of a window has no stddev.
     """
-    kept = trades if top is None else keep_top(trades, top_by_volume(trades, top))
+    # The leaders' trades are read twice, by the windows and by what they hand over.
+    kept = trades if top is None else materialise(keep_top(trades, top_by_volume(trades, top)), "leaders")
     ticks = F.col("price_ticks")
     sums = rolling_sums(
         kept,
-        keys,
+        times.by_day(kept, *keys),
         "ts_ns",
         window_ns,
         {
@@ -90,13 +92,13 @@ def second_stats(
     All frames are ranges of whole seconds, so every trade of one second has the
     same frame. Trades are therefore summed per second before any window. A feed
     day has 86,400 seconds, which bounds a window partition whatever share of
-    the trades its stock holds; for a tape of many days add the day to `keys`.
+    the trades its stock holds; days are keys of their own.
 
     Columns: Trade_Count_Per_Min, Rolling_Volatility, VWAP, VWAP_before (of the
     stock's previous second), Future_Max_Price, first_trade (order key of the
     second's first trade).
     """
-    keys = list(keys)
+    keys = times.by_day(trades, *keys)
     ticks, shares = F.col("price_ticks"), F.col("shares")
     per_second = (
         trades.withColumn("timestamp_sec", times.seconds(F.col("ts_ns")))
@@ -145,7 +147,7 @@ def with_second_stats(
     opening = measures.order_key(F.col("ts_ns"), F.col("seq")) == F.col("first_trade")
     return (
         trades.withColumn("timestamp_sec", times.seconds(F.col("ts_ns")))
-        .join(stats, [*keys, "timestamp_sec"])
+        .join(stats, times.by_day(trades, *keys, "timestamp_sec"))
         .withColumn(
             "VWAP_prev", F.when(opening, F.col("VWAP_before")).otherwise(F.col("VWAP"))
         )

@@ -8,26 +8,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.times import hour_of_day
 from tickloom.operators import bars, joins, rows, signals
 from tickloom.plans import features, model
 from tickloom.schema import (
-    BAR_SUMMARY,
+    DATED_BAR_SUMMARY,
+    DATED_ORDER_BOOK_IMBALANCE,
+    DATED_STOCK_SUMMARY,
     ENRICHED_TRADES,
     LANDED_MESSAGES,
-    ORDER_BOOK_IMBALANCE,
-    STOCK_SUMMARY,
+    VWAP,
 )
-from tickloom.session import materialise
+from tickloom.schema import MESSAGES as DECODED
+from tickloom.session import scratch_path, scratch_tables, stored_bytes
 from tickloom.sources import frames, messages, sinks, tables
 
 # Names of the tables below the data folder.
 MESSAGES = "full_df_parquet"
 TRADES = "enriched_trades_parquet"
-SIGNALS = "HFT_Signals"
+SIGNALS = "signals"
+VWAPS = "vwap_by_stock"
 BARS_CSV = "dashboard_summary.csv"
 STOCKS_CSV = "stock_summary.csv"
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
 
 def load_messages(spark: SparkSession, data_dir: str) -> DataFrame:
     return tables.scan_parquet(spark, f"{data_dir}/{MESSAGES}", LANDED_MESSAGES)
@@ -38,48 +42,67 @@ def load_enriched(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def load_imbalance(spark: SparkSession, data_dir: str) -> DataFrame:
-    return tables.scan_parquet(spark, f"{data_dir}/{SIGNALS}/obi", ORDER_BOOK_IMBALANCE)
+    return tables.scan_parquet(spark, f"{data_dir}/{SIGNALS}/obi", DATED_ORDER_BOOK_IMBALANCE)
 
 
 def load_summaries(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
     """The bar and stock summaries; empty tables when they were not written yet."""
     return (
-        tables.scan_summary_csv(spark, f"{data_dir}/{BARS_CSV}", BAR_SUMMARY),
-        tables.scan_summary_csv(spark, f"{data_dir}/{STOCKS_CSV}", STOCK_SUMMARY),
+        tables.scan_summary_csv(spark, f"{data_dir}/{BARS_CSV}", DATED_BAR_SUMMARY),
+        tables.scan_summary_csv(spark, f"{data_dir}/{STOCKS_CSV}", DATED_STOCK_SUMMARY),
     )
 
 
-def land(spark: SparkSession, feed: str, data_dir: str) -> None:
-    """Binary files to landed messages and enriched trades."""
-    decoded = messages.decode_messages(frames.read_frames(spark, feed))
-    # The range shuffle of the sink samples its input first. Without this table
-    # every file would be read, split and decoded twice.
-    decoded = materialise(
-        decoded.withColumn("hour", hour_of_day(F.col("ts_ns"))), "messages"
-    )
-    sinks.write_partitioned(decoded, f"{data_dir}/{MESSAGES}")
-    landed = load_messages(spark, data_dir)
-    enriched = joins.enrich_trades(
-        rows.trades(landed).drop("side"), rows.directory(landed)
-    )
-    sinks.write_partitioned(enriched, f"{data_dir}/{TRADES}")
+def land(
+    spark: SparkSession,
+    feed: str,
+    data_dir: str,
+    trade_date: str,
+    partition_bytes: int = PARTITION_BYTES,
+) -> None:
+    """Binary files of one day to landed messages and enriched trades.
+
+    Only the folders of `trade_date` are replaced, so days are landed one by one
+    and can be landed again. Range partitions follow the bytes of the decoded day.
+    """
+    day = f"trade_date={trade_date}"
+    with scratch_tables(spark):
+        # The range shuffle of the sink samples its input first. Without this table
+        # every file would be read, split and decoded twice.
+        path = scratch_path(spark, "messages")
+        messages.decode_messages(frames.read_frames(spark, feed)).write.parquet(path)
+        decoded = rows.number_files(spark.read.schema(DECODED).parquet(path))
+        partitions = max(1, -(-stored_bytes(spark, path) // partition_bytes))
+        tape = rows.landed(decoded, trade_date).drop("trade_date")
+        sinks.write_partitioned(tape, f"{data_dir}/{MESSAGES}/{day}", partitions=partitions)
+        landed = load_messages(spark, data_dir).where(F.col("trade_date") == F.lit(trade_date).cast("date"))
+        enriched = joins.enrich_trades(rows.trades(landed).drop("side"), rows.directory(landed))
+        sinks.write_partitioned(
+            enriched.drop("trade_date"), f"{data_dir}/{TRADES}/{day}", partitions=partitions
+        )
+
+
+def load_vwap(spark: SparkSession, data_dir: str) -> DataFrame:
+    return tables.scan_parquet(spark, f"{data_dir}/{VWAPS}", VWAP)
 
 
 def compute_signals(spark: SparkSession, data_dir: str) -> None:
-    """Landed tables to summaries, imbalance, market impact and volatility."""
+    """Landed tables to summaries, VWAPs, imbalance, market impact and volatility."""
     landed = load_messages(spark, data_dir)
     enriched = load_enriched(spark, data_dir)
-    sinks.write_summary_csv(bars.minute_bars(enriched), f"{data_dir}/{BARS_CSV}")
-    sinks.write_summary_csv(bars.stock_summary(enriched), f"{data_dir}/{STOCKS_CSV}")
-
-    obi = signals.order_book_imbalance(rows.add_orders(landed))
-    sinks.write_signal(obi, f"{data_dir}/{SIGNALS}/obi")
-    impact = joins.market_impact(
-        landed, ("stock", "stock_locate", "ts_ns", "price", "msg_type", "hour")
-    )
-    sinks.write_signal(impact, f"{data_dir}/{SIGNALS}/market_impact")
-    volatility = signals.rolling_volatility(rows.of_type(landed, "P"))
-    sinks.write_signal(volatility, f"{data_dir}/{SIGNALS}/volatility")
+    with scratch_tables(spark):
+        sinks.write_summary_csv(bars.minute_bars(enriched), f"{data_dir}/{BARS_CSV}")
+        sinks.write_summary_csv(bars.stock_summary(enriched), f"{data_dir}/{STOCKS_CSV}")
+        sinks.write_signal(bars.vwap_by_stock(enriched), f"{data_dir}/{VWAPS}")
+
+        obi = signals.order_book_imbalance(rows.add_orders(landed))
+        sinks.write_signal(obi, f"{data_dir}/{SIGNALS}/obi")
+        impact = joins.market_impact(
+            landed, ("stock", "stock_locate", "ts_ns", "timestamp", "price", "msg_type", "hour")
+        )
+        sinks.write_signal(impact, f"{data_dir}/{SIGNALS}/market_impact")
+        volatility = signals.rolling_volatility(rows.of_type(landed, "P"))
+        sinks.write_signal(volatility, f"{data_dir}/{SIGNALS}/volatility")
 
 
 def train(spark: SparkSession, data_dir: str, top: int = 5) -> model.Outcome:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
@@ -10,10 +11,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.rows import require_rows
+from tickloom.operators.slices import running_total
 from tickloom.plans.features import FEATURES, LABEL
 from tickloom.session import materialise
 
@@ -22,7 +24,6 @@ TREES = 20
 DEPTH = 5
 SEED = 42
 TRAIN_SHARE = 0.8
-QUANTILE_ERROR = 0.01
 
 
 def assemble(features: DataFrame) -> DataFrame:
@@ -33,19 +34,31 @@ def assemble(features: DataFrame) -> DataFrame:
     return assembler.transform(features)
 
 
-def split_time(
-    features: DataFrame, share: float = TRAIN_SHARE, error: float = QUANTILE_ERROR
-) -> float:
-    """The second up to which rows are for training."""
-    return features.approxQuantile("timestamp_sec", [share], error)[0]
+def _at(features: DataFrame) -> Column:
+    """Second of a row in the order of time, days included."""
+    second = F.col("timestamp_sec")
+    return F.datediff("trade_date", F.lit("1970-01-01")) * F.lit(86_400) + second if (
+        "trade_date" in features.columns
+    ) else second
+
+
+def split_time(features: DataFrame, share: float = TRAIN_SHARE) -> int:
+    """The second up to which rows are for training: the first that holds `share` of them.
+
+    Rows are counted per second and the counts summed up in time slices, so only
+    the answer reaches the driver.
+    """
+    counts = features.groupBy(_at(features).cast("bigint").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    summed = running_total(counts, [], "at", F.col("n"), 3_600, "upto")
+    return summed.filter(F.col("upto") >= math.ceil(share * total)).agg(F.min("at")).first()[0]
 
 
 def chrono_split(
-    features: DataFrame, share: float = TRAIN_SHARE, error: float = QUANTILE_ERROR
+    features: DataFrame, share: float = TRAIN_SHARE
 ) -> tuple[DataFrame, DataFrame]:
     """Earlier rows to train on, later rows to test on."""
-    cut = split_time(features, share, error)
-    at = F.col("timestamp_sec")
+    cut, at = split_time(features, share), _at(features)
     return features.filter(at <= cut), features.filter(at > cut)
 
 

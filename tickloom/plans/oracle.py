@@ -67,6 +67,21 @@ VIEWS = {
         from (select *, ts_ns // 1000000000 as s from e_trades) t
         window w as (partition by stock order by s
           range between {DAY_S} preceding and current row)""",
+    # Times in whole hours, rows dealt over four files, place = (time, file, offset).
+    "t_msgs": """
+        select *, ts_ns::hugeint * 10000000000000000000::hugeint + seq as place
+        from (select * replace (ts_ns - ts_ns % 3600000000000 as ts_ns,
+            (seq % 4) * 1099511627776 + seq // 4 as seq) from e_msgs) m""",
+    "t_trades": "select * from t_msgs where msg_type = 'P'",
+    "m_rows": """
+        select concat('P', cast(l_partkey as varchar)) as stock,
+          epoch_us(l_shipdate) // 1000000 as timestamp_sec,
+          cast(ceil(l_quantity / 5) * 5 + case when l_quantity > 25 then 20 else 0 end as double)
+            as OBI,
+          l_discount as Rolling_Volatility, cast(l_linenumber as double) as Trade_Count_Per_Min,
+          l_tax as VWAP_Change,
+          case when l_quantity > 25 then 1.0::double else 0.0::double end as price_direction
+        from lineitem""",
     "e_lagged": """
         select *, lag(vwap) over (partition by stock order by ts_ns, seq) as vwap_prev
         from e_stats""",
@@ -93,9 +108,14 @@ VIEWS = {
           and l.vwap - l.vwap_prev is not null""",
 }
 
+VIEWS["t_stats"] = VIEWS["e_stats"].replace("e_trades", "t_trades")
+
 # Which views each view reads.
 READS = {
     "e_trades": ["e_msgs"],
+    "t_msgs": ["e_msgs"],
+    "t_trades": ["t_msgs"],
+    "t_stats": ["t_trades"],
     "e_adds": ["e_msgs"],
     "e_dir": ["e_msgs"],
     "e_enriched": ["e_trades", "e_dir"],
@@ -141,12 +161,6 @@ _MIN_BARS = f"""
       sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price, count(*) as trade_count
     from e_enriched group by 1, 2, 3"""
 
-# A stream emits a bar once it ended an hour before the newest row.
-def _finished(view: str) -> str:
-    return f"""(minute_bucket + 1) * {DAY} <=
-      (select max(ts_ns) from {view}) - 3600000000000"""
-
-
 # name: (views read directly, select)
 SELECTS: dict[str, tuple[list[str], str]] = {
     "decode_messages": (["e_msgs"], f"select seq, {_DECODED} from e_msgs where msg_type <> 'X'"),
@@ -518,18 +532,84 @@ SELECTS: dict[str, tuple[list[str], str]] = {
              when OBI is not null then printf('%.4f', OBI) end as label from e_obi""",
     ),
     "stream_land": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
-    "stream_minute_bars": (
-        ["e_enriched"],
-        f"select * from ({_MIN_BARS}) b where {_finished('e_enriched')}",
-    ),
-    "stream_order_book_imbalance": (
-        ["e_obi", "e_adds"],
-        f"select * from e_obi where {_finished('e_adds')}",
+    "stream_rejected": (
+        ["e_msgs"],
+        "select 'other type' as reason, count(*) as frames from e_msgs where msg_type = 'X'",
     ),
+    "stream_minute_bars": (["e_enriched"], _MIN_BARS),
+    "stream_order_book_imbalance": (["e_obi"], "select * from e_obi"),
     "stream_candles": (
         ["e_trades"],
-        f"""select * from (select stock, ts_ns // {DAY} as minute_bucket, {_OPEN_CLOSE}
-              from e_trades group by 1, 2) c where {_finished('e_trades')}""",
+        f"select stock, ts_ns // {DAY} as minute_bucket, {_OPEN_CLOSE} from e_trades group by 1, 2",
+    ),
+    "landed_columns": (
+        ["e_msgs"],
+        f"""select seq, msg_type, stock_locate, ts_ns % {DAY} as ts_ns, stock, shares, price_ticks,
+              price, order_ref, side, market_cat,
+              strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d') as trade_date,
+              ts_ns % {DAY} as "timestamp",
+              strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d %H:%M:%S.%f') as readable_time,
+              cast(ts_ns % {DAY} // 3600000000000 as int) as hour
+            from e_msgs where msg_type <> 'X'""",
+    ),
+    "row_counts": (
+        ["e_msgs"],
+        "select msg_type, count(*) as rows, count(*) = 0 as is_empty from e_msgs group by 1",
+    ),
+    "directory_latest_ties": (
+        ["t_msgs"],
+        """select stock_locate, stock, market_cat from (
+             select *, row_number() over (partition by stock order by ts_ns desc, seq desc) as rn
+             from t_msgs where msg_type = 'R') r where rn = 1""",
+    ),
+    "asof_ties": (
+        ["t_msgs"],
+        """select t.seq, t.stock_locate, t.ts_ns, t.price, a.price as last_a_price,
+             t.price - a.price as market_impact
+           from (select * from t_msgs where msg_type = 'P') t
+           asof left join (select * from t_msgs where msg_type = 'A') a
+             on t.stock_locate = a.stock_locate and t.place >= a.place""",
+    ),
+    "ohlc_candles_ties": (
+        ["t_trades"],
+        f"""select stock, ts_ns // {DAY} as minute_bucket,
+              {_OPEN_CLOSE.replace("price, ts_ns", "price, place")} from t_trades group by 1, 2""",
+    ),
+    "vwap_change_ties": (
+        ["t_stats"],
+        """select seq, vwap as VWAP, p as VWAP_prev, vwap - p as VWAP_Change
+           from (select *, lag(vwap) over (partition by stock order by ts_ns, seq) as p
+             from t_stats) l""",
+    ),
+    "minute_bars_two_days": (
+        ["e_trades"],
+        f"""select strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d') as trade_date, stock,
+              ts_ns % {DAY} // 3600000000000 as minute_bucket, 'Q' as market_cat,
+              cast(sum(shares) as bigint) as volume,
+              sum(price_ticks * shares) / nullif(sum(shares), 0) / 10000.0 as vwap,
+              sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price, count(*) as trade_count
+            from e_trades group by 1, 2, 3""",
+    ),
+    "rolling_two_days": (
+        ["e_trades"],
+        f"""select seq, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d') as trade_date, stock,
+              ts_ns % {DAY} as ts_ns,
+              round(stddev_samp(price) over (partition by ts_ns // {DAY}, stock
+                order by ts_ns range between {DAY // 4} preceding and current row), 6) as volatility
+            from e_trades""",
+    ),
+    "assembled": (
+        ["m_rows"],
+        """select stock, timestamp_sec, OBI, Rolling_Volatility, Trade_Count_Per_Min, VWAP_Change
+           from m_rows""",
+    ),
+    "train_score": (
+        ["m_rows"],
+        """select price_direction as label, price_direction as prediction, count(*) as n,
+             1.0::double as accuracy, 1.0::double as weightedPrecision
+           from m_rows
+           where timestamp_sec > (select quantile_disc(timestamp_sec, 0.8) from m_rows)
+           group by 1""",
     ),
     "q_tickers": (["l_trades"], "select distinct stock from l_trades order by stock"),
     "q_summary": (

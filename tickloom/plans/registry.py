@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,11 +89,11 @@ def frame_split(spark, sf_dir):
 
 @query
 def frame_split_ranges(spark, sf_dir):
-    """The same with every file read in byte ranges, as done for large files."""
+    """The same with every file cut into many byte ranges, as done for long files."""
     path = scratch_path(spark, "feed")
     tape_views.write_feed(tape_views.frames(spark, sf_dir), path)
     frames = frame_source.read_frames(
-        spark, path, whole_file_bytes=0, range_bytes=frame_source.SMALLEST_RANGE
+        spark, path, range_bytes=frame_source.SMALLEST_RANGE
     )
     return messages.decode_messages(materialise(frames, "frames")).select(*_MESSAGE_COLUMNS[1:])
 
@@ -111,7 +112,30 @@ def write_partitioned(spark, sf_dir):
     sinks.write_partitioned(
         tape.withColumn("hour", times.hour_of_day(F.col("ts_ns"))), path
     )
-    return tables.scan_parquet(spark, path, LANDED_MESSAGES).drop("path")
+    return tables.scan_parquet(spark, path, LANDED_MESSAGES).select(*_MESSAGE_COLUMNS, "hour")
+
+
+@query
+def landed_columns(spark, sf_dir):
+    """Dated messages landed by day, with all columns of the landed table."""
+    path = scratch_path(spark, "messages")
+    tape = tape_views.dated(spark, sf_dir).filter("msg_type <> 'X'")
+    sinks.write_partitioned(rows.landed(tape), path, ("trade_date", "msg_type"))
+    return tables.scan_parquet(spark, path, LANDED_MESSAGES).select(
+        *_MESSAGE_COLUMNS,
+        F.col("trade_date").cast("string").alias("trade_date"),
+        "timestamp",
+        F.date_format("readable_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("readable_time"),
+        "hour",
+    )
+
+
+@query
+def row_counts(spark, sf_dir):
+    """Rows of each message type, and whether there are any."""
+    tape = tape_views.messages(spark, sf_dir)
+    counted = tape.groupBy("msg_type").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.withColumn("is_empty", F.col("rows") == 0)
 
 
 @query
@@ -226,9 +250,9 @@ def enrich_trades(spark, sf_dir):
 
 @query
 def enrich_trades_salted(spark, sf_dir):
-    """The way taken when the directory is too large to broadcast."""
+    """Hot stocks spread by hand: the way where adaptive execution is off."""
     joined = joins.enrich_trades(
-        tape_views.trades(spark, sf_dir), tape_views.directory(spark, sf_dir), max_rows=0
+        tape_views.trades(spark, sf_dir), tape_views.directory(spark, sf_dir), salts=32
     )
     return joined.select(
         "seq", "stock", "ts_ns", "shares", "price_ticks", "stock_locate", "market_cat"
@@ -247,6 +271,20 @@ def directory_latest(spark, sf_dir):
     return joins.directory_latest(tape_views.messages(spark, sf_dir, "signup"))
 
 
+@query
+def directory_latest_ties(spark, sf_dir):
+    """Directory rows of one time in several files."""
+    return joins.directory_latest(tape_views.tied(spark, sf_dir, "signup"))
+
+
+@query
+def asof_ties(spark, sf_dir):
+    """Orders and trades of one time in several files."""
+    tape = tape_views.tied(spark, sf_dir, "purchase", "view", "click")
+    columns = ("seq", "stock_locate", "ts_ns", "price")
+    return joins.market_impact(tape, columns, slice_ns=QUARTER_DAY)
+
+
 @query
 def attach_obi(spark, sf_dir):
     trades = rows.with_bucket(tape_views.trades(spark, sf_dir), DAY)
@@ -339,6 +377,20 @@ def ohlc_candles(spark, sf_dir):
     return bars.ohlc_candles(tape_views.trades(spark, sf_dir), DAY)
 
 
+@query
+def ohlc_candles_ties(spark, sf_dir):
+    """Open and close among trades of one time in several files."""
+    return bars.ohlc_candles(rows.trades(tape_views.tied(spark, sf_dir, "purchase")), DAY)
+
+
+@query
+def minute_bars_two_days(spark, sf_dir):
+    """Hourly bars of a tape of many days whose times count from midnight."""
+    tape = rows.trades(tape_views.dated(spark, sf_dir, "purchase"))
+    table = bars.minute_bars(tape.withColumn("market_cat", F.lit("Q")), bar_ns=times.HOUR_NS)
+    return table.withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
 @query
 def ohlc_candles_rounded(spark, sf_dir):
     return bars.ohlc_candles(tape_views.trades(spark, sf_dir), DAY, "round")
@@ -422,6 +474,23 @@ def vwap_change(spark, sf_dir):
     return stats.select("seq", "VWAP", "VWAP_prev", "VWAP_Change")
 
 
+@query
+def vwap_change_ties(spark, sf_dir):
+    """First trade of a second among trades of one time in several files."""
+    tape = rows.trades(tape_views.tied(spark, sf_dir, "purchase"))
+    stats = signals.rolling_trade_stats(tape, DAY_S, DAY_S)
+    return stats.select("seq", "VWAP", "VWAP_prev", "VWAP_Change")
+
+
+@query
+def rolling_two_days(spark, sf_dir):
+    """Windows over a tape of many days whose times count from midnight."""
+    tape = rows.trades(tape_views.dated(spark, sf_dir, "purchase"))
+    spread = signals.rolling_volatility(tape, QUARTER_DAY, top=None, slice_ns=times.HOUR_NS)
+    day = F.col("trade_date").cast("string").alias("trade_date")
+    return _rounded(spread.select("seq", day, "stock", "ts_ns", "volatility"), "volatility")
+
+
 @query
 def future_max_label(spark, sf_dir):
     stats = signals.rolling_trade_stats(tape_views.trades(spark, sf_dir), DAY_S, DAY_S)
@@ -562,40 +631,48 @@ def _message_stream(spark, sf_dir):
     return spark.readStream.schema(MESSAGES).parquet(path)
 
 
-def _finished(spark, stream):
-    path = scratch_path(spark, "bars")
-    live.write_bars(stream, path, scratch_path(spark, "checkpoint")).awaitTermination()
+def _landed(spark, stream):
+    """What a stream has landed, as a table."""
+    path = scratch_path(spark, "landed")
+    live.land(stream, path, scratch_path(spark, "checkpoint")).awaitTermination()
     return tables.scan_parquet(spark, path, stream.schema)
 
 
 @query
 def stream_land(spark, sf_dir):
     """Feed files of the whole tape landed by a stream."""
-    feed, path = scratch_path(spark, "feed"), scratch_path(spark, "messages")
+    feed = scratch_path(spark, "feed")
     tape_views.write_feed(tape_views.frames(spark, sf_dir), feed)
-    live.land(
-        live.read_feed(spark, feed), path, scratch_path(spark, "checkpoint")
-    ).awaitTermination()
-    return tables.scan_parquet(spark, path, LANDED_MESSAGES).select(*_MESSAGE_COLUMNS[1:])
+    landed = _landed(spark, messages.decode_messages(live.read_frames(spark, feed)))
+    return landed.select(*_MESSAGE_COLUMNS[1:])
+
+
+@query
+def stream_rejected(spark, sf_dir):
+    """Frames that a landing stream refuses, counted by reason."""
+    feed = scratch_path(spark, "feed")
+    tape_views.write_feed(tape_views.frames(spark, sf_dir), feed)
+    refused = _landed(spark, messages.rejected_frames(live.read_frames(spark, feed)))
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("frames"))
 
 
 @query
 def stream_minute_bars(spark, sf_dir):
     trades = rows.trades(_message_stream(spark, sf_dir))
-    enriched = joins.enrich_trades(trades, tape_views.directory(spark, sf_dir))
-    return _finished(spark, live.minute_bars(enriched, DAY, "1 hour"))
+    landed = _landed(spark, joins.enrich_trades(trades, tape_views.directory(spark, sf_dir)))
+    return bars.minute_bars(landed, bar_ns=DAY)
 
 
 @query
 def stream_order_book_imbalance(spark, sf_dir):
-    adds = rows.add_orders(_message_stream(spark, sf_dir))
-    return _finished(spark, live.order_book_imbalance(adds, DAY, "1 hour"))
+    adds = _landed(spark, rows.add_orders(_message_stream(spark, sf_dir)))
+    return signals.order_book_imbalance(adds, DAY)
 
 
 @query
 def stream_candles(spark, sf_dir):
-    trades = rows.trades(_message_stream(spark, sf_dir))
-    return _finished(spark, live.ohlc_candles(trades, DAY, "1 hour"))
+    trades = _landed(spark, rows.trades(_message_stream(spark, sf_dir)))
+    return bars.ohlc_candles(trades, DAY)
 
 
 # --- read queries ------------------------------------------------------------
@@ -655,18 +732,25 @@ def build_features_lagged(spark, sf_dir):
 def chrono_split(spark, sf_dir):
     """Feature rows with their part of an exact 80/20 split in time."""
     table = materialise(_test_features(spark, sf_dir, top=50), "features")
-    train, test = model.chrono_split(model.assemble(table), error=0.0)
+    train, test = model.chrono_split(model.assemble(table))
     keep = ["stock", "timestamp_sec"]
     return train.select(*keep, F.lit("train").alias("part")).union(
         test.select(*keep, F.lit("test").alias("part"))
     )
 
 
+@query
+def assembled(spark, sf_dir):
+    """The elements of the assembled vector, row by row."""
+    rows_ = model.assemble(tape_views.margin_features(spark, sf_dir))
+    parts = rows_.select("stock", "timestamp_sec", vector_to_array("features").alias("v"))
+    names = [F.col("v")[i].alias(name) for i, name in enumerate(features.FEATURES)]
+    return parts.select("stock", "timestamp_sec", *names)
+
+
 @query
 def train_score(spark, sf_dir):
-    """Confusion table of the trained model on the later rows."""
-    outcome = model.fit_and_evaluate(_test_features(spark, sf_dir, top=50))
+    """Confusion table and metrics on the later rows, for a label the model can learn fully."""
+    outcome = model.fit_and_evaluate(tape_views.margin_features(spark, sf_dir))
     metrics = {name: F.lit(value) for name, value in outcome.metrics.items()}
     return model.confusion(outcome.predictions).withColumns(metrics)
-
-

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import binary, measures, times
 from tickloom.operators import bars, joins, rows
-from tickloom.session import ship_package
+from tickloom.session import make_folder, move, ship_package
 from tickloom.sources.frames import open_file
 
 # Market categories by remainder of the event's number.
 CATEGORIES = "QGSN"
+FILES = 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,46 @@ def messages(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
     )
 
 
+def dated(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
+    """The message tape as a feed has it: a trade date, and times from midnight."""
+    tape = messages(spark, sf_dir, *event_types)
+    day = F.timestamp_micros(times.whole(F.col("ts_ns"), 1000)).cast("date")
+    return tape.withColumn("trade_date", day).withColumn("ts_ns", F.pmod("ts_ns", F.lit(times.DAY_NS)))
+
+
+def tied(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
+    """The message tape with whole hours as times, dealt over four files whose offsets overlap."""
+    tape = messages(spark, sf_dir, *event_types)
+    file, offset = F.col("seq") % FILES, times.whole(F.col("seq"), FILES)
+    tape = tape.withColumns(
+        {
+            "path": F.concat(F.lit("f"), file.cast("string")),
+            "seq": offset,
+            "ts_ns": times.slice_start(F.col("ts_ns"), times.HOUR_NS),
+        }
+    )
+    names = spark.range(FILES).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"))
+    return rows.number_files(tape, names)
+
+
+def margin_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as feature rows whose label is a threshold of one feature, with a wide gap.
+
+    A forest that learns at all gets every row right, so its answer is known.
+    """
+    step = F.ceil(F.col("l_quantity") / 5) * 5
+    above = (F.col("l_quantity") > 25).cast("double")
+    return _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("stock"),
+        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("timestamp_sec"),
+        (step + 20 * above).cast("double").alias("OBI"),
+        F.col("l_discount").alias("Rolling_Volatility"),
+        F.col("l_linenumber").cast("double").alias("Trade_Count_Per_Min"),
+        F.col("l_tax").alias("VWAP_Change"),
+        above.alias("price_direction"),
+    )
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.trades(messages(spark, sf_dir, "purchase"))
 
@@ -159,21 +200,30 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_feed(frames: DataFrame, path: str) -> int:
     """Write frames as length-prefixed binary files in the order of `seq`.
 
-    Each task writes one file, named by its partition, so a re-run task replaces
-    its own file. Returns the number of frames.
+    Each attempt of a task writes a file of its own outside `path`; the driver
+    moves the one file of every finished task to its place, so neither a re-run
+    nor a speculative twin leaves half a file. Returns the number of frames.
     """
 
+    attempts = f"{path}-attempts"
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = 0
-        with open_file(f"{path}/feed-{TaskContext.get().partitionId():06d}.bin", "w") as out:
+        written, context = 0, TaskContext.get()
+        name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
+        with open_file(f"{attempts}/{name}", "w") as out:
             for batch in batches:
                 for payload in batch.column(0):
                     data = payload.as_py()
                     out.write(len(data).to_bytes(2, "big") + data)
                     written += 1
-        yield pa.RecordBatch.from_pydict({"frames": pa.array([written], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"name": [name], "frames": pa.array([written], pa.int64())})
 
-    ship_package(frames.sparkSession)
+    spark = frames.sparkSession
+    ship_package(spark)
     ordered = frames.repartitionByRange("path", "seq").sortWithinPartitions("path", "seq")
-    done = ordered.select("payload").mapInArrow(write, "frames bigint")
-    return done.agg(F.sum("frames")).first()[0]
+    # One short row per finished task.
+    done = ordered.select("payload").mapInArrow(write, "name string, frames bigint").collect()
+    make_folder(spark, path)
+    for row in done:
+        move(spark, f"{attempts}/{row['name']}", f"{path}/feed-{row['name'][:6]}.bin")
+    return sum(row["frames"] for row in done)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     BinaryType,
+    DateType,
     DoubleType,
     IntegerType,
     LongType,
     StringType,
     StructField,
     StructType,
+    TimestampType,
 )
 
 
@@ -18,7 +20,8 @@ def _table(*columns) -> StructType:
 
 
 # One row per length-prefixed frame; `seq` is the byte offset of the frame's
-# length prefix, so it is unique and ascending inside a file.
+# length prefix, so it is unique and ascending inside a file; a landed tape has
+# the file's number above it (`rows.number_files`), which makes it unique in the tape.
 FRAMES = _table(("path", StringType()), ("seq", LongType()), ("payload", BinaryType()))
 
 # One wide row per decoded message. Prices are whole ticks of 1/10000, which
@@ -38,8 +41,14 @@ MESSAGES = _table(
     ("market_cat", StringType()),
 )
 
-# The landed form adds the hour, which is also a partition column.
-LANDED_MESSAGES = StructType(MESSAGES.fields + [StructField("hour", IntegerType(), True)])
+# The landed form adds the time columns. Date, type and hour are folders.
+_TIMES = (
+    ("timestamp", LongType()),
+    ("readable_time", TimestampType()),
+    ("hour", IntegerType()),
+    ("trade_date", DateType()),
+)
+LANDED_MESSAGES = StructType(MESSAGES.fields + _table(*_TIMES).fields)
 
 DIRECTORY = _table(
     ("stock_locate", IntegerType()), ("stock", StringType()), ("market_cat", StringType())
@@ -54,11 +63,13 @@ ENRICHED_TRADES = _table(
     ("price_ticks", LongType()),
     ("price", DoubleType()),
     ("msg_type", StringType()),
-    ("hour", IntegerType()),
     ("stock_locate", IntegerType()),
     ("market_cat", StringType()),
+    *_TIMES,
 )
 
+_DAY = (("trade_date", DateType()),)
+
 BAR_SUMMARY = _table(
     ("stock", StringType()),
     ("minute_bucket", LongType()),
@@ -84,3 +95,16 @@ ORDER_BOOK_IMBALANCE = _table(
     ("Sell_Vol", LongType()),
     ("OBI", DoubleType()),
 )
+
+VWAP = _table(
+    *_DAY,
+    ("stock", StringType()),
+    ("market_cat", StringType()),
+    ("vwap", DoubleType()),
+    ("total_volume", LongType()),
+)
+
+# The same tables of a tape with dates.
+DATED_BAR_SUMMARY = StructType(_table(*_DAY).fields + BAR_SUMMARY.fields)
+DATED_STOCK_SUMMARY = StructType(_table(*_DAY).fields + STOCK_SUMMARY.fields)
+DATED_ORDER_BOOK_IMBALANCE = StructType(_table(*_DAY).fields + ORDER_BOOK_IMBALANCE.fields)

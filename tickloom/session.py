@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,9 @@ SETTINGS = {
 }
 
 
-LOCAL_SCRATCH = "tickloom.scratch.dir"
 _KEPT: list[tempfile.TemporaryDirectory] = []
+_LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 _SHIPPED: set[str] = set()
 
 
@@ -60,21 +63,65 @@ def scratch_root(spark: SparkSession) -> str:
     root = (
         spark.conf.get("spark.checkpoint.dir", None)
         or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get(LOCAL_SCRATCH, None)
     )
     if root:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.TemporaryDirectory(prefix="tickloom-", ignore_cleanup_errors=True)
-    _KEPT.append(folder)
-    spark.conf.set(LOCAL_SCRATCH, folder.name)
-    return folder.name
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        folder = tempfile.TemporaryDirectory(prefix="tickloom-", ignore_cleanup_errors=True)
+        _KEPT.append(folder)
+        _LOCAL[application] = folder.name
+    return _LOCAL[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; `scratch_tables` removes it."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path's Hadoop file system, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, place = _hadoop(spark, path)
+    system.mkdirs(place)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file within one file system."""
+    system, place = _hadoop(spark, source)
+    if not system.rename(place, _hadoop(spark, target)[1]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files below `path`."""
+    system, place = _hadoop(spark, path)
+    return system.getContentSummary(place).getLength()
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside the block when it ends.
+
+    For jobs whose results are written; a DataFrame that still reads a scratch
+    table must be used up before.
+    """
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            system, place = _hadoop(spark, path)
+            system.delete(place, True)
+        del _MADE[before:]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A file is a sequence of `uint16 big-endian length || payload`. Where a frame
 starts is known only from the frame before it, so a file cannot simply be cut.
 
-Files up to `whole_file_bytes` are read whole, one task per group of files.
-Larger files are read in byte ranges. A frame may reach at most 65,536 bytes
+Files are read in byte ranges by one reader, whatever their size. A file of one
+range is split at once. In longer files a frame may reach at most 65,536 bytes
 into the next range, so for every possible entry point of a range the matching
 exit point is worked out on its own, all ranges in parallel; chains that start
 at different points soon run into each other, so this costs about one pass. The
@@ -34,10 +34,9 @@ from tickloom.session import materialise, ship_package
 PREFIX = 2
 ENTRIES = PREFIX + 65_535  # possible entry points of a range: 0 .. 65,536
 SMALLEST_RANGE = ENTRIES
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
-RANGE_BYTES = 16 * 1024 * 1024
+RANGE_BYTES = 64 * 1024 * 1024
 RANGES_PER_TASK = 4
-MOST_TASKS = 50_000  # beyond it a task takes more ranges, one after the other
+MOST_TASKS = 50_000
 FAN = 64  # tables chained in one group: 64 x 256 KiB
 BATCH = 30_000  # frames of at most 65,535 bytes: below 2 GiB, the limit of a batch
 
@@ -49,29 +48,42 @@ _ARROW_FRAMES = pa.schema(
 def read_frames(
     spark: SparkSession,
     path: str,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
     range_bytes: int = RANGE_BYTES,
+    most_tasks: int = MOST_TASKS,
 ) -> DataFrame:
     """All complete frames below `path` as (path, seq, payload).
 
     `seq` is the byte offset of the frame in its file. An incomplete frame at
-    the end of a file is left out.
+    the end of a file is left out. Spark lists the files; their bytes are read
+    with Arrow's file systems (local, HDFS, S3, GCS; tried: local). Beyond
+    `most_tasks` tasks a task takes more ranges, one after the other.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    )
-    # The filter on length reaches the source, so larger files are not opened.
-    frames = split_files(files.filter(F.col("length") <= whole_file_bytes))
-    large = files.filter(F.col("length") > whole_file_bytes).select("path", "length")
-    if large.isEmpty():
-        return frames
-    return frames.unionByName(_read_ranges(large, max(range_bytes, SMALLEST_RANGE)))
-
-
-def split_files(files: DataFrame) -> DataFrame:
-    """Frames of whole files given as (path, content)."""
-    ship_package(files.sparkSession)
-    return files.select("path", "content").mapInArrow(_split_files, FRAMES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    width = max(range_bytes, SMALLEST_RANGE)
+    files = files.filter("length > 0").select("path", "length")
+    ship_package(spark)
+    short = files.filter(F.col("length") <= width).mapInArrow(split_windows(None), FRAMES)
+    long = files.filter(F.col("length") > width)
+    return short if long.isEmpty() else short.unionByName(_read_ranges(long, width, most_tasks))
+
+
+def split_windows(width: int | None):
+    """Frames of files (path, length) from start to end, `width` bytes at a time (None: at once)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at, step = 0, width or length
+                while at < length:
+                    data = _read(path, at, min(at + step + ENTRIES, length))
+                    # The next window starts behind the last frame that begins in this one.
+                    borders = _starts(data, min(step, length - at))
+                    yield from _frame_batches(path, data, at, min(step, length - at))
+                    if borders[-1] == 0 or borders[-1] < min(step, length - at):
+                        break  # an incomplete frame ends the file
+                    at += borders[-1]
+
+    return run
 
 
 def prefix_sample(
@@ -124,13 +136,6 @@ def _frame_batches(
         )
 
 
-def _split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1)):
-            data = content.as_py()
-            yield from _frame_batches(path.as_py(), data, 0, len(data))
-
-
 # --- byte ranges of large files ----------------------------------------------
 
 
@@ -209,12 +214,14 @@ def _split_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for row in batch.to_pylist():
             start = row["start"] + row["entry"]
+            if start >= row["length"]:  # an incomplete frame reaches past the end
+                continue
             # The last frame of the range may end in the next one.
             data = _read(row["path"], start, min(row["end"] + ENTRIES, row["length"]))
             yield from _frame_batches(row["path"], data, start, row["end"] - start)
 
 
-def _read_ranges(files: DataFrame, width: int) -> DataFrame:
+def _read_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
     ship_package(files.sparkSession)
     ranges = files.select(
         "path",
@@ -228,7 +235,7 @@ def _read_ranges(files: DataFrame, width: int) -> DataFrame:
     )
     extent = files.agg(F.sum("length").alias("bytes"), F.max("length").alias("longest"))
     total, longest = extent.first()
-    tasks = min(max(1, total // (width * RANGES_PER_TASK)), MOST_TASKS)
+    tasks = min(max(1, total // (width * RANGES_PER_TASK)), most_tasks)
     ranges = ranges.repartition(tasks, "path", "no")
 
     table_schema = "path string, no bigint, exits binary"

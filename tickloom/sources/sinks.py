@@ -13,6 +13,7 @@ def write_partitioned(
     partition_by: Sequence[str] = ("msg_type", "hour"),
     cluster_by: Sequence[str] = ("stock", "ts_ns"),
     rows_per_file: int = 20_000_000,
+    partitions: int | None = None,
 ) -> None:
     """Overwrite `path` with Parquet folders, range-clustered inside each folder.
 
@@ -20,12 +21,14 @@ def write_partitioned(
     few files, a stock lies in few row groups, and a hot stock is still spread
     over many tasks because time is part of the range key. Folders per stock
     (`partition_by=("stock", "msg_type", "hour")`) are possible but make a folder
-    per ticker, type and hour.
+    per ticker, type and hour. `partitions` is the number of range partitions:
+    give it for large tables, as adaptive execution merges small partitions of a
+    range shuffle but never splits large ones.
     """
     folders = list(partition_by)
     order = [*folders, *[c for c in cluster_by if c not in folders]]
     (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*([partitions] if partitions else []), *order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .partitionBy(*folders)

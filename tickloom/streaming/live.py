@@ -1,96 +1,71 @@
-"""The tape as a stream: land feed files as they arrive, keep bars up to date.
+"""The tape as a stream: land what arrives, and sum bars from what has landed.
 
-The columns are those of the batch operators. A bar is a tumbling window over
-the tape's own clock and is emitted once, when the watermark has passed its end.
-The aggregations combine on the map side, so a hot stock costs one state row per
-open bar. Add the directory with `joins.enrich_trades`, a stream-static join.
+A stream only appends rows; nothing waits for a watermark, so no row is late.
+Bars, imbalance and candles are the batch operators over the landed table: a
+file that arrives late, of an earlier hour or day, changes the bars it belongs
+to, and the newest bar is there as far as it has come. `refresh` sums the days
+again that a run has touched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.functions import measures, times
-from tickloom.operators import bars, signals
-from tickloom.sources.frames import split_files
-from tickloom.sources.messages import decode_messages
+from tickloom.schema import FRAMES
+from tickloom.session import ship_package
+from tickloom.sources.frames import RANGE_BYTES, split_windows
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of the binary files that arrive below `path`; one task per file."""
+def read_frames(spark: SparkSession, path: str, window_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames of the binary files that arrive below `path`.
+
+    Only names and lengths go through Spark's source; the bytes are read window
+    by window, so a file may be of any length. One task works through one file:
+    a feed is streamed as it grows in many files, and a whole day in one file is
+    what the batch reader's ranges are for.
+    """
+    ship_package(spark)
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILES)
         .option("recursiveFileLookup", True)
         .load(path)
+        .select("path", "length")
     )
-    return decode_messages(split_files(files))
-
-
-def land(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append messages to the landed table; takes what has arrived, then stops."""
-    landed = messages.withColumn("hour", times.hour_of_day(F.col("ts_ns")))
-    return (
-        landed.writeStream.format("parquet")
-        .partitionBy("msg_type", "hour")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
+    return files.mapInArrow(split_windows(window_bytes), FRAMES)
 
 
-def write_bars(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished bars to a Parquet table."""
+def land(
+    rows: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()
+) -> StreamingQuery:
+    """Append rows to a Parquet table, each once; takes what has arrived, then stops."""
     return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
+        rows.writeStream.format("parquet")
+        .partitionBy(*partition_by)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(path)
     )
 
 
-def _by_bar(tape: DataFrame, bar_ns: int, delay: str, *by: str):
-    width = f"{bar_ns // 1000} microseconds"
-    timed = tape.withColumn("event_time", times.readable_time(F.col("ts_ns")))
-    return timed.withWatermark("event_time", delay).groupBy(
-        F.window("event_time", width).alias("w"), "stock", *by
-    )
-
-
-def _bucket(bar_ns: int):
-    start_ns = F.unix_micros(F.col("w.start")) * F.lit(1000)
-    return times.bucket(start_ns, bar_ns).alias("minute_bucket")
-
-
-def minute_bars(
-    enriched: DataFrame, bar_ns: int = times.MINUTE_NS, delay: str = "10 seconds"
-) -> DataFrame:
-    """Finished bars of enriched trades per (stock, category)."""
-    sums = _by_bar(enriched, bar_ns, delay, "market_cat").agg(*bars.trade_sums())
-    return sums.withColumn("repeats", F.lit(1)).select(
-        "stock", _bucket(bar_ns), "market_cat", *bars.bar_columns()
-    )
-
-
-def order_book_imbalance(
-    adds: DataFrame, bar_ns: int = times.MINUTE_NS, delay: str = "10 seconds"
-) -> DataFrame:
-    """Finished bars of added volume per stock with their imbalance."""
-    volumes = _by_bar(adds, bar_ns, delay).agg(*signals.side_volumes())
-    obi = measures.imbalance(F.col("Buy_Vol"), F.col("Sell_Vol"))
-    return volumes.select("stock", _bucket(bar_ns), "Buy_Vol", "Sell_Vol", obi.alias("OBI"))
-
-
-def ohlc_candles(
-    trades: DataFrame, bar_ns: int = times.MINUTE_NS, delay: str = "10 seconds"
-) -> DataFrame:
-    """Finished candles per stock."""
-    candles = _by_bar(trades, bar_ns, delay).agg(*bars.candle_columns())
-    return candles.select(
-        "stock", _bucket(bar_ns), "low", "high", "open", "close", "vwap", "volume"
+def refresh(
+    landed: DataFrame,
+    operator: Callable[[DataFrame], DataFrame],
+    path: str,
+    dates: Sequence[str],
+) -> None:
+    """Sum the bars of the given days again and replace their folders."""
+    days = landed.where(F.col("trade_date").isin([F.lit(d).cast("date") for d in dates]))
+    (
+        operator(days)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("trade_date")
+        .parquet(path)
     )
