@@ -146,8 +146,8 @@ def units(word: str) -> list[str]:
 
 def _gram_rows(seen: Counter[str]) -> pa.RecordBatch:
     """Character grams of plain words, as `grams` gives them, with the words' counts."""
-    plain = [(core, n) for token, n in seen.items() if (core := TRIM.sub("", token)).isalpha() and len(core) < 40]
-    plain = [(core, n) for core, n in plain if not RUN.search(core)]
+    cores = ((token if token.isalpha() else TRIM.sub("", token), n) for token, n in seen.items())
+    plain = [(core, n) for core, n in cores if core.isalpha() and len(core) < 40 and not RUN.search(core)]
     lengths = np.array([len(core) + 3 for core, _ in plain], np.int64)
     text = "".join(f"{EDGE}{EDGE}{core}{EDGE}" for core, _ in plain)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
