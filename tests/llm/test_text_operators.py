@@ -164,8 +164,8 @@ def test_bpe(spark):
 
 def test_lexicon(tmp_path):
     words = sorted({f"{a}{b}ing".encode() for a in "abcdefgh" for b in "aeiou"} | {b"a", b"ab", "é".encode()})
-    bpe.Lexicon.save(str(tmp_path), words, [[i, i + 1] for i in range(len(words))])
-    lexicon = bpe.Lexicon(str(tmp_path))
+    bpe.Lexicon.save(f"{tmp_path}/x-", words, [[i, i + 1] for i in range(len(words))])
+    lexicon = bpe.Lexicon(f"{tmp_path}/x-")
     assert lexicon.places(words).tolist() == list(range(len(words)))
     assert lexicon.places([b"", b"abx", b"aaingg", b"aain", b"zz"]).tolist() == [-1] * 5
     assert lexicon.output(3) == [3, 4]

@@ -167,21 +167,22 @@ def compile_lexicon(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Lexicon:
-    """The compiled automaton with its id lists, mapped from a file folder."""
+    """The compiled automaton with its id lists, mapped from files `prefix` + part."""
 
-    def __init__(self, folder: str) -> None:
-        load = lambda name: np.load(os.path.join(folder, name), mmap_mode="r")
-        self.arcs, self.skips = load("arcs.npy"), load("skips.npy")
-        self.classes = np.array(load("classes.npy"))
-        self.starts, self.ids = load("starts.npy"), load("ids.npy")
+    PARTS = ("arcs", "skips", "classes", "starts", "ids")
 
-    @staticmethod
-    def save(folder: str, words: list[bytes], ids: list[list[int]]) -> None:
+    def __init__(self, prefix: str) -> None:
+        loaded = (np.load(f"{prefix}{part}.npy", mmap_mode="r") for part in self.PARTS)
+        self.arcs, self.skips, classes, self.starts, self.ids = loaded
+        self.classes = np.array(classes)
+
+    @classmethod
+    def save(cls, prefix: str, words: list[bytes], ids: list[list[int]]) -> None:
         arcs, skips, classes = compile_lexicon(words)
         starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         flat = np.array([i for x in ids for i in x], np.int32)
-        for name, value in (("arcs", arcs), ("skips", skips), ("classes", classes), ("starts", starts), ("ids", flat)):
-            np.save(os.path.join(folder, f"{name}.npy"), value)
+        for part, value in zip(cls.PARTS, (arcs, skips, classes, starts, flat), strict=True):
+            np.save(f"{prefix}{part}.npy", value)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Place of every word in the id lists, or -1, all words walking in step."""
@@ -233,7 +234,7 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str | None, words: int) -> str:
-    """Compile the corpus's `words` most frequent words; returns the name Spark ships it by.
+    """Compile the corpus's `words` most frequent words; returns the prefix Spark ships the files by.
 
     Word counts cover all texts; only the `words` chosen ones reach the driver.
     """
@@ -244,15 +245,20 @@ def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str | None, words:
     merges = Merges(vocabulary or vocabulary_path(VOCABULARY))
     frequent = sorted(r["word"].encode("utf-8", "surrogatepass") for r in rows)
     frequent = [w for w in frequent if len(w) <= LONGEST_WORD]
-    name = f"lexicon-{uuid.uuid4().hex}"
-    # Spark's file server reads the folder when an executor asks, so it stays as long as the driver.
-    folder = os.path.join(tempfile.mkdtemp(prefix="tickloom-"), name)
-    os.mkdir(folder)
-    Lexicon.save(folder, frequent, [merges.merge(w) for w in frequent])
-    spark.sparkContext.addFile(folder, recursive=True)
+    name = f"lexicon-{uuid.uuid4().hex}-"
+    # Spark's file server reads the files when an executor asks, so they stay as long as the driver.
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="tickloom-"))
+    Lexicon.save(os.path.join(folder, name), frequent, [merges.merge(w) for w in frequent])
+    for part in Lexicon.PARTS:
+        spark.sparkContext.addFile(os.path.join(folder, f"{name}{part}.npy"))
     return name
 
 
+def shipped_lexicon(name: str) -> Lexicon:
+    """The lexicon in the folder where Spark has put it on this executor."""
+    return Lexicon(os.path.join(SparkFiles.getRootDirectory(), name))
+
+
 class Codec:
     """Ids, as joined decimals, and decoded bytes of the words of a text."""
 
@@ -295,7 +301,7 @@ class Codec:
 
 def _digests(vocabulary: str | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Merges(vocabulary or vocabulary_path(VOCABULARY)), Lexicon(SparkFiles.get(name)))
+        codec = Codec(Merges(vocabulary or vocabulary_path(VOCABULARY)), shipped_lexicon(name))
         for batch in batches:
             numbers, ids, texts = [], [], []
             for number, joined, decoded in codec.encode(batch.column(1).to_pylist()):
@@ -312,7 +318,7 @@ def _digests(vocabulary: str | None, name: str):
 
 def _ids(vocabulary: str | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Merges(vocabulary or vocabulary_path(VOCABULARY)), Lexicon(SparkFiles.get(name)))
+        codec = Codec(Merges(vocabulary or vocabulary_path(VOCABULARY)), shipped_lexicon(name))
         for batch in batches:
             found = list(codec.encode(batch.column(1).to_pylist()))
             ids = [[int(x) for x in joined.split(b",")] if joined else [] for _, joined, _ in found]
