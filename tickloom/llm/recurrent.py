@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ HOT_WORDS = 131_072
 LEAST_SHARE = 1e-7  # of all tokens, below which a word is never frequent
 OUTPUT_WORDS = 2_048
 CLASS_WORDS = 64
-ENDINGS = 127
+ENDINGS = 63
 HIDDEN = 24
 WINDOW = 16
 LANES, TRAIN_LANES = 256, 64
 SAMPLE_DOCS = 2_000
-TRAIN_SHARE = 0.125
+TRAIN_SHARE = 0.0625
 FLUSH = 300_000
 BATCH_TOKENS = 600_000
 RATE = 0.08
@@ -365,13 +366,13 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(ending, words), pa.binary()), batch.column(1)], names=["ending", "c"])
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch], column: int, ids: Ids, most: int):
-    """Runs of rows with about `most` network tokens: (record batches, token arrays)."""
+def _token_batches(batches: Iterator[pa.RecordBatch], column: int, most: int):
+    """Runs of rows with about `most` tokens: (record batches, word lists with their end)."""
     held, texts, total = [], [], 0
     for batch in batches:
         held.append(batch)
         for text in batch.column(column).to_pylist():
-            found = ids.of([*common.words(text), END])
+            found = [*common.words(text), END]
             texts.append(found)
             total += len(found)
         if total >= most:
@@ -384,8 +385,9 @@ def _token_batches(batches: Iterator[pa.RecordBatch], column: int, ids: Ids, mos
 def _train(vocabulary: Vocabulary, start: np.ndarray, passes: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(Network.start(vocabulary).filled(start), vocabulary, rate)
-        tokens, kept = 0, []
-        for _, texts in _token_batches(batches, 0, Ids(vocabulary), BATCH_TOKENS):
+        tokens, kept, ids = 0, [], Ids(vocabulary)
+        for _, words in _token_batches(batches, 0, BATCH_TOKENS):
+            texts = [ids.of(x) for x in words]
             trainer.fit(texts)
             tokens += sum(map(len, texts))
             if passes > 1:
@@ -410,6 +412,19 @@ def _averaged(trained: DataFrame, otherwise: np.ndarray) -> np.ndarray:
     return found["weight"].to_numpy(np.float32) if len(found) else otherwise
 
 
+class Codes(Ids):
+    """Network id of a word and, above it, its place among the frequent words."""
+
+    def __init__(self, vocabulary: Vocabulary, hot: dict[bytes, int]) -> None:
+        super().__init__(vocabulary)
+        self.places = {w: i for i, w in enumerate(hot)}
+        self.none = len(hot)
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self.places.get(word, self.none) << 20 | self.vocabulary.id(word)
+        return value
+
+
 def _score(vocabulary: Vocabulary, flat: np.ndarray, hot: dict[bytes, int], masses: np.ndarray):
     """Per text its sums over frequent words, and its other words with their numbers."""
 
@@ -417,37 +432,25 @@ def _score(vocabulary: Vocabulary, flat: np.ndarray, hot: dict[bytes, int], mass
         network = Network.start(vocabulary).filled(flat)
         row = TaskContext.get().partitionId() << 36
         log_mass = np.log10(np.maximum(masses, SMOOTH))
-        log_hot = {w: float(np.log10(c + SMOOTH)) for w, c in hot.items()}
-        ids = Ids(vocabulary)
-        for held, texts in _token_batches(batches, 1, ids, BATCH_TOKENS):
-            scores = text_logs(network, vocabulary, texts)
-            tokens, known, hot_logs, rare_logs, cold, cold_n, cold_sizes = [], [], [], [], [], [], []
-            at = 0
-            for batch in held:
-                for text in batch.column(1).to_pylist():
-                    numbers = Counter(common.words(text))
-                    numbers[END] += 1
-                    found, here, hot_log, rare_log, size = 0, 0, 0.0, 0.0, 0
-                    for word, n in numbers.items():
-                        here += n
-                        log = log_hot.get(word)
-                        if log is None:
-                            cold.append(word)
-                            cold_n.append(n)
-                            size += 1
-                        else:
-                            found += n if hot[word] else 0
-                            hot_log += n * log
-                            if word not in vocabulary.ids:
-                                rare_log += n * log
-                    ids_here = texts[at]
-                    rare = ids_here[ids_here >= vocabulary.size] - vocabulary.size
-                    tokens.append(here)
-                    known.append(found)
-                    hot_logs.append(hot_log)
-                    rare_logs.append(rare_log + float(scores[at]) - float(log_mass[rare].sum()))
-                    cold_sizes.append(size)
-                    at += 1
+        counts = np.fromiter(hot.values(), np.float64, len(hot))
+        logs = np.append(np.log10(counts + SMOOTH), 0.0)
+        seen = np.append(counts > 0, False)
+        codes = Codes(vocabulary, hot)
+        for held, texts in _token_batches(batches, 1, BATCH_TOKENS):
+            coded = [codes.of(words) for words in texts]
+            ids = [x & 0xFFFFF for x in coded]
+            scores = text_logs(network, vocabulary, ids)
+            known, hot_logs, rare_logs, cold, cold_n, cold_sizes = [], [], [], [], [], []
+            for words, code, own, score in zip(texts, coded, ids, scores.tolist(), strict=True):
+                place, rare = code >> 20, own >= vocabulary.size
+                log = logs[place]
+                known.append(int(seen[place].sum()))
+                hot_logs.append(float(log.sum()))
+                rare_logs.append(float(log[rare].sum()) + score - float(log_mass[own[rare] - vocabulary.size].sum()))
+                others = Counter(compress(words, (place == codes.none).tolist()))
+                cold += others.keys()
+                cold_n += others.values()
+                cold_sizes.append(len(others))
             rows = pa.array(np.arange(row, row + len(texts)))
             row += len(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(cold_sizes)]).astype(np.int32))
@@ -455,7 +458,7 @@ def _score(vocabulary: Vocabulary, flat: np.ndarray, hot: dict[bytes, int], mass
                 [
                     rows,
                     pa.concat_arrays([b.column(0) for b in held]),
-                    pa.array(tokens, pa.int64()),
+                    pa.array([len(x) for x in texts], pa.int64()),
                     pa.array(known, pa.int64()),
                     pa.array(hot_logs, pa.float64()),
                     pa.array(rare_logs, pa.float64()),
