@@ -61,12 +61,13 @@ def test_near_vectors(spark):
     assert capfilter.near_vectors(vectors(spark, [])).count() == 0
 
 
-def test_pairs_at_the_threshold_are_found():
+@pytest.mark.parametrize("dims", [2, 8, 16, 64])
+def test_pairs_at_the_threshold_are_found(dims):
     rng = np.random.default_rng(6)
-    code = capfilter.ProductCode(64)
-    a = rng.standard_normal((300, 64))
+    code = capfilter.ProductCode.of(dims)
+    a = rng.standard_normal((1000, dims))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.standard_normal((300, 64))
+    b = rng.standard_normal((1000, dims))
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     near = 0.93 * a + np.sqrt(1 - 0.93**2) * b
@@ -75,13 +76,16 @@ def test_pairs_at_the_threshold_are_found():
 
 
 def test_decoding_lists_all_filters():
-    code = capfilter.ProductCode(10, directions=40, height=2.0)
+    code = capfilter.ProductCode(10, 3, 40, 2.0, 2)
     unit = np.random.default_rng(1).standard_normal((5, 10))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    turned = unit @ code.rotation
-    scores = (turned[:, :5] @ code.left)[:, :, None] + (turned[:, 5:] @ code.right)[:, None, :]
+    scores = []
+    for table in range(3):
+        turned = unit @ code.rotations[table % 2]
+        scores.append((turned[:, :5] @ code.left[table])[:, :, None] + (turned[:, 5:] @ code.right[table])[:, None, :])
+    scores = np.stack(scores, axis=1).reshape(5, -1)
     for row, found in zip(scores, code.decode(unit), strict=True):
-        assert found.tolist() == np.flatnonzero(row.reshape(-1) >= 2.0).tolist()
+        assert found.tolist() == np.flatnonzero(row >= 2.0).tolist()
 
 
 def test_walk_visits_in_order():

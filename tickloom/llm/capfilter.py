@@ -1,10 +1,10 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-The filters are a structured random product code: the randomly rotated space is
-cut into two halves, each half has its own random directions, and every pair of
-a left and a right direction is one filter direction. A vector is list-decoded
-to all filters whose inner product with it exceeds the cap height, by walking
-the sorted halves, so the product is never enumerated. Vectors with one label
+The filters are a structured random product code: in each of many tables the
+randomly rotated space is cut into two halves, each half has its own random
+directions, and every pair of a left and a right direction is one filter
+direction. A vector is list-decoded to all filters whose inner product with it
+exceeds the cap height, without enumerating the products. Vectors with one label
 that share a filter are candidates and are verified in double precision.
 
 Buckets are compared in blocks of bounded size. A pair is counted only in its
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tickloom.llm import common
 
 THRESHOLD = 0.93
-DIRECTIONS = 1536
-HEIGHT = 4.2
+TABLES, DIRECTIONS, HEIGHT, TURNS = 512, 96, 4.2, 16
+LOW_DIMS, LOW_CODE = 16, (64, 4, 1.5)
 BLOCK_ROWS = 512
 FINITE = (
     "size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
@@ -37,35 +37,41 @@ TAKES_PART = f"id is not null and label is not null and {FINITE}"
 class ProductCode:
     """Random filter directions for `dims` dimensions, the same in every task."""
 
-    def __init__(self, dims: int, directions: int = DIRECTIONS, height: float = HEIGHT) -> None:
-        rng = np.random.default_rng([7, dims, directions])
-        self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+    def __init__(
+        self, dims: int, tables: int = TABLES, directions: int = DIRECTIONS, height: float = HEIGHT, turns: int = TURNS
+    ) -> None:
+        rng = np.random.default_rng([7, dims, tables, directions])
+        self.rotations = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(turns)]
         self.cut = (dims + 1) // 2
-        self.left = rng.standard_normal((self.cut, directions))
-        self.right = rng.standard_normal((max(1, dims - self.cut), directions))
+        self.left = rng.standard_normal((tables, self.cut, directions))
+        self.right = rng.standard_normal((tables, dims - self.cut, directions))
         self.height = height
 
+    @classmethod
+    def of(cls, dims: int) -> ProductCode:
+        """The default code; vectors of few dimensions take wide caps, as narrow ones are hit or missed together."""
+        return cls(dims) if dims >= LOW_DIMS else cls(dims, *LOW_CODE)
+
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """All filters exceeded by each unit vector, ascending.
 
-        Filter scores are standard normal over random directions: the sum of the
-        two halves' Gaussian inner products with a unit vector.
+        A filter's score is the sum of the two halves' Gaussian inner products,
+        standard normal over random directions. Left directions that cannot
+        reach the height with the best right one are passed over.
         """
-        turned = unit @ self.rotation
-        left = turned[:, : self.cut] @ self.left
-        right = turned[:, self.cut :] @ self.right[: turned.shape[1] - self.cut]
-        directions = left.shape[1]
-        found = []
-        for a, b in zip(left, right, strict=True):
-            order = np.argsort(-b)
-            falling = -b[order]
-            # Left directions that can reach the height with the best right one, and how many rights each takes.
-            firsts = np.flatnonzero(a - falling[0] >= self.height)
-            counts = np.searchsorted(falling, a[firsts] - self.height, side="right")
-            lefts = np.repeat(firsts, counts)
-            places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            found.append(np.sort(lefts * directions + order[places]))
-        return found
+        rows, filters = [], []
+        turned = [unit @ r for r in self.rotations]
+        directions = self.left.shape[2]
+        for table, (left, right) in enumerate(zip(self.left, self.right, strict=True)):
+            x = turned[table % len(turned)]
+            a, b = x[:, : self.cut] @ left, x[:, self.cut :] @ right
+            row, i = np.nonzero(a >= (self.height - b.max(axis=1))[:, None])
+            entry, j = np.nonzero(b[row] >= (self.height - a[row, i])[:, None])
+            rows.append(row[entry])
+            filters.append((table * directions + i[entry]) * directions + j)
+        row, found = np.concatenate(rows), np.concatenate(filters)
+        order = np.lexsort((found, row))
+        return np.split(found[order], np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
 
 
 def clean_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,36 +86,30 @@ def clean_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.int64), vectors
 
 
-def _filters(directions: int, height: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
-        for batch in batches:
-            rows, vectors = clean_vectors(batch.column(2))
-            nodes, found, units = [], [], []
-            for row, vector in zip(rows.tolist(), vectors, strict=True):
-                dims = len(vector)
-                if dims not in codes:
-                    codes[dims] = ProductCode(dims, directions, height)
-                scaled = vector / np.abs(vector).max()
-                unit = scaled / np.linalg.norm(scaled)
-                nodes.append(row)
-                units.append(unit.tobytes())
-                found.append(codes[dims].decode(unit[None])[0])
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes: dict[int, ProductCode] = {}
+    for batch in batches:
+        rows, vectors = clean_vectors(batch.column(2))
+        by_dims: dict[int, list[int]] = {}
+        for place, vector in enumerate(vectors):
+            by_dims.setdefault(len(vector), []).append(place)
+        for dims, places in by_dims.items():
+            if dims not in codes:
+                codes[dims] = ProductCode.of(dims)
+            matrix = np.stack([vectors[p] for p in places])
+            matrix /= np.abs(matrix).max(axis=1, keepdims=True)
+            unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+            found = codes[dims].decode(unit)
+            taken = pa.array(rows[places])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(nodes, pa.int64())),
-                    batch.column(1).take(pa.array(nodes, pa.int64())),
-                    batch.column(3).take(pa.array(nodes, pa.int64())),
-                    pa.array(units, pa.binary()),
-                    common.lists(
-                        np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32), [len(x) for x in found]
-                    ),
+                    *(batch.column(k).take(taken) for k in (0, 1, 3)),
+                    pa.array([u.tobytes() for u in unit], pa.binary()),
+                    common.lists(np.concatenate(found).astype(np.int32), [len(x) for x in found]),
                 ],
                 names=["node", "label", "copies", "unit", "filters"],
             )
 
-    return run
-
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
@@ -213,8 +213,6 @@ def near_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     threshold: float = THRESHOLD,
-    directions: int = DIRECTIONS,
-    height: float = HEIGHT,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of `vectors`.
@@ -245,7 +243,7 @@ def near_vectors(
     )
     decoded = common.stored(
         classes.select("node", "label", "vector", "copies").mapInArrow(
-            _filters(directions, height),
+            _filters,
             "node bigint, label string, copies bigint, unit binary, filters array<int>",
         ),
         "caps-filters",
