@@ -305,6 +305,14 @@ def test_legacy_columns_only_where_missing(spark, given):
         assert column(out, "time", name) == wanted
 
 
+def test_legacy_ties_are_determined(spark):
+    rows = [("X", 10, 2, 2.0), ("A", 10, 1, 1.0), ("X", 10, 1, 5.0), ("B", 5, 9, 1.0)]
+    wanted = {("B", 9): 0, ("A", 1): 1, ("X", 1): 2, ("X", 2): 3}
+    for given in (rows, rows[::-1]):
+        table = tables.normalise_legacy(spark.createDataFrame(given, LEGACY).repartition(3))
+        assert {(r.stock, r.shares): r.minute_bucket for r in table.collect()} == wanted
+
+
 def test_legacy_without_time_or_shares(spark):
     raw = spark.createDataFrame([("X", 1.0)], "stock string, price double")
     assert tables.normalise_legacy(raw).columns == ["stock", "price", "market_cat"]

@@ -143,15 +143,20 @@ def last_known(
     )
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def numbered(
+    df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None
+) -> DataFrame:
     """Add the row number 0..n-1 over the whole table in the given order.
 
+    Give an order that is total, and for a large table the number of partitions.
+
     Rows are range-partitioned and sorted, so a row's number is the count of rows
     in earlier partitions plus its place in its own. The sorted rows are written
     once with both parts in one id; nothing is computed again after that, so a
     lost executor cannot move a row to another partition.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
+    ranged = ranged.sortWithinPartitions(*order)
     # The id holds the partition above bit 33 and the place in it below.
     table = materialise(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     rows = table.withColumns(

@@ -33,14 +33,16 @@ def normalise_legacy(legacy: DataFrame, order: tuple[str, ...] = ("time",)) -> D
     """Give a legacy table the columns of the bar summary where they are missing.
 
     `volume` is taken from `shares`, `minute_bucket` is the row number in `order`
-    (only for tables with a `time`), `market_cat` is 'Unknown'.
+    (only for tables with a `time`), `market_cat` is 'Unknown'. Rows equal in
+    `order` are numbered by their other columns, so the numbers are determined.
     """
     columns = set(legacy.columns)
     out = legacy
     if "volume" not in columns and "shares" in columns:
         out = out.withColumn("volume", F.col("shares"))
     if "minute_bucket" not in columns and "time" in columns:
-        out = numbered(out, order, "minute_bucket")
+        rest = [c for c in legacy.columns if c not in order]
+        out = numbered(out, [*order, *rest], "minute_bucket")
     if "market_cat" not in columns:
         out = out.withColumn("market_cat", F.lit("Unknown"))
     return out
