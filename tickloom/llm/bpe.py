@@ -241,7 +241,7 @@ def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str | None, words:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = texts.mapInArrow(_count_chunks, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
+    rows = common.most_frequent(common.stored(counts.where("n > 1"), "bpe-words"), "n", words)
     merges = Merges(vocabulary or vocabulary_path(VOCABULARY))
     frequent = sorted(r["word"].encode("utf-8", "surrogatepass") for r in rows)
     frequent = [w for w in frequent if len(w) <= LONGEST_WORD]

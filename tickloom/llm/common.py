@@ -128,6 +128,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+def most_frequent(counts: DataFrame, by: str, most: int) -> list:
+    """The rows with the largest positive counts `by`, at most `most` of them, in no order.
+
+    A histogram of fixed size over the logarithm of the count gives the count
+    from which rows are taken, so the driver never sees more than `most` rows
+    and no task sorts. Rows that tie across the limit are left out together.
+    """
+    step = F.floor(F.log2(by) * 64)
+    sizes = dict(counts.groupBy(step.alias("step")).agg(F.count("*")).collect())
+    total, least = 0, None
+    for place in sorted(sizes, reverse=True):
+        total += sizes[place]
+        if total > most:
+            break
+        least = place
+    return [] if least is None else counts.where(step >= least).collect()
+
+
 def grouped_blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys of a sorted stream, one table per run.
 
