@@ -29,7 +29,6 @@ from tickloom.llm import common
 HELD_OUT_OF, HELD_OUT = 5, 1
 END = b""
 HOT_WORDS = 131_072
-LEAST_SHARE = 1e-7  # of all tokens, below which a word is never frequent
 OUTPUT_WORDS = 2_048
 CLASS_WORDS = 64
 ENDINGS = 63
@@ -505,8 +504,8 @@ def score(
     )
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     number, distinct = total["n"] or 0, total["v"]
-    frequent = counts.where(F.col("c") >= int(number * LEAST_SHARE)).orderBy(F.desc("c"), "word").limit(hot_words).collect()
-    hot = {END: 0} | {bytes(r["word"]): r["c"] for r in frequent}
+    frequent = {bytes(r["word"]): r["c"] for r in common.most_frequent(counts, "c", hot_words)}
+    hot = {END: 0} | {w: frequent[w] for w in sorted(frequent, key=lambda w: (-frequent[w], w))}
     predicted = [END, *[w for w in hot if w != END][: output_words - 1]]
 
     # Masses of the endings: all counts, with the predicted words taken off.

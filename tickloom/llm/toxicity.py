@@ -179,7 +179,7 @@ def character_model(docs: DataFrame, text_col: str, most: int = MOST_GRAMS) -> C
     """Character counts over all texts; the `most` commonest grams reach the driver."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = texts.mapInArrow(_count_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "gram").limit(most).collect()
+    rows = common.most_frequent(common.stored(counted, "toxic-grams"), "n", most)
     return CharacterModel({r["gram"]: r["n"] for r in rows})
 
 
@@ -310,10 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = (
         counts.withColumn("odds", F.least(odds, F.lit(8.0)))
         .where("odds > 0.7")
-        .orderBy(F.desc("toxic"), "unit")
-        .limit(MOST_FEATURES)
-        .collect()
     )
+    rows = common.most_frequent(common.stored(rows, "toxic-units"), "toxic", MOST_FEATURES)
     scorer = Scorer(model, {r["unit"]: r["odds"] for r in rows}, np.array([math.log(prior / (1 - prior)), 0, 0, 0]))
     if 0 < toxic < n:
         part = min(1.0, MOST_FITTED / n)
