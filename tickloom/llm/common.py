@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +44,16 @@ def text_bytes(column: Column) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
+def release(*caches: dict) -> None:
+    """Empty a task's caches and give their memory back: Spark keeps Python workers for later tasks."""
+    for cache in caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; cleared by `trim` when it has grown."""
 
@@ -48,7 +61,7 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def trim(self, most: int = 400_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()
 

@@ -95,6 +95,7 @@ def _signatures(bands: int, values: int, width: int):
                 ],
                 names=["id", "n", "node", "bands"],
             )
+        common.release(hashes)
 
     return run
 
@@ -121,6 +122,7 @@ def _sets(width: int):
                 ],
                 names=["id", "node", "set", "spread"],
             )
+        common.release(hashes)
 
     return run
 

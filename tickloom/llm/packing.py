@@ -48,7 +48,7 @@ class ChunkIds(dict):
 
     signs = ".,;:!?|#$%&*"
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -31,7 +31,8 @@ MOST_FEATURES = 50_000
 MOST_GRAMS = 60_000
 MOST_FITTED = 20_000
 LEAST_DOCS = 3
-FLUSH = 300_000  # distinct entries a task counts before it passes them on
+REMEMBERED = 120_000
+FLUSH = 150_000  # distinct entries a task counts before it passes them on
 PREFIXES = (4, 5, 6)
 
 # What a sign may stand for, besides itself.
@@ -173,6 +174,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _gram_rows(seen)
             seen.clear()
     yield _gram_rows(seen)
+    common.release(seen)
 
 
 def character_model(docs: DataFrame, text_col: str, most: int = MOST_GRAMS) -> CharacterModel:
@@ -194,7 +196,7 @@ class Reader(dict):
         return value
 
     def words(self, text: str) -> list[str]:
-        if len(self) > 300_000:
+        if len(self) > REMEMBERED:
             self.clear()
         return [*map(self.__getitem__, text.split()), *(self[x] for x in spaced(text))]
 
@@ -226,6 +228,7 @@ def _count_units(model: CharacterModel):
                 all_.clear()
                 bad.clear()
         yield _unit_rows(all_, bad)
+        common.release(all_, bad, reader, model.seen)
 
     return run
 
@@ -253,7 +256,7 @@ class Scorer:
 
     def vector(self, text: str) -> tuple[float, float, float]:
         """Strongest evidence, log of the count of words with strong evidence, their share."""
-        if len(self.known) > 300_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         values = list(map(self.known.__getitem__, [*text.split(), *spaced(text)]))
         most = max(values, default=0.0)
@@ -271,6 +274,7 @@ def _vectors(scorer: Scorer):
         for batch in batches:
             x = np.array([scorer.vector(t) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, 3)
             yield pa.RecordBatch.from_arrays([common.lists(x), batch.column(1)], names=["x", "toxic"])
+        common.release(scorer.known)
 
     return run
 
@@ -327,6 +331,7 @@ def toxic_udf(scorer: Scorer):
         scorer.start()
         for texts in parts:
             yield pd.Series(scorer(texts.tolist()), dtype=float)
+        common.release(scorer.known)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")
