@@ -256,14 +256,6 @@ def near_duplicates(
     open_ = placed.join(parts.where("low < high").select("bucket"), "bucket", "left_semi")
     open_ = common.stored(open_.select("node", "n", "part").distinct(), "minmax-open")
     rare = common.stored(_prefixes(sets, open_, percent), "minmax-prefixes")
-    parts = rare.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    others = parts.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("part", "least", "most")))
-    facing = (
-        parts.join(others, "shingle")
-        .where("part < part_b")
-        .where(f"100 * most >= {percent} * least_b and 100 * most_b >= {percent} * least")
-        .select("shingle", "part", "part_b")
-    )
     sides = ("node", "x"), ("n", "n_a"), ("left", "left_a"), ("spread", "spread_a")
     near = rare.select("shingle", "part", *(F.col(c).alias(name) for c, name in sides))
     sides = ("part", "part_b"), ("node", "y"), ("n", "n_b"), ("left", "left_b"), ("spread", "spread_b")
@@ -275,10 +267,10 @@ def near_duplicates(
         "aggregate(zip_with(spread_a, spread_b, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
     )
     rest = (
-        facing.join(near, ["shingle", "part"])
-        .join(far, ["shingle", "part_b"])
+        near.join(far, "shingle")
+        .where("x < y and part <> part_b")
         .where(similar & enough & roomy)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
