@@ -304,6 +304,21 @@ def test_recurrent_counts(spark):
     assert recurrent.score(empty(spark)).count() == 0
 
 
+def test_network_learns_from_all_training_texts(spark, monkeypatch):
+    docs = documents(spark, [(i, f"{EN} number {i}", "en", "s") for i in range(400)])
+    averaged, trained = recurrent._averaged, []
+
+    def noted(rows, otherwise):
+        trained.append(rows.where("place = 0").agg({"tokens": "sum"}).first()[0])
+        return averaged(rows, otherwise)
+
+    monkeypatch.setattr(recurrent, "_averaged", noted)
+    rows = recurrent.score(docs, hot_words=40, output_words=20, sample_docs=40).toPandas()
+    assert trained[-1] == rows["train_tokens"].iloc[0] == rows.loc[~rows["held_out"], "n_tokens"].sum()
+    held = rows[rows["held_out"]]
+    assert held["score"].sum() > held["base_score"].sum()
+
+
 def test_network_sums_to_one_and_carries_its_state():
     words = [b"", *(f"w{i}".encode() for i in range(69))]
     vocabulary = recurrent.Vocabulary(words, [b"ing", b"ed"])

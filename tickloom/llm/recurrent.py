@@ -6,7 +6,7 @@ the class. Every other word belongs to the class of its ending; in it, words
 have their smoothed share of the corpus counts, so the vocabulary is not cut.
 
 Training: a first fit in one task on a bounded sample, then every task trains
-from there on a fixed share of its partition's training texts, and the weights
+from there on all training texts of its partition, and the weights
 are averaged by Spark. Scoring carries the state through a text from its first to its last word.
 Counts cover all training texts. Counts of frequent words are shipped in a table
 of fixed size; all other words of a text are joined to the counts by a shuffle.
@@ -31,12 +31,11 @@ END = b""
 HOT_WORDS = 131_072
 OUTPUT_WORDS = 2_048
 CLASS_WORDS = 64
-ENDINGS = 63
+ENDINGS = 127
 HIDDEN = 24
 WINDOW = 16
 LANES, TRAIN_LANES = 256, 64
 SAMPLE_DOCS = 2_000
-TRAIN_SHARE = 0.0625
 FLUSH = 300_000
 BATCH_TOKENS = 600_000
 RATE = 0.08
@@ -477,7 +476,6 @@ def score(
     hot_words: int = HOT_WORDS,
     output_words: int = OUTPUT_WORDS,
     sample_docs: int = SAMPLE_DOCS,
-    train_share: float = TRAIN_SHARE,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of `docs`.
 
@@ -486,8 +484,7 @@ def score(
     word: an unseen word counts as half an occurrence.
 
     The counts cover all training texts. The weights are first fitted on about
-    `sample_docs` of them, then on `train_share` of them in parallel; both are
-    chosen by a hash, whole texts each.
+    `sample_docs` of them, chosen by a hash, then on all of them in parallel.
 
     Texts with a null id neither train nor are held out. A null text counts as
     empty: its end alone. Repeated rows are scored and counted each. Without
@@ -533,10 +530,9 @@ def score(
     start = start.flat()
     size = max(1, train.count())
     chosen = train.where(hashed < int(min(1.0, sample_docs / size) * 2**20))
-    share = train.where(hashed >= int((1 - train_share) * 2**20))
     schema = "place bigint, weight double, tokens bigint"
     first = _averaged(chosen.select("text").repartition(1).mapInArrow(_train(vocabulary, start, 2, RATE), schema), start)
-    flat = _averaged(share.select("text").mapInArrow(_train(vocabulary, first, 1, RATE / 4), schema), first)
+    flat = _averaged(train.select("text").mapInArrow(_train(vocabulary, first, 1, RATE / 4), schema), first)
 
     shared = spark.sparkContext.broadcast((vocabulary, flat, hot, masses))  # of fixed size
 
