@@ -247,6 +247,24 @@ def test_restoring():
     assert "idiot" in toxicity.Reader(model).words("an i d i o t here")
 
 
+def test_blanks_of_disguised_words():
+    counts = {}
+    for text, n in {EN: 20, DE: 20, "you are a moron and an idiot": 60, "the scum of it all": 30, "not an ass": 30}.items():
+        for word in text.split():
+            for gram in toxicity.grams(word):
+                counts[gram] = counts.get(gram, 0) + n
+    reader = toxicity.Reader(toxicity.CharacterModel(counts))
+    for text, word in {
+        "you are a m o r o n": "moron", "y o u i d i o t": "idiot", "all s c u m.": "scum", "y o u a r e a m o r o n": "moron",
+        "an a s s": "ass", "you mo ron": "moron", "you id iot": "idiot", "m\no\nr\no\nn": "moron", "I d 1 0 t": "idiot",
+        "I s c u m": "scum", "à s c u m": "scum", "y m o r o n": "moron", "M. o. r. o. n.": "moron", "o i d i o t": "idiot",
+    }.items():
+        assert word in reader.words(text), text
+    assert reader.joins.of("the quick fox and the dog and all of it") == []
+    long = " ".join("you are a moron " * 500).replace("   ", " ")
+    assert "moron" in reader.words(long)
+
+
 def toxic_docs(spark):
     rng = np.random.default_rng(3)
     plain = (EN + " " + DE).split()

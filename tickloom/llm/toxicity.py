@@ -3,6 +3,7 @@
 A token that looks disguised (digits or signs among letters, runs of one letter,
 letters set apart) becomes a lattice: every position offers the letters its sign
 may stand for, a run may shrink to one or two letters, a separator may vanish.
+Over a run of short tokens, a blank may also vanish or end a word.
 Viterbi search picks the restoration with the best sum of channel cost and
 character language model. Evidence is counted on restored words and their
 beginnings; the score of a text is a logistic function of its strongest
@@ -15,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -43,12 +45,15 @@ LEET = {
 }
 SEPARATORS = ".-_*~'’·"
 SUBSTITUTED, SHRUNK, JOINED = -1.5, -0.7, -0.7
+DROPPED = -2.0  # cost of a blank that does not end a word; between two single letters it costs nothing
+NEAR, SPELLED = 12.0, 24  # of single letters in a row, words of up to so many in readings so close to the best one count too
 EDGE = "^"
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|])(?:[ .\-_*·](?:[^\W\d_]|[0-9@$!|])){3,}(?!\S)")
-SINGLES = re.compile(r"(?:^| )\S[ .\-_*·]\S[ .\-_*·]\S[ .\-_*·]\S")
 RUN = re.compile(r"([^\W\d_])\1\1")
 TRIM = re.compile(r"^(?:([^\w\s])\1+|[(\[{\"'«“¿])+|(?:([^\w\s])\2+|[.,;:!?)\]}\"'»”])+$")
 DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{re.escape(''.join(LEET))}]|[^\W\d_](?:[{re.escape(SEPARATORS)}][^\W\d_])+$)")
+# Tokens of a few letters or signs, two or more in a row: blanks between them may be part of a disguise.
+SHORT = rf"(?<!\S)[(\[{{\"'«“¿]*(?:[^\W_]|[{re.escape(''.join(LEET) + SEPARATORS)}]){{1,4}}[.,;:!?)\]}}\"'»”]*(?!\S)"
+WINDOW = re.compile(rf"{SHORT}(?:\s+{SHORT})+")
 
 
 class CharacterModel:
@@ -98,11 +103,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def restore(token: str, model: CharacterModel) -> str:
-    """The likeliest plain word behind a lower-cased token."""
-    states: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
+def _advanced(states: dict[str, tuple[float, tuple]], token: str, model: CharacterModel) -> dict[str, tuple[float, tuple]]:
+    """The best way to every context after `token`: log cost and letters, as nested pairs."""
     for options in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple]] = {}
         for context, (cost, text) in states.items():
             for letter, channel in options:
                 if letter:
@@ -110,9 +114,23 @@ def restore(token: str, model: CharacterModel) -> str:
                 else:
                     value, reached = cost + channel - 2.0, context
                 if reached not in after or value > after[reached][0]:
-                    after[reached] = (value, text + letter)
+                    after[reached] = (value, (text, letter) if letter else text)
         states = after
-    return max((cost + model.log(c, EDGE), text) for c, (cost, text) in states.items())[1]
+    return states
+
+
+def _spelled(text: tuple) -> str:
+    letters = []
+    while text:
+        text, letter = text
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def restore(token: str, model: CharacterModel) -> str:
+    """The likeliest plain word behind a lower-cased token."""
+    states = _advanced({EDGE + EDGE: (0.0, ())}, token, model)
+    return _spelled(_ended(states, model)[1])
 
 
 def looks_disguised(core: str) -> bool:
@@ -133,11 +151,92 @@ def readings(token: str, model: CharacterModel | None) -> str:
     return "".join(filter(str.isalpha, core))
 
 
-def spaced(text: str) -> list[str]:
-    """Words written letter by letter, joined."""
-    if not SINGLES.search(text):
-        return []
-    return [re.sub(r"[ .\-_*·]", "", m.group()) for m in SPACED.finditer(text)]
+def _blank(left: str, right: str) -> float:
+    return 0.0 if len(left) == len(right) == 1 else DROPPED
+
+
+def _ended(states: dict[str, tuple[float, tuple]], model: CharacterModel) -> tuple[float, tuple]:
+    return max(((cost + model.log(c, EDGE), text) for c, (cost, text) in states.items()), key=lambda x: x[0])
+
+
+def segmented(tokens: list[str], model: CharacterModel) -> list[str]:
+    """Words over two or more tokens in the likeliest reading, in which every blank is kept or dropped."""
+    states: dict[str, tuple[float, tuple]] = {EDGE + EDGE: (0.0, ())}
+    for i, token in enumerate(tokens):
+        if i:
+            cost, text = _ended(states, model)
+            blank = _blank(tokens[i - 1], token)
+            states = {c: (cost + blank, (text, "+")) for c, (cost, text) in states.items()}
+            if EDGE + EDGE not in states or cost > states[EDGE + EDGE][0]:
+                states[EDGE + EDGE] = (cost, (text, " "))
+        states = _advanced(states, token, model)
+    words = _spelled(_ended(states, model)[1]).split()
+    return [w.replace("+", "") for w in words if "+" in w]
+
+
+def spelled(letters: list[str], model: CharacterModel) -> list[str]:
+    """Words over two or more single letters, in all readings close to the likeliest one."""
+    n = len(letters)
+    best, rest = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    ways: list[tuple[int, int, float, tuple]] = []
+    for begin in range(n):
+        states: dict[str, tuple[float, tuple]] = {EDGE + EDGE: (0.0, ())}
+        for end in range(begin + 1, min(n, begin + SPELLED) + 1):
+            states = _advanced(states, letters[end - 1], model)
+            cost, text = _ended(states, model)
+            ways.append((begin, end, cost, text))
+            best[end] = max(best[end], best[begin] + cost)
+    for begin, end, cost, _ in reversed(ways):
+        rest[begin] = max(rest[begin], cost + rest[end])
+    return [_spelled(t) for b, e, cost, t in ways if e > b + 1 and best[b] + cost + rest[e] >= best[n] - NEAR]
+
+
+class Joins(dict):
+    """Joined words of a run of short tokens, remembered."""
+
+    def __init__(self, model: CharacterModel) -> None:
+        self.model = model
+        self.gains: dict[str, float] = {}
+
+    def gain(self, left: str, right: str) -> float:
+        """Log cost of a dropped blank less that of a kept one; exact if both sides are two plain letters or more."""
+        key = left[-2:] + right[:2]
+        value = self.gains.get(key)
+        if value is None:
+            log, (a, b) = self.model.log, (left[-2:], right[:2])
+            value = self.gains[key] = (
+                DROPPED + log(a, b[0]) + log(a[1] + b[0], b[1]) - log(a, EDGE) - log(EDGE + EDGE, b[0]) - log(EDGE + b[0], b[1])
+            )
+        return value
+
+    def __missing__(self, tokens: tuple[str, ...]) -> list[str]:
+        found = segmented(list(tokens), self.model)
+        for single, letters in groupby(tokens, lambda x: len(x) == 1):
+            if single and len(row := list(letters)) > 2:
+                found += spelled(row, self.model)
+        value = self[tokens] = list(dict.fromkeys(found))
+        return value
+
+    def of(self, text: str) -> list[str]:
+        """Words of `text` that are written over several tokens."""
+        found: list[str] = []
+        for window in WINDOW.finditer(text):
+            run: list[str] = []
+            for token in window.group().lower().split():
+                core = token if token.isalpha() else TRIM.sub("", token) or token
+                # Blanks that the likeliest reading keeps, whatever stands around them, split the run.
+                if run and len(core) > 1 and len(run[-1]) > 1 and core.isalpha() and run[-1].isalpha() and (
+                    self.gain(run[-1], core) < 0
+                ):
+                    if len(run) > 1:
+                        found += self[tuple(run)]
+                    run = []
+                run.append(core)
+            if len(run) > 1 and any(map(str.isalpha, run)):
+                found += self[tuple(run)]
+        if len(self) > REMEMBERED:
+            self.clear()
+        return found
 
 
 def units(word: str) -> list[str]:
@@ -190,6 +289,7 @@ class Reader(dict):
 
     def __init__(self, model: CharacterModel | None) -> None:
         self.model = model
+        self.joins = Joins(model)
 
     def __missing__(self, token: str) -> str:
         value = self[token] = readings(token, self.model)
@@ -198,7 +298,7 @@ class Reader(dict):
     def words(self, text: str) -> list[str]:
         if len(self) > REMEMBERED:
             self.clear()
-        return [*map(self.__getitem__, text.split()), *(self[x] for x in spaced(text))]
+        return [*map(self.__getitem__, text.split()), *self.joins.of(text)]
 
 
 def _unit_rows(all_: Counter[str], bad: Counter[str]) -> pa.RecordBatch:
@@ -228,7 +328,7 @@ def _count_units(model: CharacterModel):
                 all_.clear()
                 bad.clear()
         yield _unit_rows(all_, bad)
-        common.release(all_, bad, reader, model.seen)
+        common.release(all_, bad, reader, reader.joins, model.seen)
 
     return run
 
@@ -238,10 +338,13 @@ class TokenEvidence(dict):
 
     def __init__(self, model: CharacterModel, evidence: dict[str, float]) -> None:
         self.model, self.evidence = model, evidence
+        self.joins = Joins(model)
+
+    def of(self, word: str) -> float:
+        return max([self.evidence.get(u, 0.0) for u in units(word)], default=0.0)
 
     def __missing__(self, token: str) -> float:
-        found = units(readings(token, self.model))
-        value = self[token] = max([self.evidence.get(u, 0.0) for u in found], default=0.0)
+        value = self[token] = self.of(readings(token, self.model))
         return value
 
 
@@ -258,7 +361,7 @@ class Scorer:
         """Strongest evidence, log of the count of words with strong evidence, their share."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        values = list(map(self.known.__getitem__, [*text.split(), *spaced(text)]))
+        values = [*map(self.known.__getitem__, text.split()), *map(self.known.of, self.known.joins.of(text))]
         most = max(values, default=0.0)
         strong = sum(1 for v in values if v > 2.0) if most > 2.0 else 0
         return most, math.log1p(strong), math.sqrt(strong / max(1, len(values)))
@@ -274,7 +377,7 @@ def _vectors(scorer: Scorer):
         for batch in batches:
             x = np.array([scorer.vector(t) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, 3)
             yield pa.RecordBatch.from_arrays([common.lists(x), batch.column(1)], names=["x", "toxic"])
-        common.release(scorer.known)
+        common.release(scorer.known.joins, scorer.known)
 
     return run
 
@@ -331,7 +434,7 @@ def toxic_udf(scorer: Scorer):
         scorer.start()
         for texts in parts:
             yield pd.Series(scorer(texts.tolist()), dtype=float)
-        common.release(scorer.known)
+        common.release(scorer.known.joins, scorer.known)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")
