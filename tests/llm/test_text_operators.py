@@ -244,6 +244,8 @@ def test_restoring():
         assert toxicity.readings(raw, model) == plain, raw
     assert toxicity.readings("Good,", model) == "good"
     assert toxicity.readings("###", model) == ""
+    assert toxicity.readings("1" + "d" * 60 + "10t", model) == "idiot"
+    assert toxicity.readings("i" + "-" * 50 + "d10t", model) == "idiot"
     assert "idiot" in toxicity.Reader(model).words("an i d i o t here")
 
 

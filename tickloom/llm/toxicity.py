@@ -144,7 +144,7 @@ def readings(token: str, model: CharacterModel | None) -> str:
         core = TRIM.sub("", core)
     if core.isalpha() and not RUN.search(core):
         return core
-    if model is not None and len(core) <= 40 and looks_disguised(core):
+    if model is not None and looks_disguised(core):
         return restore(core, model)
     if core.isalpha():
         return core
