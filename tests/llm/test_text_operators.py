@@ -106,6 +106,13 @@ def test_near_duplicates_odd(spark):
     assert sorted(str(r["doc_id"]) for r in minhash.keep_one(twice).collect()) == ["1", "2", "3", "None"]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    other = "a text of its own that has nothing in common with any of the other ones in this table"
+    rows = [(1, EN, "en", "s"), (2, EN, "en", "s"), (2, DE, "de", "s"), (3, DE, "de", "s"), (4, other, "en", "s"), (4, DE + " " + EN, "en", "s")]
+    kept = minhash.keep_one(documents(spark, rows + rows[:1] + rows[2:3]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, EN), (2, DE), (4, other), (4, DE + " " + EN)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100 + i, 99) for i in range(2, 30)] + [(500, 500)]
     found = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -212,6 +213,13 @@ def near_duplicates(
     id is repeated. Other columns of `docs` are not looked at. An empty table
     gives no rows.
     """
+    return _with_nodes(docs, id_col, text_col, percent, width, bands, values).drop("_node")
+
+
+def _with_nodes(
+    docs: DataFrame, id_col: str, text_col: str, percent: int, width: int = SHINGLE_WORDS, bands: int = BANDS, values: int = BAND_VALUES
+) -> DataFrame:
+    """`near_duplicates` with the digest of every row's shingle set, as _node."""
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), common.text_bytes(F.col(text_col)).alias("text"))
     id_type = dict(rows.dtypes)["id"]
@@ -295,21 +303,40 @@ def near_duplicates(
             F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id")))
             .otherwise(F.col("id"))
             .alias("component_id"),
+            F.col("node").alias("_node"),
         )
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
     )
 
 
+def _node_udf(width: int):
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = common.WordHashes()
+        for texts in parts:
+            yield pd.Series([node_of(shingles(text, hashes, width)) for text in texts], dtype="int64")
+            hashes.trim()
+        common.release(hashes)
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "bigint")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of `docs` whose document is the smallest id of its near-duplicate group.
 
     Documents without an id and documents without words are groups of their own.
-    Of several rows with one id, of which any is kept, one row stays; rows
-    without an id all stay.
+    Rows that repeat an id are decided each by its own text; of those that
+    repeat id and text, one row stays. Rows without an id all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull())
-    kept = found.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
-    kept = common.stored(kept.where("_kept"), "kept-ids")
-    once = docs.join(kept.where("_rows = 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    again = docs.join(kept.where("_rows > 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    return once.union(again.dropDuplicates([id_col])).union(docs.where(F.col(id_col).isNull()))
+    found = _with_nodes(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull())
+    kept = found.groupBy(F.col(id_col).alias("_kept_id"), F.col("_node").alias("_kept_node")).agg(
+        F.count("*").alias("_rows"), F.max("kept").alias("_kept")
+    )
+    kept = common.stored(kept, "kept-ids")
+    ids = kept.groupBy("_kept_id").agg(F.sum("_rows").alias("_rows"), F.max("_kept").alias("_kept")).where("_kept")
+    once = docs.join(ids.where("_rows = 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    again = docs.join(ids.where("_rows > 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    again = again.withColumn("_own_node", _node_udf(SHINGLE_WORDS)(common.text_bytes(F.col(text_col))))
+    same = (F.col(id_col) == F.col("_kept_id")) & (F.col("_own_node") == F.col("_kept_node"))
+    again = again.join(kept.where("_kept"), same, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col])
+    return once.union(again).union(docs.where(F.col(id_col).isNull()))
