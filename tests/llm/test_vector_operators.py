@@ -141,3 +141,20 @@ def test_recall_on_random_vectors(spark):
     want = brute(rows, set(range(0, 4000, 40)), 20)
     hit = sum(r["vec_id"] in {v for v, _ in want[r["query_id"]]} for r in found)
     assert hit >= 0.9 * 20 * len(want)
+
+
+def test_copies_of_a_vector_do_not_enter_the_sample_together(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    copied = rng.standard_normal(16).astype(np.float32).tolist()
+    rows = [(i, copied if i % 3 == 0 else rng.standard_normal(16).astype(np.float32).tolist(), 0) for i in range(900)]
+    fit, samples = multiindex.Codebooks.fit, []
+
+    def noted(sample, count):
+        samples.append(sample)
+        return fit(sample, count)
+
+    monkeypatch.setattr(multiindex.Codebooks, "fit", noted)
+    frame = vectors(spark, rows)
+    multiindex.search(frame, frame.where("vec_id < 5"), centroids=4, most_fitted=150)
+    copies = (np.abs(samples[0] - np.array(copied)) < 1e-6).all(axis=1).sum()
+    assert 20 < copies < 90 and len(samples[0]) < 220

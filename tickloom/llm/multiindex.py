@@ -182,7 +182,7 @@ def search(
     """(query_id, rank, vec_id, score): each query's best rows of `vectors` by inner product.
 
     The codebooks are fitted on about `most_fitted` vectors chosen by a hash of
-    the vector; every vector is indexed. A query visits cells until they hold
+    id and vector, so copies are not chosen together; every vector is indexed. A query visits cells until they hold
     `share` of all entries, and at least neighbours + 1 of them. Scores are in
     double precision, ties go to the smaller id, a query never finds its own id.
 
@@ -207,7 +207,8 @@ def search(
     dims, number = common_length["dims"], common_length["n"]
     entries = entries.where(F.size("vector") == dims)
     part = min(1.0, most_fitted / number)
-    sample = entries.where(F.pmod(F.xxhash64("vector"), F.lit(2**20)) <= int(part * 2**20)).select("id", "vector").toPandas()
+    hashed = F.pmod(F.xxhash64("id", "vector"), F.lit(2**20))
+    sample = entries.where(hashed <= int(part * 2**20)).select("id", "vector").distinct().toPandas()
     sample = sample if len(sample) else entries.select("id", "vector").limit(1).toPandas()
     books = Codebooks.fit(np.stack(sample.sort_values("id")["vector"].to_list()).astype(float), centroids)
 
