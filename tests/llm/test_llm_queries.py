@@ -13,7 +13,7 @@ from tickloom.llm.sql import ORACLE_SQL
 def test_names():
     assert set(QUERIES) | {"pipeline"} <= set(spark_entry.queries())
     assert set(ORACLE_SQL) <= set(spark_entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm import (
     bpe,
     capfilter,
     common,
     language,
+    manifest,
     minhash,
     multiindex,
     packing,
+    prefixes,
     quality,
     quotes,
     recurrent,
+    rules,
     toxicity,
 )
 
@@ -67,6 +71,20 @@ def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.score(common.table(spark, sf_dir, "documents"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_trie(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claim = F.when(common.fraction(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    docs = common.table(spark, sf_dir, "documents")
+    return manifest.verified(manifest.manifest(docs, tampered={"n_chars": claim}))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -80,5 +98,8 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_toxicity,
         op10_recurrent,
+        op11_prefixes,
+        op12_rules,
+        op13_manifest,
     )
 }
