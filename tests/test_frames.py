@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,4 +128,27 @@ def test_prefix_sample(spark, tmp_path, budget):
         return sorted((r[0], r[1]) for r in df.select(name, "seq").collect())
 
     assert got(frames.prefix_sample(table, budget, slice_width=100)) == wanted
-    assert got(frames.prefix_sample(table, budget, by_offset=True)) == wanted
+    assert got(frames.read_frames(spark, str(tmp_path), budget=budget)) == wanted
+    assert got(frames.read_frames(spark, str(tmp_path), range_bytes=70_000, budget=budget)) == wanted
+
+
+def test_a_budget_bounds_the_bytes_read(monkeypatch, tmp_path):
+    path = tmp_path / "long.bin"
+    path.write_bytes(_tape(random.Random(1), 500_000))
+    read, whole = [], frames._read
+
+    def counted(name, start, end):
+        read.append((start, end))
+        return whole(name, start, end)
+
+    monkeypatch.setattr(frames, "_read", counted)
+    batch = pa.RecordBatch.from_pydict({"path": [str(path)], "length": [10_000]})
+    found = list(frames.split_files(iter([batch])))
+    assert read == [(0, 10_000)] and found[-1].column(1).to_pylist()[-1] < 10_000
+
+
+def test_ranges_behind_the_budget_are_not_planned(spark, tmp_path):
+    (tmp_path / "long.bin").write_bytes(_tape(random.Random(1), 900_000))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    listed = frames.cut_ranges(frames.within(files, 100_000), frames.SMALLEST_RANGE)
+    assert [(r.start, r.end) for r in listed.orderBy("no").collect()] == [(0, 65_537), (65_537, 100_000)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tape import ADD, S, adds, bars, column, trades
 from tickloom.operators import bars as bar_ops
 from tickloom.operators import joins, reports, rows, signals
+from tickloom.schema import BAR_SUMMARY
 
 DIR = "stock_locate int, stock string, market_cat string"
 MSG = (
@@ -238,6 +239,22 @@ def test_session_change(short):
     assert got["zero"].direction == "▲"
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_session_orders_whole_categories(spark, turned):
+    """Two bars of one time whose categories agree in their first letters."""
+    given = [
+        ("X", 5, "STANDARD ANODIZED TIN", 1, 1.0, 1.0, 1),
+        ("X", 5, "STANDARD BRUSHED TIN", 1, 2.0, 2.0, 1),
+        ("Y", 5, None, 1, 3.0, 3.0, 1),
+        ("Y", 5, "A", 1, 4.0, 4.0, 1),
+    ]
+    table = spark.createDataFrame(given[::-1] if turned else given, BAR_SUMMARY).coalesce(1)
+    found = {r.stock: (r.first_price, r.last_price) for r in reports.session_change(table).collect()}
+    assert found == {"X": (1.0, 2.0), "Y": (3.0, 4.0)}
+    plan = reports.session_change(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_key_metric_labels(spark):
     table = bars(spark, ("x", 1, "Q", 1_000, 10), ("x", 2, "Q", 500, 7.5))
     label = reports.key_metric_labels(reports.key_metrics(table)).first()

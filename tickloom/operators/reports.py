@@ -28,15 +28,6 @@ def _bar_window(bars: DataFrame):
     return Window.partitionBy(*by_day(bars, "stock")).orderBy(*_BAR_ORDER)
 
 
-def _bar_key() -> Column:
-    """Order of a stock's bars as one number, so that aggregates over it hash.
-
-    A category is one byte in the feed; longer names count by their first seven.
-    """
-    code = F.conv(F.hex(F.substring(F.coalesce("market_cat", F.lit("")), 1, 7)), 16, 10).cast("bigint")
-    return measures.order_key(F.col("minute_bucket"), F.coalesce(code, F.lit(0).cast("bigint")))
-
-
 def bar_pct_change(bars: DataFrame) -> DataFrame:
     """Add the change of avg_price from the stock's bar before, as a fraction."""
     last = F.lag("avg_price").over(_bar_window(bars))
@@ -110,19 +101,35 @@ def session_phase(trades: DataFrame) -> DataFrame:
 
 
 def _session(bars: DataFrame) -> DataFrame:
-    """First and last bar, change and sums of each stock."""
-    at = F.col("__at")
+    """First and last bar, change and sums of each stock.
+
+    Bars of one time are ordered by their whole category. Those of one (stock,
+    time) are as many as it has categories; they are put in order first, and
+    numbers alone decide after that.
+    """
     change = F.col("last_price") - F.col("first_price")
     percent = F.coalesce(measures.ratio(change, F.col("first_price")) * 100.0, F.lit(0.0))
+    of_time = F.sort_array(F.collect_list(F.struct("market_cat", "avg_price", "vwap")))
+    per_time = bars.groupBy(*by_day(bars, "stock", "minute_bucket")).agg(
+        of_time.alias("__bars"), F.sum("volume").alias("__volume"), F.sum("trade_count").alias("__trades")
+    )
+    first, last = F.element_at("__bars", 1), F.element_at("__bars", -1)
     return (
-        bars.withColumn("__at", _bar_key())
+        per_time.select(
+            *by_day(bars, "stock", "minute_bucket"),
+            first["avg_price"].alias("__first"),
+            last["avg_price"].alias("__last"),
+            last["vwap"].alias("__vwap"),
+            "__volume",
+            "__trades",
+        )
         .groupBy(*by_day(bars, "stock"))
         .agg(
-            F.min_by("avg_price", at).alias("first_price"),
-            F.max_by("avg_price", at).alias("last_price"),
-            F.max_by("vwap", at).alias("last_vwap"),
-            F.sum("volume").alias("total_volume"),
-            F.sum("trade_count").alias("trade_count"),
+            F.min_by("__first", "minute_bucket").alias("first_price"),
+            F.max_by("__last", "minute_bucket").alias("last_price"),
+            F.max_by("__vwap", "minute_bucket").alias("last_vwap"),
+            F.sum("__volume").alias("total_volume"),
+            F.sum("__trades").alias("trade_count"),
         )
         .withColumns({"price_change": change, "price_change_pct": percent})
     )

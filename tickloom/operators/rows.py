@@ -112,6 +112,17 @@ def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.dropna(subset=list(columns) if columns else None)
 
 
+def row_counts(messages: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Rows of each kind, and whether there are none: a kind that never occurs has a row too."""
+    wanted = messages.sparkSession.createDataFrame([(k,) for k in kinds], "msg_type string")
+    counted = messages.groupBy("msg_type").agg(F.count(F.lit(1)).alias("rows"))
+    return wanted.join(counted, "msg_type", "left").select(
+        "msg_type",
+        F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"),
+        F.col("rows").isNull().alias("is_empty"),
+    )
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """`df`, or ValueError when it is empty; reads one row."""
     if df.isEmpty():

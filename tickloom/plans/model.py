@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tickloom.operators.rows import require_rows
@@ -82,12 +82,21 @@ def confusion(predictions: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(predictions: DataFrame) -> dict[str, float]:
-    """Accuracy and weighted precision."""
-    evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction")
+def evaluate(confused: list[Row]) -> dict[str, float]:
+    """Accuracy and weighted precision from the rows of a confusion table.
+
+    A class that is never predicted has a precision of 0; without rows both are 0.
+    """
+    total = sum(r["n"] for r in confused)
+    of_label, of_prediction, right = Counter(), Counter(), Counter()
+    for r in confused:
+        of_label[r["label"]] += r["n"]
+        of_prediction[r["prediction"]] += r["n"]
+        right[r["label"]] += r["n"] * (r["label"] == r["prediction"])
+    weighted = sum(of_label[c] * right[c] / of_prediction[c] for c in of_label if of_prediction[c])
     return {
-        metric: evaluator.setMetricName(metric).evaluate(predictions)
-        for metric in ("accuracy", "weightedPrecision")
+        "accuracy": sum(right.values()) / total if total else 0.0,
+        "weightedPrecision": weighted / total if total else 0.0,
     }
 
 
@@ -95,13 +104,19 @@ def evaluate(predictions: DataFrame) -> dict[str, float]:
 class Outcome:
     model: RandomForestClassificationModel
     predictions: DataFrame
+    confusion: DataFrame
     metrics: dict[str, float]
 
 
 def fit_and_evaluate(features: DataFrame) -> Outcome:
-    """Write the features once, then split, train, score and evaluate from the table."""
+    """Write the features once, then split, train, score and evaluate from the table.
+
+    The test rows are scored once, for the confusion table: one row per pair of classes.
+    """
     table = require_rows(materialise(features, "features"), "complete feature rows")
     train, test = chrono_split(assemble(table))
     model = train_direction_model(train)
     predictions = score(model, test)
-    return Outcome(model, predictions, evaluate(predictions))
+    counted = confusion(predictions)
+    rows = counted.collect()
+    return Outcome(model, predictions, features.sparkSession.createDataFrame(rows, counted.schema), evaluate(rows))

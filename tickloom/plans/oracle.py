@@ -58,6 +58,19 @@ VIEWS = {
           sum(price_ticks * shares) / nullif(sum(shares), 0) / 10000.0 as vwap,
           sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price, count(*) as trade_count
         from l_enriched group by 1, 2, 3""",
+    "b_bars": f"""
+        select p_brand as stock, ts_ns // {90 * DAY} as minute_bucket, p_type as market_cat,
+          cast(sum(shares) as bigint) as volume,
+          sum(price_ticks * shares) / nullif(sum(shares), 0) / 10000.0 as vwap,
+          sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price, count(*) as trade_count,
+          row_number() over (partition by p_brand order by ts_ns // {90 * DAY}, p_type) as up,
+          row_number() over (partition by p_brand order by ts_ns // {90 * DAY} desc, p_type desc) as down
+        from l_trades join part on stock = concat('P', cast(p_partkey as varchar)) group by 1, 2, 3""",
+    "b_session": """
+        select stock, max(avg_price) filter (up = 1) as first_price, max(avg_price) filter (down = 1) as last_price,
+          max(vwap) filter (down = 1) as last_vwap, cast(sum(volume) as bigint) as total_volume,
+          cast(sum(trade_count) as bigint) as trade_count
+        from b_bars group by 1""",
     "e_stats": f"""
         select seq, stock, ts_ns, shares, price, s as timestamp_sec,
           count(price) over w as n, stddev_samp(price) over w as sd,
@@ -121,6 +134,8 @@ READS = {
     "e_enriched": ["e_trades", "e_dir"],
     "e_bars": ["e_trades"],
     "e_obi": ["e_adds"],
+    "b_bars": ["l_trades"],
+    "b_session": ["b_bars"],
     "l_enriched": ["l_trades", "l_dir"],
     "l_bars": ["l_enriched"],
     "e_stats": ["e_trades"],
@@ -161,6 +176,9 @@ _MIN_BARS = f"""
       sum(price_ticks) / count(price_ticks) / 10000.0 as avg_price, count(*) as trade_count
     from e_enriched group by 1, 2, 3"""
 
+# A feed has times of the day only.
+_FEED_HOUR = f"ts_ns % {DAY} // 3600000000000"
+
 # name: (views read directly, select)
 SELECTS: dict[str, tuple[list[str], str]] = {
     "decode_messages": (["e_msgs"], f"select seq, {_DECODED} from e_msgs where msg_type <> 'X'"),
@@ -172,6 +190,14 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "frame_split": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
     "frame_split_ranges": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
     "prefix_sample": (
+        ["e_msgs"],
+        f"""select cast(total - size - 2 as bigint) as place, {_DECODED} from (
+              select *, sum(size + 2) over (partition by seq // 5000 order by seq) as total from (
+                select *, case msg_type when 'R' then 20 when 'X' then 11 else 36 end as size
+                from e_msgs) a) b
+            where total <= 100000 and msg_type <> 'X'""",
+    ),
+    "prefix_sample_rows": (
         ["e_msgs"],
         """select seq, size from (
              select seq, size, sum(size + 2) over (order by seq) as total from (
@@ -452,6 +478,18 @@ SELECTS: dict[str, tuple[list[str], str]] = {
               {_CHANGE} as price_change, {_CHANGE_PCT} as price_change_pct
             from e_bars group by 1""",
     ),
+    "session_change_ties": (
+        ["b_session"],
+        """select stock, first_price, last_price, last_price - first_price as price_change, c as price_change_pct,
+              case when c >= 0 then '▲' else '▼' end as direction
+            from (select *, coalesce((last_price - first_price) / nullif(first_price, 0) * 100.0, 0.0) as c from b_session) s""",
+    ),
+    "key_metrics_ties": (
+        ["b_session"],
+        """select stock, last_price, last_vwap, total_volume, trade_count, last_price - first_price as price_change,
+              coalesce((last_price - first_price) / nullif(first_price, 0) * 100.0, 0.0) as price_change_pct
+            from b_session""",
+    ),
     "key_metric_labels": (
         ["e_bars"],
         f"""select stock, upper(stock) as ticker, printf('$%.2f', p) as last_price,
@@ -536,11 +574,19 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         ["e_msgs"],
         "select 'other type' as reason, count(*) as frames from e_msgs where msg_type = 'X'",
     ),
-    "stream_minute_bars": (["e_enriched"], _MIN_BARS),
-    "stream_order_book_imbalance": (["e_obi"], "select * from e_obi"),
+    "stream_minute_bars": (["e_enriched"], _MIN_BARS.replace(f"ts_ns // {DAY}", _FEED_HOUR)),
+    "stream_order_book_imbalance": (
+        ["e_adds"],
+        f"""select stock, {_FEED_HOUR} as minute_bucket, cast(sum(case when side = 'B' then shares else 0 end) as bigint) as Buy_Vol,
+              cast(sum(case when side = 'S' then shares else 0 end) as bigint) as Sell_Vol,
+              (sum(case when side = 'B' then shares else 0 end) - sum(case when side = 'S' then shares else 0 end))
+                / nullif(sum(case when side in ('B', 'S') then shares else 0 end), 0) as OBI
+            from e_adds group by 1, 2""",
+    ),
     "stream_candles": (
         ["e_trades"],
-        f"select stock, ts_ns // {DAY} as minute_bucket, {_OPEN_CLOSE} from e_trades group by 1, 2",
+        f"""select stock, {_FEED_HOUR} as minute_bucket, {_OPEN_CLOSE.replace("price, ts_ns)", f"price, ts_ns % {DAY})")}
+            from e_trades group by 1, 2""",
     ),
     "landed_columns": (
         ["e_msgs"],
@@ -554,7 +600,8 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     ),
     "row_counts": (
         ["e_msgs"],
-        "select msg_type, count(*) as rows, count(*) = 0 as is_empty from e_msgs group by 1",
+        """select k.msg_type, count(m.seq) as rows, count(m.seq) = 0 as is_empty
+           from (select unnest(['R', 'A', 'P', 'X', 'D']) as msg_type) k left join e_msgs m using (msg_type) group by 1""",
     ),
     "directory_latest_ties": (
         ["t_msgs"],

@@ -18,12 +18,13 @@ from tickloom.plans import features, model, queries, tape_views
 from tickloom.session import materialise, scratch_path
 from tickloom.sources import frames as frame_source
 from tickloom.sources import messages, sinks, tables
-from tickloom.streaming import live
+from tickloom.streaming import live, partial
 from tickloom.schema import (
     BAR_SUMMARY,
     ENRICHED_TRADES,
     LANDED_MESSAGES,
     MESSAGES,
+    REJECTED,
     STOCK_SUMMARY,
 )
 
@@ -31,6 +32,7 @@ DAY = times.DAY_NS
 DAY_S = 86_400
 QUARTER_DAY = DAY // 4
 PREFIX_BYTES = 100_000
+FILE_FRAMES = 5_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -100,6 +102,19 @@ def frame_split_ranges(spark, sf_dir):
 
 @query
 def prefix_sample(spark, sf_dir):
+    """The first bytes of every file of a feed in files of 5,000 frames; no more of them is read."""
+    path = scratch_path(spark, "feed")
+    feed = tape_views.frames(spark, sf_dir).withColumn(
+        "path", F.lpad(times.whole(F.col("seq"), FILE_FRAMES).cast("string"), 12, "0")
+    )
+    tape_views.write_feed(feed, path, by_path=True)
+    kept = materialise(frame_source.read_frames(spark, path, budget=PREFIX_BYTES), "frames")
+    return messages.decode_messages(kept).select(F.col("seq").alias("place"), *_MESSAGE_COLUMNS[1:])
+
+
+@query
+def prefix_sample_rows(spark, sf_dir):
+    """The same for frames that are a table already."""
     kept = frame_source.prefix_sample(_landed_frames(spark, sf_dir), PREFIX_BYTES, 5_000)
     return kept.select("seq", F.octet_length("payload").alias("size"))
 
@@ -132,10 +147,8 @@ def landed_columns(spark, sf_dir):
 
 @query
 def row_counts(spark, sf_dir):
-    """Rows of each message type, and whether there are any."""
-    tape = tape_views.messages(spark, sf_dir)
-    counted = tape.groupBy("msg_type").agg(F.count(F.lit(1)).alias("rows"))
-    return counted.withColumn("is_empty", F.col("rows") == 0)
+    """Rows of each message type of a feed, those that do not occur included."""
+    return rows.row_counts(tape_views.messages(spark, sf_dir), "RAPXD")
 
 
 @query
@@ -555,6 +568,17 @@ def key_metrics(spark, sf_dir):
     return reports.key_metrics(tape_views.day_bars(spark, sf_dir))
 
 
+@query
+def session_change_ties(spark, sf_dir):
+    """Brands with many categories in one bar: the first and last by the whole category."""
+    return reports.session_change(tape_views.brand_bars(spark, sf_dir))
+
+
+@query
+def key_metrics_ties(spark, sf_dir):
+    return reports.key_metrics(tape_views.brand_bars(spark, sf_dir))
+
+
 @query
 def key_metric_labels(spark, sf_dir):
     """Display strings of the key metrics."""
@@ -625,54 +649,57 @@ def signed_obi(spark, sf_dir):
 # --- streams -----------------------------------------------------------------
 
 
-def _message_stream(spark, sf_dir):
-    path = scratch_path(spark, "tape")
-    sinks.write_signal(tape_views.messages(spark, sf_dir).select(*MESSAGES.names), path)
-    return spark.readStream.schema(MESSAGES).parquet(path)
+def _feed_runs(spark, sf_dir, path, decode):
+    """The tape's feed in two arrivals: files of even number, then the others. Yields after each landing."""
+    feed = scratch_path(spark, "feed")
+    part = times.whole(F.col("seq"), FILE_FRAMES)
+    tape = tape_views.frames(spark, sf_dir).withColumn("path", F.lpad(part.cast("string"), 12, "0"))
+    checkpoint = scratch_path(spark, "checkpoint")
+    for turn in range(2):
+        tape_views.write_feed(tape.where(part % 2 == turn), f"{feed}/{turn}", by_path=True)
+        yield live.land_feed(spark, feed, path, checkpoint, decode)
 
 
-def _landed(spark, stream):
-    """What a stream has landed, as a table."""
-    path = scratch_path(spark, "landed")
-    live.land(stream, path, scratch_path(spark, "checkpoint")).awaitTermination()
-    return tables.scan_parquet(spark, path, stream.schema)
+def _streamed(spark, sf_dir, kind):
+    """Bars of a feed that lands in two runs, kept up to date and folded; and where it landed."""
+    source, path = scratch_path(spark, "landed"), scratch_path(spark, "sums")
+    for _ in _feed_runs(spark, sf_dir, source, messages.decode_messages):
+        live.update_sums(spark, kind, source, MESSAGES, path, times.HOUR_NS)
+    live.compact(spark, kind, path)
+    return live.summed(spark, kind, path), source
 
 
 @query
 def stream_land(spark, sf_dir):
-    """Feed files of the whole tape landed by a stream."""
-    feed = scratch_path(spark, "feed")
-    tape_views.write_feed(tape_views.frames(spark, sf_dir), feed)
-    landed = _landed(spark, messages.decode_messages(live.read_frames(spark, feed)))
-    return landed.select(*_MESSAGE_COLUMNS[1:])
+    """Feed files of the whole tape landed by a stream in two runs."""
+    path = scratch_path(spark, "landed")
+    list(_feed_runs(spark, sf_dir, path, messages.decode_messages))
+    return live.landed(spark, path, MESSAGES).select(*_MESSAGE_COLUMNS[1:])
 
 
 @query
 def stream_rejected(spark, sf_dir):
     """Frames that a landing stream refuses, counted by reason."""
-    feed = scratch_path(spark, "feed")
-    tape_views.write_feed(tape_views.frames(spark, sf_dir), feed)
-    refused = _landed(spark, messages.rejected_frames(live.read_frames(spark, feed)))
+    path = scratch_path(spark, "refused")
+    list(_feed_runs(spark, sf_dir, path, messages.rejected_frames))
+    refused = live.landed(spark, path, REJECTED)
     return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("frames"))
 
 
 @query
 def stream_minute_bars(spark, sf_dir):
-    trades = rows.trades(_message_stream(spark, sf_dir))
-    landed = _landed(spark, joins.enrich_trades(trades, tape_views.directory(spark, sf_dir)))
-    return bars.minute_bars(landed, bar_ns=DAY)
+    sums, source = _streamed(spark, sf_dir, partial.BARS)
+    return partial.BARS.finish(sums, rows.directory(live.landed(spark, source, MESSAGES)))
 
 
 @query
 def stream_order_book_imbalance(spark, sf_dir):
-    adds = _landed(spark, rows.add_orders(_message_stream(spark, sf_dir)))
-    return signals.order_book_imbalance(adds, DAY)
+    return partial.IMBALANCE.finish(_streamed(spark, sf_dir, partial.IMBALANCE)[0])
 
 
 @query
 def stream_candles(spark, sf_dir):
-    trades = _landed(spark, rows.trades(_message_stream(spark, sf_dir)))
-    return bars.ohlc_candles(trades, DAY)
+    return partial.CANDLES.finish(_streamed(spark, sf_dir, partial.CANDLES)[0])
 
 
 # --- read queries ------------------------------------------------------------
@@ -753,4 +780,4 @@ def train_score(spark, sf_dir):
     """Confusion table and metrics on the later rows, for a label the model can learn fully."""
     outcome = model.fit_and_evaluate(tape_views.margin_features(spark, sf_dir))
     metrics = {name: F.lit(value) for name, value in outcome.metrics.items()}
-    return model.confusion(outcome.predictions).withColumns(metrics)
+    return outcome.confusion.withColumns(metrics)

@@ -163,6 +163,17 @@ def item_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly bars of the line-item tape by brand; the type is the category."""
+    parts = _table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("stock"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_type").alias("market_cat"),
+    )
+    tape = item_trades(spark, sf_dir).join(parts, "stock").drop("stock").withColumnRenamed("brand", "stock")
+    return bars.minute_bars(tape, bar_ns=90 * times.DAY_NS, ordered=False)
+
+
 def encode(tape: DataFrame) -> DataFrame:
     """Messages as frames; times are taken modulo one day, as a feed carries no date."""
 
@@ -197,33 +208,43 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(messages(spark, sf_dir))
 
 
-def write_feed(frames: DataFrame, path: str) -> int:
+def write_feed(frames: DataFrame, path: str, by_path: bool = False) -> int:
     """Write frames as length-prefixed binary files in the order of `seq`.
 
-    Each attempt of a task writes a file of its own outside `path`; the driver
-    moves the one file of every finished task to its place, so neither a re-run
-    nor a speculative twin leaves half a file. Returns the number of frames.
+    A task writes one file for each `path` it meets; `by_path` keeps the frames of
+    a path in one file. Each attempt of a task writes files of its own outside
+    `path`; the driver moves the files of every finished task to their place, so
+    neither a re-run nor a speculative twin leaves half a file. Returns the
+    number of frames.
     """
 
     attempts = f"{path}-attempts"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written, context = 0, TaskContext.get()
-        name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
-        with open_file(f"{attempts}/{name}", "w") as out:
-            for batch in batches:
-                for payload in batch.column(0):
-                    data = payload.as_py()
-                    out.write(len(data).to_bytes(2, "big") + data)
-                    written += 1
-        yield pa.RecordBatch.from_pydict({"name": [name], "frames": pa.array([written], pa.int64())})
+        context = TaskContext.get()
+        names, counts, held, out = [], [], None, None
+        for batch in batches:
+            for origin, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if out is None or origin != held:
+                    if out is not None:
+                        out.close()
+                    held = origin
+                    names.append(f"{context.partitionId():06d}-{len(names):06d}-{context.taskAttemptId()}")
+                    counts.append(0)
+                    out = open_file(f"{attempts}/{names[-1]}", "w")
+                data = payload.as_py()
+                out.write(len(data).to_bytes(2, "big") + data)
+                counts[-1] += 1
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "frames": pa.array(counts, pa.int64())})
 
     spark = frames.sparkSession
     ship_package(spark)
-    ordered = frames.repartitionByRange("path", "seq").sortWithinPartitions("path", "seq")
-    # One short row per finished task.
-    done = ordered.select("payload").mapInArrow(write, "name string, frames bigint").collect()
+    ordered = frames.repartitionByRange(*(["path"] if by_path else ["path", "seq"])).sortWithinPartitions("path", "seq")
+    # One short row per file.
+    done = ordered.select("path", "payload").mapInArrow(write, "name string, frames bigint").collect()
     make_folder(spark, path)
     for row in done:
-        move(spark, f"{attempts}/{row['name']}", f"{path}/feed-{row['name'][:6]}.bin")
+        move(spark, f"{attempts}/{row['name']}", f"{path}/feed-{row['name'].rpartition('-')[0]}.bin")
     return sum(row["frames"] for row in done)

@@ -41,6 +41,12 @@ MESSAGES = _table(
     ("market_cat", StringType()),
 )
 
+# A file to be read.
+LISTED = _table(("path", StringType()), ("length", LongType()))
+
+# Frames that are left out, with the reason.
+REJECTED = StructType(FRAMES.fields + _table(("reason", StringType())).fields)
+
 # The landed form adds the time columns. Date, type and hour are folders.
 _TIMES = (
     ("timestamp", LongType()),

@@ -101,6 +101,25 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    system, place = _hadoop(spark, path)
+    if not system.exists(place):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(place)]
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file; an error if it is there."""
+    system, place = _hadoop(spark, path)
+    system.create(place, False).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = _hadoop(spark, path)
+    system.delete(place, True)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of all files below `path`."""
     system, place = _hadoop(spark, path)
@@ -119,8 +138,7 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _MADE[before:]:
-            system, place = _hadoop(spark, path)
-            system.delete(place, True)
+            remove(spark, path)
         del _MADE[before:]
 
 

@@ -50,53 +50,56 @@ def read_frames(
     path: str,
     range_bytes: int = RANGE_BYTES,
     most_tasks: int = MOST_TASKS,
+    budget: int | None = None,
 ) -> DataFrame:
     """All complete frames below `path` as (path, seq, payload).
 
     `seq` is the byte offset of the frame in its file. An incomplete frame at
     the end of a file is left out. Spark lists the files; their bytes are read
     with Arrow's file systems (local, HDFS, S3, GCS; tried: local). Beyond
-    `most_tasks` tasks a task takes more ranges, one after the other.
+    `most_tasks` tasks a task takes more ranges, one after the other. With a
+    `budget` only the first so many bytes of each file are planned and read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return read_listed(files.select("path", "length"), range_bytes, most_tasks, budget)
+
+
+def read_listed(
+    files: DataFrame,
+    range_bytes: int = RANGE_BYTES,
+    most_tasks: int = MOST_TASKS,
+    budget: int | None = None,
+) -> DataFrame:
+    """`read_frames` for a table of (path, length)."""
     width = max(range_bytes, SMALLEST_RANGE)
-    files = files.filter("length > 0").select("path", "length")
-    ship_package(spark)
-    short = files.filter(F.col("length") <= width).mapInArrow(split_windows(None), FRAMES)
+    files = within(files, budget).filter("length > 0").select("path", "length")
+    ship_package(files.sparkSession)
+    short = files.filter(F.col("length") <= width).mapInArrow(split_files, FRAMES)
     long = files.filter(F.col("length") > width)
     return short if long.isEmpty() else short.unionByName(_read_ranges(long, width, most_tasks))
 
 
-def split_windows(width: int | None):
-    """Frames of files (path, length) from start to end, `width` bytes at a time (None: at once)."""
+def within(files: DataFrame, budget: int | None) -> DataFrame:
+    """Files as if they ended at `budget`: the frames that end before it are those of a shorter file."""
+    if budget is None:
+        return files
+    return files.withColumn("length", F.least("length", F.lit(budget).cast("bigint")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, step = 0, width or length
-                while at < length:
-                    data = _read(path, at, min(at + step + ENTRIES, length))
-                    # The next window starts behind the last frame that begins in this one.
-                    borders = _starts(data, min(step, length - at))
-                    yield from _frame_batches(path, data, at, min(step, length - at))
-                    if borders[-1] == 0 or borders[-1] < min(step, length - at):
-                        break  # an incomplete frame ends the file
-                    at += borders[-1]
 
-    return run
+def split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames of short files (path, length), each read at once."""
+    for batch in batches:
+        for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield from _frame_batches(path, _read(path, 0, length), 0, length)
 
 
-def prefix_sample(
-    frames: DataFrame, budget: int, slice_width: int = RANGE_BYTES, by_offset: bool = False
-) -> DataFrame:
+def prefix_sample(frames: DataFrame, budget: int, slice_width: int = RANGE_BYTES) -> DataFrame:
     """Frames of each file whose bytes, prefixes included, end within `budget`.
 
-    `by_offset=True` is for frames of `read_frames`: their `seq` already tells
-    how many bytes precede them, so this is a plain filter.
+    For frames that are a table already; `read_frames(budget=...)` does not read
+    the rest of a file at all.
     """
     size = F.octet_length("payload").cast("bigint") + F.lit(PREFIX)
-    if by_offset:
-        return frames.filter(F.col("seq") + size <= budget)
     summed = running_total(frames, ["path"], "seq", size, slice_width, "__bytes")
     return summed.filter(F.col("__bytes") <= budget).drop("__bytes")
 
@@ -221,9 +224,9 @@ def _split_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from _frame_batches(row["path"], data, start, row["end"] - start)
 
 
-def _read_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
-    ship_package(files.sparkSession)
-    ranges = files.select(
+def cut_ranges(files: DataFrame, width: int) -> DataFrame:
+    """(path, length, no, start, end) of the byte ranges of files."""
+    return files.select(
         "path",
         "length",
         F.explode(F.expr(f"sequence(0L, (length - 1) div {width})")).alias("no"),
@@ -233,6 +236,11 @@ def _read_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
             "end": F.least((F.col("no") + 1) * width, F.col("length")),
         }
     )
+
+
+def _read_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
+    ship_package(files.sparkSession)
+    ranges = cut_ranges(files, width)
     extent = files.agg(F.sum("length").alias("bytes"), F.max("length").alias("longest"))
     total, longest = extent.first()
     tasks = min(max(1, total // (width * RANGES_PER_TASK)), most_tasks)
