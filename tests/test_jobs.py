@@ -77,6 +77,47 @@ def test_landed_columns_and_days(spark, feed, tmp_path):
     assert bars_.count() == 2 * one.count()
 
 
+def test_a_failed_landing_leaves_the_day(spark, feed, tmp_path, monkeypatch):
+    """The trades fail after the messages are written: neither table changes."""
+    data = str(tmp_path / "data")
+    jobs.land(spark, feed[0], data, DAY)
+    before = jobs.load_messages(spark, data).count(), jobs.load_enriched(spark, data).count()
+    half = tmp_path / "half"
+    half.mkdir()
+    (half / "part0.bin").write_bytes(open(f"{feed[0]}/part0.bin", "rb").read())
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs.joins, "enrich_trades", broken)
+        with pytest.raises(RuntimeError):
+            jobs.land(spark, str(half), data, DAY)
+    assert (jobs.load_messages(spark, data).count(), jobs.load_enriched(spark, data).count()) == before
+    jobs.land(spark, str(half), data, DAY)
+    after = jobs.load_messages(spark, data).count(), jobs.load_enriched(spark, data).count()
+    assert all(0 < a < b for a, b in zip(after, before))
+    # The version before stays, what the failed landing left is gone.
+    assert len(list((tmp_path / "data" / jobs.MESSAGES / f"trade_date={DAY}").iterdir())) == 2
+
+
+def test_signals_of_one_day_leave_the_others(spark, feed, tmp_path):
+    data = tmp_path / "data"
+    for day in (DAY, "2020-01-31"):
+        jobs.land(spark, feed[0], str(data), day)
+        command.main(["signals", "--date", day, "--data", str(data)])
+    names = (jobs.BARS_CSV, jobs.STOCKS_CSV, jobs.VWAPS, *[f"{jobs.SIGNALS}/{n}" for n in ("obi", "market_impact", "volatility")])
+
+    def files(day):
+        return {str(f): f.stat().st_mtime_ns for n in names for f in (data / n / f"trade_date={day}").iterdir()}
+
+    kept = files(DAY)
+    jobs.compute_signals(spark, str(data), "2020-01-31")
+    assert files(DAY) == kept
+    totals = jobs.load_vwap(spark, str(data)).groupBy("trade_date").agg(F.sum("total_volume")).collect()
+    assert len(totals) == 2 and totals[0][1] == totals[1][1]
+
+
 def test_scratch_is_emptied(spark, feed, tmp_path):
     import os
 
@@ -226,6 +267,14 @@ def test_lagged_imbalance_differs(spark, landed):
     assert before.filter("OBI = 0.0").count() > 0 and now > 1
 
 
+def test_metrics_of_a_confusion_table():
+    table = [(0.0, 0.0, 6), (0.0, 1.0, 2), (1.0, 0.0, 3), (1.0, 1.0, 4), (2.0, 0.0, 1)]
+    found = model.evaluate([{"label": a, "prediction": b, "n": n} for a, b, n in table])
+    assert math.isclose(found["accuracy"], 10 / 16)
+    assert math.isclose(found["weightedPrecision"], (8 * 6 / 10 + 7 * 4 / 6) / 16)
+    assert model.evaluate([]) == {"accuracy": 0.0, "weightedPrecision": 0.0}
+
+
 def test_model_is_repeatable(spark, landed):
     first, second = jobs.train(spark, landed), jobs.train(spark, landed)
     assert first.metrics == second.metrics

@@ -12,7 +12,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tickloom")
     parser.add_argument("job", choices=("land", "signals", "train", "all"))
     parser.add_argument("--feed", help="binary files (land, all)")
-    parser.add_argument("--date", help="day of the feed, as 2020-01-30 (land, all)")
+    parser.add_argument("--date", help="day of the feed, as 2020-01-30 (land, all); signals of that day alone")
     parser.add_argument("--data", required=True, help="folder of the landed tables")
     parser.add_argument("--top", type=int, default=5, help="stocks to train on")
     options = parser.parse_args(argv)
@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     if options.job in ("land", "all"):
         jobs.land(spark, options.feed, options.data, options.date)
     if options.job in ("signals", "all"):
-        jobs.compute_signals(spark, options.data)
+        jobs.compute_signals(spark, options.data, options.date)
     if options.job in ("train", "all"):
         with scratch_tables(spark):
             metrics = jobs.train(spark, options.data, options.top).metrics

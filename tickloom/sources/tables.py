@@ -20,9 +20,9 @@ def scan_parquet(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 
 def scan_summary_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A summary written as CSV with a header; a missing path is an empty table."""
+    """A summary written as CSV with a header, as a whole or in folders by day; a missing path is an empty table."""
     try:
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return spark.read.schema(schema).option("header", True).csv(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
