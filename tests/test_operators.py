@@ -286,6 +286,23 @@ def test_depth_ladder(spark):
     }
 
 
+def test_depth_ladder_by_bar(spark):
+    """Bids 9.99 and 9.98 leave the two best when 10.00 and 9.995 come; the size of a level grows on."""
+    book = adds(
+        spark,
+        ("X", 1, 1, "B", 10, 9.99), ("X", 2, 2, "B", 5, 9.98), ("X", 60 * S, 3, "B", 1, 9.99),
+        ("X", 61 * S, 4, "B", 2, 10.0), ("X", 120 * S, 5, "B", 3, 9.995), ("X", 120 * S, 6, "B", 4, 9.98),
+        ("X", 5, 7, "S", 7, 10.01), ("Y", 9, 8, "B", 6, 9.0), ("X", 6, 9, "?", 1, 1.0),
+    )
+    got = column(reports.depth_ladder_by_bar(book, 2), "stock", "side", "minute_bucket", "level", "price", "size")
+    assert got == {
+        ("X", "B", 0, 1, 9.99): 10, ("X", "B", 0, 2, 9.98): 5,
+        ("X", "B", 1, 1, 10.0): 2, ("X", "B", 1, 2, 9.99): 11,
+        ("X", "B", 2, 1, 10.0): 2, ("X", "B", 2, 2, 9.995): 3,
+        ("X", "S", 0, 1, 10.01): 7, ("Y", "B", 0, 1, 9.0): 6,
+    }
+
+
 def test_session_phase_hours(spark):
     hour = 3600 * S
     tape = trades(spark, *[("X", h * hour, h, 1, 1) for h in (8, 9, 16, 17)])

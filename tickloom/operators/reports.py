@@ -7,12 +7,17 @@ or trades and add orders where stated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import display, measures, times
 from tickloom.functions.times import by_day
+from tickloom.operators import rows
+from tickloom.session import ship_package
 
 # Thresholds of the reports.
 HIGH_VOLATILITY = 0.02
@@ -216,10 +221,7 @@ def trade_tape(bars: DataFrame, n: int = 10, scope: str = "tail") -> DataFrame:
 
 def depth_ladder(adds: DataFrame, levels: int = 5) -> DataFrame:
     """Added volume at the best price levels of each side: bids downwards, asks upwards."""
-    best_first = F.when(F.col("side") == "B", -F.col("price_ticks")).otherwise(
-        F.col("price_ticks")
-    )
-    rank = F.row_number().over(Window.partitionBy(*by_day(adds, "stock", "side")).orderBy(best_first))
+    rank = F.row_number().over(Window.partitionBy(*by_day(adds, "stock", "side")).orderBy(_best_first()))
     return (
         adds.filter(F.col("side").isin("B", "S"))
         .groupBy(*by_day(adds, "stock", "side", "price_ticks"))
@@ -235,6 +237,82 @@ def depth_ladder(adds: DataFrame, levels: int = 5) -> DataFrame:
     )
 
 
+def _best_first() -> Column:
+    return F.when(F.col("side") == "B", -F.col("price_ticks")).otherwise(F.col("price_ticks"))
+
+
+def _ladder_scan(keys: Sequence[str], levels: int):
+    """Walks over best levels of bars in order, and gives the best levels so far after each bar.
+
+    Orders are only added, so a level that has fallen out of the best never comes
+    back: the best levels are all there is to remember.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bar, book = None, None, {}
+        found: dict[str, list] = {n: [] for n in (*keys, "minute_bucket", "level", "price_ticks", "size")}
+
+        def close_bar():
+            best = sorted(book, reverse=held[keys.index("side")] == "B")[:levels]
+            for gone in set(book) - set(best):
+                del book[gone]
+            for level, ticks in enumerate(best, 1):
+                for name, value in zip(found, (*held, bar, level, ticks, book[ticks]), strict=True):
+                    found[name].append(value)
+
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in (*keys, "minute_bucket", "price_ticks", "size")]
+            for *key, at, ticks, size in zip(*columns, strict=True):
+                if held is not None and (key != held or at != bar):
+                    close_bar()
+                if key != held:
+                    book.clear()
+                held, bar = key, at
+                book[ticks] = book.get(ticks, 0) + size
+            yield pa.RecordBatch.from_pydict(found, schema=_ladder_schema(batch.schema, keys))
+            for values in found.values():
+                values.clear()
+        if held is not None:
+            close_bar()
+            yield pa.RecordBatch.from_pydict(found, schema=_ladder_schema(batch.schema, keys))
+
+    return run
+
+
+def _ladder_schema(given: pa.Schema, keys: Sequence[str]) -> pa.Schema:
+    numbers = [(n, pa.int64()) for n in ("minute_bucket", "level", "price_ticks", "size")]
+    return pa.schema([*[given.field(k) for k in keys], *map(lambda c: pa.field(*c), numbers)])
+
+
+def depth_ladder_by_bar(adds: DataFrame, levels: int = 5, bar_ns: int = times.MINUTE_NS) -> DataFrame:
+    """The ladder as it stands at the end of each bar in which its side got orders.
+
+    The ladder at another time is that of the newest such bar before it. Orders
+    are summed per (bar, price) and cut to the best levels of each bar first, so
+    what is walked over in order has a fixed number of rows per bar, however many
+    orders a stock has.
+    """
+    ship_package(adds.sparkSession)
+    bucketed = rows.with_bucket(adds.filter(F.col("side").isin("B", "S")), bar_ns)
+    keys = by_day(adds, "stock", "side")
+    rank = F.row_number().over(Window.partitionBy(*keys, "minute_bucket").orderBy(_best_first()))
+    best = (
+        bucketed.groupBy(*keys, "minute_bucket", "price_ticks")
+        .agg(F.sum("shares").alias("size"))
+        .withColumn("level", rank)
+        .filter(F.col("level") <= levels)
+        .drop("level")
+    )
+    dated = "trade_date date, " if "trade_date" in keys else ""
+    ordered = best.repartition(*keys).sortWithinPartitions(*keys, "minute_bucket")
+    walked = ordered.mapInArrow(
+        _ladder_scan(keys, levels),
+        dated + "stock string, side string, minute_bucket bigint, level bigint, price_ticks bigint, size bigint",
+    )
+    price = measures.price(F.col("price_ticks")).alias("price")
+    return walked.select(*keys, "minute_bucket", "level", price, "size")
+
+
 def chart_candles(candles: DataFrame, bar_seconds: int = 60) -> DataFrame:
     """Candles with the chart's time axis in seconds."""
     return candles.select(

@@ -540,6 +540,17 @@ SELECTS: dict[str, tuple[list[str], str]] = {
                from e_adds group by 1, 2, 3) s) l
            where level <= 5""",
     ),
+    "depth_ladder_by_bar": (
+        ["e_adds"],
+        f"""select stock, side, bar as minute_bucket, level, price_ticks / 10000.0 as price, size from (
+             select *, row_number() over (partition by stock, side, bar
+                 order by case when side = 'B' then -price_ticks else price_ticks end) as level
+             from (select b.stock, b.side, b.bar, a.price_ticks, cast(sum(a.shares) as bigint) as size
+               from (select distinct stock, side, ts_ns // {DAY} as bar from e_adds) b
+               join e_adds a on a.stock = b.stock and a.side = b.side and a.ts_ns // {DAY} <= b.bar
+               group by 1, 2, 3, 4) s) l
+           where level <= 5""",
+    ),
     "chart_candles": (
         ["e_trades"],
         f"""select stock, ts_ns // {DAY} * {DAY_S} as time, arg_min(price, ts_ns) as open,

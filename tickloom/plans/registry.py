@@ -615,6 +615,12 @@ def depth_ladder(spark, sf_dir):
     return reports.depth_ladder(tape_views.adds(spark, sf_dir), 5)
 
 
+@query
+def depth_ladder_by_bar(spark, sf_dir):
+    """The ladder at the end of each day with orders."""
+    return reports.depth_ladder_by_bar(tape_views.adds(spark, sf_dir), 5, DAY)
+
+
 @query
 def chart_candles(spark, sf_dir):
     candles = bars.ohlc_candles(tape_views.trades(spark, sf_dir), DAY)
