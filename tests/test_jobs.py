@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tape import S, column, directory, frame, order
 from tickloom import __main__ as command
 from tickloom.operators import bars as bar_ops
-from tickloom.plans import features, jobs, model, queries, tape_views
+from tickloom.plans import features, jobs, model, queries, sql_functions, tape_views
 from tickloom.schema import BAR_SUMMARY, STOCK_SUMMARY
 from tickloom.session import materialise, scratch_root
 from tickloom.sources import sinks, tables
@@ -386,3 +386,28 @@ def test_scratch_and_materialise(spark, sf_dir):
     assert scratch_root(spark) == scratch_root(spark)
     frames = materialise(tape_views.frames(spark, sf_dir), "frames")
     assert frames.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_table_functions_equal_the_queries(spark, landed):
+    sql_functions.register_landed(spark, landed)
+    enriched, obi = jobs.load_enriched(spark, landed), jobs.load_imbalance(spark, landed)
+
+    def called(call, **args):
+        return sorted(map(tuple, spark.sql(f"select * from {call}", args=args).collect()))
+
+    def plain(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert called("q_tickers()") == plain(queries.q_tickers(enriched))
+    assert called("q_summary()") == plain(queries.q_summary(enriched))
+    for stock in ("AAPL", "7"):
+        for name, form in (
+            ("q_candles", queries.q_candles(enriched, stock)),
+            ("q_obi_series", queries.q_obi_series(obi, stock)),
+            ("q_sentiment", queries.q_sentiment(enriched, obi, stock)),
+        ):
+            assert called(f"{name}(stock => :s)", s=stock) == plain(form)
+    assert called("q_candles()") == plain(queries.q_candles(enriched))
+    assert called("q_candles(:s)", s="AAPL' or '1' = '1") == []
+    plan = spark.sql("select * from q_candles(stock => :s)", args={"s": "AAPL"})._jdf.queryExecution()
+    assert "EqualTo(stock,AAPL)" in plan.executedPlan().toString()

@@ -733,5 +733,15 @@ def _with_views(names: list[str]) -> str:
     return "with " + ",\n".join(f"{name} as ({VIEWS[name]})" for name in ordered)
 
 
+# The table functions answer like the queries they are made of.
+SELECTS |= {
+    "sql_tickers": (["e_msgs"], "select distinct stock from e_msgs order by stock"),
+    "sql_summary": SELECTS["q_summary"],
+    "sql_candles": SELECTS["q_candles"],
+    "sql_obi_series": SELECTS["obi_series"],
+    "sql_sentiment": SELECTS["sentiment"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"{_with_views(views)}\n{sql}" for name, (views, sql) in SELECTS.items()}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import display, times
 from tickloom.operators import bars, joins, reports, rows, signals
-from tickloom.plans import features, model, queries, tape_views
+from tickloom.plans import features, model, queries, sql_functions, tape_views
 from tickloom.session import materialise, scratch_path
 from tickloom.sources import frames as frame_source
 from tickloom.sources import messages, sinks, tables
@@ -740,6 +740,40 @@ def sentiment(spark, sf_dir):
     return queries.q_sentiment(tape_views.messages(spark, sf_dir), obi)
 
 
+def _functions(spark, sf_dir, call, **args):
+    """A call of one of the SQL table functions over the message tape."""
+    obi = signals.order_book_imbalance(tape_views.adds(spark, sf_dir), DAY)
+    tape = tape_views.messages(spark, sf_dir)
+    sql_functions.register(tape, tape_views.enriched(spark, sf_dir), obi, DAY)
+    return spark.sql(f"select * from {call}", args=args)
+
+
+@query
+def sql_tickers(spark, sf_dir):
+    return _functions(spark, sf_dir, "q_tickers()")
+
+
+@query
+def sql_summary(spark, sf_dir):
+    return _functions(spark, sf_dir, "q_summary()")
+
+
+@query
+def sql_candles(spark, sf_dir):
+    return _functions(spark, sf_dir, "q_candles(stock => :stock)", stock="S7")
+
+
+@query
+def sql_obi_series(spark, sf_dir):
+    return _functions(spark, sf_dir, "q_obi_series(stock => :stock)", stock="S7")
+
+
+@query
+def sql_sentiment(spark, sf_dir):
+    """All stocks, as no argument is given."""
+    return _functions(spark, sf_dir, "q_sentiment()")
+
+
 # --- model -------------------------------------------------------------------
 
 
