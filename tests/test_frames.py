@@ -135,13 +135,13 @@ def test_prefix_sample(spark, tmp_path, budget):
 def test_a_budget_bounds_the_bytes_read(monkeypatch, tmp_path):
     path = tmp_path / "long.bin"
     path.write_bytes(_tape(random.Random(1), 500_000))
-    read, whole = [], frames._read
+    read, whole = [], frames.read_bytes
 
     def counted(name, start, end):
         read.append((start, end))
         return whole(name, start, end)
 
-    monkeypatch.setattr(frames, "_read", counted)
+    monkeypatch.setattr(frames, "read_bytes", counted)
     batch = pa.RecordBatch.from_pydict({"path": [str(path)], "length": [10_000]})
     found = list(frames.split_files(iter([batch])))
     assert read == [(0, 10_000)] and found[-1].column(1).to_pylist()[-1] < 10_000

@@ -189,6 +189,11 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     ),
     "frame_split": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
     "frame_split_ranges": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
+    "tape_source_messages": (["e_msgs"], f"select {_DECODED} from e_msgs where msg_type <> 'X'"),
+    "tape_source_trades": (
+        ["e_msgs"],
+        f"select {_DECODED} from e_msgs where msg_type = 'P' and stock in ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8', 'S9')",
+    ),
     "prefix_sample": (
         ["e_msgs"],
         f"""select cast(total - size - 2 as bigint) as place, {_DECODED} from (

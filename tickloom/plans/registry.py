@@ -17,7 +17,7 @@ from tickloom.operators import bars, joins, reports, rows, signals
 from tickloom.plans import features, model, queries, sql_functions, tape_views
 from tickloom.session import materialise, scratch_path
 from tickloom.sources import frames as frame_source
-from tickloom.sources import messages, sinks, tables
+from tickloom.sources import messages, sinks, tables, tape_source
 from tickloom.streaming import live, partial
 from tickloom.schema import (
     BAR_SUMMARY,
@@ -100,6 +100,28 @@ def frame_split_ranges(spark, sf_dir):
     return messages.decode_messages(materialise(frames, "frames")).select(*_MESSAGE_COLUMNS[1:])
 
 
+def _written_feed(spark, sf_dir):
+    path = scratch_path(spark, "feed")
+    tape_views.write_feed(tape_views.frames(spark, sf_dir), path)
+    return path
+
+
+@query
+def tape_source_messages(spark, sf_dir):
+    """Binary files of the whole tape through the data source, cut into many byte ranges."""
+    feed = _written_feed(spark, sf_dir)
+    found = tape_source.messages(spark, feed, range_bytes=frame_source.SMALLEST_RANGE)
+    return found.select(*_MESSAGE_COLUMNS[1:])
+
+
+@query
+def tape_source_trades(spark, sf_dir):
+    """Trades of a few stocks; other frames are told apart by their bytes and never cut out."""
+    stocks = [f"S{n}" for n in range(1, 10)]
+    found = tape_source.messages(spark, _written_feed(spark, sf_dir), kinds=["P"], stocks=stocks)
+    return found.select(*_MESSAGE_COLUMNS[1:])
+
+
 @query
 def prefix_sample(spark, sf_dir):
     """The first bytes of every file of a feed in files of 5,000 frames; no more of them is read."""

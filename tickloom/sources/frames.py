@@ -90,7 +90,7 @@ def split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frames of short files (path, length), each read at once."""
     for batch in batches:
         for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield from _frame_batches(path, _read(path, 0, length), 0, length)
+            yield from _frame_batches(path, read_bytes(path, 0, length), 0, length)
 
 
 def prefix_sample(frames: DataFrame, budget: int, slice_width: int = RANGE_BYTES) -> DataFrame:
@@ -104,7 +104,7 @@ def prefix_sample(frames: DataFrame, budget: int, slice_width: int = RANGE_BYTES
     return summed.filter(F.col("__bytes") <= budget).drop("__bytes")
 
 
-def _starts(data: bytes, stop: int) -> array:
+def frame_starts(data: bytes, stop: int) -> array:
     """Starts of the complete frames that begin before `stop`, then where the last ends."""
     at, size, starts = 0, len(data), array("q")
     while at < stop and at + PREFIX <= size:
@@ -121,7 +121,7 @@ def _frame_batches(
     path: str, data: bytes, base: int, stop: int
 ) -> Iterator[pa.RecordBatch]:
     """Only the walk over the prefixes is a loop; payloads are cut out all at once."""
-    borders = np.frombuffer(_starts(data, stop), dtype=np.int64)
+    borders = np.frombuffer(frame_starts(data, stop), dtype=np.int64)
     content = np.frombuffer(data, dtype=np.uint8)
     for first in range(0, len(borders) - 1, BATCH):
         part = borders[first : first + BATCH + 1]
@@ -142,20 +142,24 @@ def _frame_batches(
 # --- byte ranges of large files ----------------------------------------------
 
 
-def open_file(path: str, mode: str = "r"):
-    """A file of any file system Arrow knows, by the path Spark shows."""
+def locate(path: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a path as Spark shows it, and the name in it."""
     scheme, _, rest = path.partition(":")
     if scheme == "file" or not rest:
-        filesystem, name = fs.LocalFileSystem(), "/" + (rest or scheme).lstrip("/")
-    else:
-        filesystem, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        return fs.LocalFileSystem(), "/" + (rest or scheme).lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def open_file(path: str, mode: str = "r"):
+    """A file of any file system Arrow knows, by the path Spark shows."""
+    filesystem, name = locate(path)
     if mode == "w":
         filesystem.create_dir(name.rpartition("/")[0])
         return filesystem.open_output_stream(name)
     return filesystem.open_input_file(name)
 
 
-def _read(path: str, start: int, end: int) -> bytes:
+def read_bytes(path: str, start: int, end: int) -> bytes:
     with open_file(path) as source:
         return source.read_at(end - start, start)
 
@@ -182,7 +186,7 @@ def _exits(data: bytes, end: int) -> array:
 def _range_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            data = _read(row["path"], row["start"], min(row["end"] + 1, row["length"]))
+            data = read_bytes(row["path"], row["start"], min(row["end"] + 1, row["length"]))
             table = _exits(data + b"\0", row["end"] - row["start"])
             yield pa.RecordBatch.from_pydict(
                 {"path": [row["path"]], "no": [row["no"]], "exits": [table.tobytes()]},
@@ -216,12 +220,9 @@ def _entered(group):
 def _split_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            start = row["start"] + row["entry"]
-            if start >= row["length"]:  # an incomplete frame reaches past the end
-                continue
             # The last frame of the range may end in the next one.
-            data = _read(row["path"], start, min(row["end"] + ENTRIES, row["length"]))
-            yield from _frame_batches(row["path"], data, start, row["end"] - start)
+            data = read_bytes(row["path"], row["at"], min(row["end"] + ENTRIES, row["length"]))
+            yield from _frame_batches(row["path"], data, row["at"], row["end"] - row["at"])
 
 
 def cut_ranges(files: DataFrame, width: int) -> DataFrame:
@@ -238,13 +239,45 @@ def cut_ranges(files: DataFrame, width: int) -> DataFrame:
     )
 
 
+def planned_ranges(
+    files: DataFrame,
+    range_bytes: int = RANGE_BYTES,
+    most_tasks: int = MOST_TASKS,
+    budget: int | None = None,
+) -> DataFrame:
+    """(path, at, end, length, task) of all ranges of files; the first frame of a range starts `at`.
+
+    Short files are one range. Tasks are numbered so that each has a few ranges.
+    """
+    width = max(range_bytes, SMALLEST_RANGE)
+    files = within(files, budget).filter("length > 0").select("path", "length")
+    whole = files.filter(F.col("length") <= width)
+    long = files.filter(F.col("length") > width)
+    planned = whole.select("path", F.lit(0).cast("bigint").alias("at"), F.col("length").alias("end"), "length")
+    if not long.isEmpty():
+        planned = planned.unionByName(_entered_ranges(long, width, most_tasks).select("path", "at", "end", "length"))
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = min(max(1, total // (width * RANGES_PER_TASK)), most_tasks)
+    return planned.withColumn("task", F.pmod(F.xxhash64("path", "at"), F.lit(tasks)).cast("bigint"))
+
+
 def _read_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
+    tasks = _tasks(files, width, most_tasks)
+    entered = _entered_ranges(files, width, most_tasks)
+    return entered.repartition(tasks, "path", "at").mapInArrow(_split_ranges, FRAMES)
+
+
+def _tasks(files: DataFrame, width: int, most_tasks: int) -> int:
+    total = files.agg(F.sum("length")).first()[0]
+    return min(max(1, total // (width * RANGES_PER_TASK)), most_tasks)
+
+
+def _entered_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
+    """The ranges of long files with the place of their first frame, for those that have one."""
     ship_package(files.sparkSession)
-    ranges = cut_ranges(files, width)
-    extent = files.agg(F.sum("length").alias("bytes"), F.max("length").alias("longest"))
-    total, longest = extent.first()
-    tasks = min(max(1, total // (width * RANGES_PER_TASK)), most_tasks)
-    ranges = ranges.repartition(tasks, "path", "no")
+    longest = files.agg(F.max("length")).first()[0]
+    tasks = _tasks(files, width, most_tasks)
+    ranges = cut_ranges(files, width).repartition(tasks, "path", "no")
 
     table_schema = "path string, no bigint, exits binary"
     levels = [materialise(ranges.mapInArrow(_range_tables, table_schema), "exits")]
@@ -264,8 +297,6 @@ def _read_ranges(files: DataFrame, width: int, most_tasks: int) -> DataFrame:
             .groupBy("path", "up")
             .applyInPandas(_entered, "path string, no bigint, entry bigint")
         )
-    return (
-        ranges.join(entries, ["path", "no"])
-        .repartition(tasks, "path", "no")
-        .mapInArrow(_split_ranges, FRAMES)
-    )
+    placed = ranges.join(entries, ["path", "no"]).withColumn("at", F.col("start") + F.col("entry"))
+    # An incomplete frame may reach past a range, and past the end.
+    return placed.where(F.col("at") < F.least("end", "length"))

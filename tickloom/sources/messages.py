@@ -47,14 +47,28 @@ def decode_messages(frames: DataFrame) -> DataFrame:
     """
     p = F.col("payload")
     directory, add = _is_type(p, "R"), _is_type(p, "A")
-    ticks = F.when(~directory, binary.unsigned(p, *PRICE))
     stock = F.when(directory, binary.text(p, *DIRECTORY_STOCK)).otherwise(
         binary.text(p, *STOCK)
     )
-    return frames.filter(_accepted(p)).select(
+    kind = F.when(directory, "R").when(add, "A").otherwise("P")
+    return frames.filter(_accepted(p)).select(*_fields(p, directory, add, kind, stock))
+
+
+def decode_tagged(frames: DataFrame) -> DataFrame:
+    """The same for frames that have their `msg_type` and `stock` beside the payload.
+
+    Both stay plain columns, so filters on them pass to the source.
+    """
+    kind = F.col("msg_type")
+    return frames.select(*_fields(F.col("payload"), kind == "R", kind == "A", kind, F.col("stock")))
+
+
+def _fields(p: Column, directory: Column, add: Column, kind: Column, stock: Column) -> list[Column | str]:
+    ticks = F.when(~directory, binary.unsigned(p, *PRICE))
+    return [
         "path",
         "seq",
-        F.when(directory, "R").when(add, "A").otherwise("P").alias("msg_type"),
+        kind.alias("msg_type"),
         binary.unsigned(p, *LOCATE).cast("int").alias("stock_locate"),
         binary.unsigned(p, *TIMESTAMP).alias("ts_ns"),
         stock.alias("stock"),
@@ -64,7 +78,7 @@ def decode_messages(frames: DataFrame) -> DataFrame:
         F.when(add, binary.unsigned(p, *ORDER_REF)).alias("order_ref"),
         F.when(~directory, binary.char(p, SIDE)).alias("side"),
         F.when(directory, binary.char(p, DIRECTORY_CATEGORY)).alias("market_cat"),
-    )
+    ]
 
 
 def rejected_frames(frames: DataFrame) -> DataFrame:
