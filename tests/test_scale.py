@@ -144,6 +144,7 @@ def _scans(df) -> int:
 def test_inputs_are_scanned_no_more_than_needed(spark, sf_dir):
     trades = tape_views.trades(spark, sf_dir)
     assert _scans(signals.rolling_volatility(trades)) <= 2
+    assert _scans(signals.rolling_volatility(trades, top=None)) == 1
     assert _scans(features.build_features(tape_views.messages(spark, sf_dir))) <= 3
     assert _scans(reports.abnormal_volume(tape_views.day_bars(spark, sf_dir), "last_bar")) == 1
 

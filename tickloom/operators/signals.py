@@ -13,10 +13,10 @@ from tickloom.operators import rows
 from tickloom.operators.bars import top_by_volume
 from tickloom.operators.joins import keep_top
 from tickloom.operators.slices import rolling_sums
-from tickloom.session import materialise
 
 # Frame widths of the signals.
 VOLATILITY_WINDOW_NS = 300 * times.SECOND_NS
+SLICE_WINDOWS = 4
 FEATURE_WINDOW_S = 60
 LABEL_HORIZON_S = 30
 
@@ -56,14 +56,14 @@ def rolling_volatility(
     window_ns: int = VOLATILITY_WINDOW_NS,
     top: int | None = 10,
     keys: Sequence[str] = ("stock",),
-    slice_ns: int = times.SLICE_NS,
+    slice_ns: int | None = None,
 ) -> DataFrame:
     """Sample stddev of price over [ts - window, ts] for the stocks of largest volume.
 
-    `top=None` keeps all stocks. The first trade of a window has no stddev.
+    `top=None` keeps all stocks. The first trade of a window has no stddev. Slices
+    are four windows wide unless told otherwise.
     """
-    # The leaders' trades are read twice, by the windows and by what they hand over.
-    kept = trades if top is None else materialise(keep_top(trades, top_by_volume(trades, top)), "leaders")
+    kept = trades if top is None else keep_top(trades, top_by_volume(trades, top))
     ticks = F.col("price_ticks")
     sums = rolling_sums(
         kept,
@@ -75,7 +75,7 @@ def rolling_volatility(
             "__s": ticks,
             "__ss": measures.squared(ticks),
         },
-        slice_ns,
+        slice_ns or SLICE_WINDOWS * window_ns,
     )
     spread = measures.sample_stddev(F.col("__n"), F.col("__s"), F.col("__ss"))
     return sums.withColumn("volatility", spread).drop("__n", "__s", "__ss")

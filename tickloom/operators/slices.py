@@ -2,10 +2,11 @@
 
 `Window.partitionBy(stock)` sends a whole instrument to one task. The functions
 here cut each key into time slices, so that a slice and not a key is the unit of
-work, and stay exact by adding one *carry row* per (key, slice): the state that
+work. What a slice needs from before it comes as narrow copies of the rows that
+its frames reach back to, or as one *carry row* per (key, slice): the state that
 the earlier slices hand over, computed by an ordinary aggregation with map-side
-combine. Rolling sums are running sums over enter and leave events, so their
-cost does not depend on how many rows a frame holds.
+combine. Rolling sums are differences of running sums, so their cost does not
+depend on how many rows a frame holds.
 
 Key columns may be NULL; NULL forms a key of its own, as in a plain window.
 """
@@ -22,7 +23,7 @@ from tickloom.functions.measures import order_key
 from tickloom.functions.times import slice_start
 from tickloom.session import materialise
 
-_SLICE, _AT, _SIGN = "__slice", "__at", "__sign"
+_SLICE, _AT, _COPY, _OWN = "__slice", "__at", "__copy", "__own"
 
 
 def rolling_sums(
@@ -36,63 +37,49 @@ def rolling_sums(
     """Add, for each row, the sums of `measures` over rows of its key whose `ts`
     lies in [own ts - width, own ts].
 
-    Measures must be exact (integer or decimal); NULL counts as zero. A row
-    enters the sum at `ts` and leaves it at `ts + width + 1`.
+    Measures must be exact (integer or decimal); NULL counts as zero. A sum is the
+    running sum up to the row minus the running sum up to the frame's left edge;
+    both grow with the rows and are never added up again. Rows that later slices
+    look back at are copied into them with their measures alone: about `width` by
+    `slice_width` of all rows. The input is read once.
     """
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
     names = list(measures)
     held = {n: f"__m_{i}" for i, n in enumerate(names)}
 
-    valued = df.withColumns({held[n]: F.coalesce(m, F.lit(0)) for n, m in measures.items()})
-    event = F.explode(
-        F.array(
-            F.struct(F.col(ts).alias("at"), F.lit(1).alias("sign")),
-            F.struct((F.col(ts) + F.lit(width + 1)).alias("at"), F.lit(-1).alias("sign")),
-        )
+    first = slice_start(F.col(ts), slice_width)
+    seen_by = F.sequence(first, slice_start(F.col(ts) + F.lit(width), slice_width), F.lit(slice_width).cast("bigint"))
+    valued = df.select(
+        *keys,
+        *payload,
+        F.col(ts).alias(_AT),
+        *[F.coalesce(m, F.lit(0)).alias(held[n]) for n, m in measures.items()],
+        F.posexplode(F.coalesce(seen_by, F.array(first))).alias(_COPY, _SLICE),
     )
-    events = (
-        valued.select(*keys, *payload, *held.values(), event.alias("__e"))
-        .select(
-            *keys,
-            slice_start(F.col("__e.at"), slice_width).alias(_SLICE),
-            F.col("__e.at").alias(_AT),
-            F.col("__e.sign").alias(_SIGN),
-            *[F.when(F.col("__e.sign") == 1, F.col(c)).alias(c) for c in payload],
-            *[
-                F.when(F.col("__e.sign") == 1, F.col(m)).otherwise(-F.col(m)).alias(m)
-                for m in held.values()
-            ],
-        )
-    )
-
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        events.groupBy(*keys, _SLICE)
-        .agg(*[F.sum(m).alias(m) for m in held.values()])
-        .select(
-            *keys,
-            _SLICE,
-            F.col(_SLICE).alias(_AT),
-            F.lit(0).alias(_SIGN),
-            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(m) for m in held.values()],
-        )
-    )
-
-    running = (
-        Window.partitionBy(*keys, _SLICE)
-        .orderBy(_AT)
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col(_COPY) == 0
+    rows = valued.select(
+        *keys,
+        _SLICE,
+        _AT,
+        own.alias(_OWN),
+        *[F.when(own, F.col(c)).alias(c) for c in payload],
+        *held.values(),
     )
+    in_time = Window.partitionBy(*keys, _SLICE).orderBy(_AT)
+    upto_now = in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before_frame = in_time.rangeBetween(Window.unboundedPreceding, -(width + 1))
     return (
-        events.unionByName(carry, allowMissingColumns=True)
-        .select(
+        rows.select(
             *keys,
             *payload,
-            _SIGN,
-            *[F.sum(held[n]).over(running).alias(n) for n in names],
+            _OWN,
+            *[
+                (F.sum(held[n]).over(upto_now) - F.coalesce(F.sum(held[n]).over(before_frame), F.lit(0))).alias(n)
+                for n in names
+            ],
         )
-        .filter(F.col(_SIGN) == 1)
+        .filter(F.col(_OWN))
         .select(*df.columns, *names)
     )
 

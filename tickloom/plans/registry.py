@@ -473,7 +473,7 @@ def stock_totals(spark, sf_dir):
 @query
 def rolling_volatility(spark, sf_dir):
     spread = signals.rolling_volatility(
-        tape_views.trades(spark, sf_dir), DAY, slice_ns=QUARTER_DAY
+        tape_views.trades(spark, sf_dir), DAY
     )
     return _rounded(spread.select("seq", "stock", "ts_ns", "price", "volatility"), "volatility")
 
@@ -482,7 +482,7 @@ def rolling_volatility(spark, sf_dir):
 def rolling_volatility_l(spark, sf_dir):
     """All stocks of the line-item tape, many trades of one time."""
     spread = signals.rolling_volatility(
-        tape_views.item_trades(spark, sf_dir), 90 * DAY, top=None, slice_ns=180 * DAY
+        tape_views.item_trades(spark, sf_dir), 90 * DAY, top=None
     )
     return _rounded(
         spread.select("stock", "ts_ns", "shares", "price_ticks", "volatility"), "volatility"
