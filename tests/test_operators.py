@@ -316,6 +316,13 @@ def test_point_filter_takes_any_text(spark):
     assert rows.of_stock(tape, "' or '1'='1").isEmpty()
 
 
+def test_places_that_do_not_fit_are_an_error(spark):
+    tape = spark.createDataFrame([("a", 0), ("b", (1 << 40) - 1)], "path string, seq bigint")
+    assert sorted(r.seq for r in rows.number_files(tape).collect()) == [0, (1 << 41) - 1]
+    with pytest.raises(Exception, match="too large"):
+        rows.number_files(spark.createDataFrame([("a", 1 << 40)], "path string, seq bigint")).collect()
+
+
 def test_require_rows(spark):
     with pytest.raises(ValueError, match="no trades"):
         rows.require_rows(spark.range(0), "trades")

@@ -37,12 +37,14 @@ def number_files(messages: DataFrame, files: DataFrame | None = None) -> DataFra
 
     Offsets repeat from file to file. With the files numbered by path, (ts_ns,
     seq) is a total order, which open, close, newest quote and VWAP change need.
-    A file may reach 2^40 bytes. `files(path)` are the tape's files where they
+    A file may reach 2^40 bytes, a tape 2^23 files; more is an error. `files(path)` are the tape's files where they
     are known already; numbers are dense and start at 0.
     """
     paths = (messages if files is None else files).select("path").distinct()
     numbered = numbered_rows(paths, ["path"], "__file")
-    place = F.shiftleft("__file", PLACE_BITS).bitwiseOR(F.col("seq"))
+    fits = F.col("seq").between(0, (1 << PLACE_BITS) - 1) & (F.col("__file") < 1 << (63 - PLACE_BITS))
+    too_large = F.raise_error(F.format_string("file %s or offset %s is too large", "__file", "seq")).cast("bigint")
+    place = F.when(fits, F.shiftleft("__file", PLACE_BITS).bitwiseOR(F.col("seq"))).otherwise(too_large)
     return messages.join(numbered, "path").withColumn("seq", place).drop("__file")
 
 
