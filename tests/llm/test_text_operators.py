@@ -73,6 +73,15 @@ def near_rows(number=90):
     return rows + ["a b c", "A b  C", "a b c d", "", None]
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_a_full_or_small_filter_loses_no_row(spark, monkeypatch, bits):
+    """With few bits nearly every id passes the filter; the joins decide alike."""
+    docs = documents(spark, [(10 + i, t, "en", "s") for i, t in enumerate(near_rows(40))])
+    wanted = sorted(r["doc_id"] for r in minhash.keep_one(docs).collect())
+    monkeypatch.setattr(minhash, "FILTER_BITS", bits)
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == wanted
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(spark, percent):
     texts = near_rows()
