@@ -168,3 +168,19 @@ select *, folded_root = root as verified from r
 """
 
 ORACLE_SQL["op13_manifest"] = MANIFEST
+
+NEAR_VECTORS = """
+with recursive
+v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+g as materialized (select vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from v
+      where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+e as materialized (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id
+      where a.norm > 0 and b.norm > 0 and len(a.v) = len(b.v) and list_dot_product(a.v, b.v) / a.norm / b.norm >= 0.93),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, e.b from r join e on r.b = e.a),
+c as (select a as vec_id, min(b) as component_id from r group by 1),
+n as (select a as vec_id, count(*) as n_links from e group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, component_id = vec_id as kept
+from c left join n using (vec_id)
+"""
+
+ORACLE_SQL["op2_capfilter"] = NEAR_VECTORS
