@@ -8,6 +8,7 @@ import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tickloom import session
 
 BATCH_ROWS = "500"
+FILTER_BITS = 1 << 24
 
 
 def prepare(spark: SparkSession) -> None:
@@ -141,22 +143,67 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def most_frequent(counts: DataFrame, by: str, most: int) -> list:
+def may_be_in(ids: DataFrame):
+    """A test on an id: true for every id of `ids(id)`, and for few others while they fill a small part of the bits.
+
+    The bits have a fixed size. They only spare rows a shuffle; a join decides.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
+    )
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.collect():
+        filled[row["word"]] = row["bits"]
+    shared = ids.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def run(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.uint64)
+        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    run.__annotations__ = {"places": pd.Series, "return": pd.Series}
+    test = F.pandas_udf(run, "boolean")
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with as many underscores in front as make it differ from every column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def one_of(hashed: Column, most: int, rows: int) -> Column:
+    """True for about `most` of `rows` rows, by a 64-bit hash; every row if there are no more."""
+    return F.shiftrightunsigned(hashed, 2) < F.lit(min(1 << 62, (most << 62) // max(1, rows))).cast("bigint")
+
+
+def most_frequent(counts: DataFrame, by: str, most: int, fill: str | None = None) -> list:
     """The rows with the largest positive counts `by`, at most `most` of them, in no order.
 
     A histogram of fixed size over the logarithm of the count gives the count
     from which rows are taken, so the driver never sees more than `most` rows
-    and no task sorts. Rows that tie across the limit are left out together.
+    and no task sorts. Rows that tie across the limit are left out together, or,
+    with `fill`, chosen by a hash of that column, which gives about `most` rows.
     """
     step = F.floor(F.log2(by) * 64)
     sizes = dict(counts.groupBy(step.alias("step")).agg(F.count("*")).collect())
-    total, least = 0, None
+    total, least, across = 0, None, None
     for place in sorted(sizes, reverse=True):
-        total += sizes[place]
-        if total > most:
+        if total + sizes[place] > most:
+            across = place
             break
+        total += sizes[place]
         least = place
-    return [] if least is None else counts.where(step >= least).collect()
+    wanted = F.lit(False) if least is None else step >= least
+    if fill is not None and across is not None:
+        wanted |= (step == across) & one_of(F.xxhash64(fill), most - total, sizes[across])
+    return counts.where(wanted).collect()
 
 
 def grouped_blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

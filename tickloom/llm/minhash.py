@@ -30,7 +30,6 @@ SEED = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE_WORDS = 5
 BANDS, BAND_VALUES = 28, 5
 CLASSES = 128
-FILTER_BITS = 1 << 24
 
 
 def shingles(text: bytes, hashes: common.WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -239,7 +238,7 @@ def _with_nodes(
     busy = members.select(F.col("rep").alias("id"), "node").distinct()
     wanted = busy.select("id").distinct()
     sets = (
-        rows.where(_may_be_in(wanted)(F.col("id")))
+        rows.where(common.may_be_in(wanted)(F.col("id")))
         .join(wanted, "id", "left_semi")
         .select("id", "text")
         .mapInArrow(_sets(width), f"id {id_type}, node bigint, set binary, spread array<int>")
@@ -312,29 +311,6 @@ def _with_nodes(
     )
 
 
-def _may_be_in(ids: DataFrame):
-    """A test on an id: true for every id of `ids(id)`, and for few others while they fill a small part of the bits.
-
-    The bits have a fixed size. They only spare rows a shuffle; a join decides.
-    """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
-    )
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.collect():
-        filled[row["word"]] = row["bits"]
-    shared = ids.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
-
-    def run(places: pd.Series) -> pd.Series:
-        at = places.to_numpy(np.uint64)
-        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    run.__annotations__ = {"places": pd.Series, "return": pd.Series}
-    test = F.pandas_udf(run, "boolean")
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
-
-
 def _node_udf(width: int):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = common.WordHashes()
@@ -352,26 +328,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     Documents without an id and documents without words are groups of their own.
     Rows that repeat an id are decided each by its own text; of those that
-    repeat id and text, one row stays. Rows without an id all stay.
+    repeat id and text, one row stays. Rows without an id all stay. All columns
+    are kept, whatever their names.
     """
+    kept_id, kept_node, own_node = common.unused(docs, "_kept_id", "_kept_node", "_own_node")
     found = _with_nodes(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull())
-    kept = found.groupBy(F.col(id_col).alias("_kept_id"), F.col("_node").alias("_kept_node")).agg(
+    kept = found.groupBy(F.col(id_col).alias(kept_id), F.col("_node").alias(kept_node)).agg(
         F.count("*").alias("_rows"), F.max("kept").alias("_kept")
     )
     kept = common.stored(kept, "kept-ids")
-    ids = kept.groupBy("_kept_id").agg(F.sum("_rows").alias("_rows"), F.max("_kept").alias("_kept")).where("_kept")
+    ids = kept.groupBy(kept_id).agg(F.sum("_rows").alias("_rows"), F.max("_kept").alias("_kept")).where("_kept")
     # Rows that are surely not among those to be decided stay where they are; the others' texts are shuffled.
-    all_ids = kept.groupBy("_kept_id").agg(F.sum("_rows").alias("_rows"), F.min("_kept").alias("_all"))
-    open_ = _may_be_in(all_ids.where("_rows > 1 or not _all").select(F.col("_kept_id").alias("id")))(F.col(id_col))
+    all_ids = kept.groupBy(kept_id).agg(F.sum("_rows").alias("_rows"), F.min("_kept").alias("_all"))
+    open_ = common.may_be_in(all_ids.where("_rows > 1 or not _all").select(F.col(kept_id).alias("id")))(F.col(id_col))
     here = docs.where(F.col(id_col).isNotNull())
     clear = here.where(~open_)
     once = clear.union(
-        here.where(open_).join(ids.where("_rows = 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+        here.where(open_).join(ids.where("_rows = 1"), F.col(id_col) == F.col(kept_id), "left_semi")
     ).union(docs.where(F.col(id_col).isNull()))
     if ids.where("_rows > 1").isEmpty():
         return once
-    again = here.where(open_).join(ids.where("_rows > 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    again = again.withColumn("_own_node", _node_udf(SHINGLE_WORDS)(common.text_bytes(F.col(text_col))))
-    same = (F.col(id_col) == F.col("_kept_id")) & (F.col("_own_node") == F.col("_kept_node"))
+    again = here.where(open_).join(ids.where("_rows > 1"), F.col(id_col) == F.col(kept_id), "left_semi")
+    again = again.withColumn(own_node, _node_udf(SHINGLE_WORDS)(common.text_bytes(F.col(text_col))))
+    same = (F.col(id_col) == F.col(kept_id)) & (F.col(own_node) == F.col(kept_node))
     again = again.join(kept.where("_kept"), same, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col])
     return once.union(again)

@@ -111,6 +111,9 @@ class Evidence:
         return np.clip(self.weights[0] + self.expand(x) @ self.weights[1:], -15, 15)
 
 
+RESULTS = ("quality_evidence", "host_posterior", "path_posterior", "quality_score", "quality_kept")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MOST_LABELLED) -> Evidence:
     """The evidence model from about `most` labelled documents, chosen by a hash of their id.
 
@@ -119,8 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: in
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.avg("quality").alias("quality")
     )
-    share = min(1.0, most / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < int(share * 2**20))
+    chosen = marked.where(common.one_of(F.xxhash64("doc_id"), most, marked.count()))
     rows = docs.select(F.col(id_col).alias("id"), common.text_bytes(F.col(text_col)).alias("text"))
     # At most about `most` ids of a few bytes each.
     rows = rows.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"))), "id", "left_semi")
@@ -206,25 +208,28 @@ def score(
     probability = 1 / (1 + F.exp(-F.col("evidence")))
     counted = docs.select(host(site).alias("host"), path(site).alias("path"), evidence(text).alias("evidence"))
     posteriors, prior = site_posteriors(counted.select("host", "path", probability.alias("p")))
-    names = {c: f"_site_{c}" for c in posteriors.columns}
-    posteriors = posteriors.withColumnsRenamed(names)
-    base = docs.drop("quality_evidence", "host_posterior", "path_posterior", "quality_score", "quality_kept")
+    own_host, own_path, *names = common.unused(docs, "_host", "_path", *(f"_site_{c}" for c in posteriors.columns))
+    posteriors = posteriors.toDF(*names)
+    site_host, site_path, of_host, of_path = map(F.col, names)
+    base = docs.drop(*RESULTS)
     logit = lambda p: F.log(p / (1 - p))
     joined = (
-        base.withColumns({"_host": host(site), "_path": path(site)})
-        .join(posteriors, (F.col("_host") == F.col("_site_host")) & (F.col("_path") == F.col("_site_path")), "left")
+        base.withColumns({own_host: host(site), own_path: path(site)})
+        .join(posteriors, (F.col(own_host) == site_host) & (F.col(own_path) == site_path), "left")
         .withColumn("quality_evidence", evidence(text))
     )
-    held = F.least(F.greatest(F.col("_site_path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    held = F.least(F.greatest(of_path, F.lit(1e-6)), F.lit(1 - 1e-6))
     posterior = F.col("quality_evidence") - float(np.log(prior / (1 - prior))) + logit(held)
     return (
         joined.withColumn("quality_score", 1 / (1 + F.exp(-posterior)))
         .withColumn("quality_kept", F.col("quality_score") >= REJECT_BELOW)
-        .withColumnsRenamed({"_site_host_posterior": "host_posterior", "_site_path_posterior": "path_posterior"})
-        .drop("_host", "_path", "_site_host", "_site_path")
+        .withColumns({"host_posterior": of_host, "path_posterior": of_path})
+        .drop(own_host, own_path, *names)
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, with their own columns."""
-    return score(docs, labels).where("quality_kept").select(docs.columns)
+    own = dict(zip(RESULTS, common.unused(docs, *RESULTS), strict=True))
+    kept = score(docs.withColumnsRenamed(own), labels).where("quality_kept").drop(*RESULTS)
+    return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(docs.columns)

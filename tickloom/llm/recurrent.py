@@ -525,11 +525,10 @@ def score(
     masses = np.array([*(mass[e] for e in endings), whole - sum(mass[e] for e in endings)]) + SMOOTH
 
     start = Network.start(vocabulary)
-    hashed = F.pmod(F.xxhash64("id", F.length("text")), F.lit(2**20))
+    hashed = F.xxhash64("id", F.length("text"))
     start.set_shares(vocabulary, np.array([hot[w] for w in predicted]) + SMOOTH, masses)
     start = start.flat()
-    size = max(1, train.count())
-    chosen = train.where(hashed < int(min(1.0, sample_docs / size) * 2**20))
+    chosen = train.where(common.one_of(hashed, sample_docs, train.count()))
     schema = "place bigint, weight double, tokens bigint"
     first = _averaged(chosen.select("text").repartition(1).mapInArrow(_train(vocabulary, start, 2, RATE), schema), start)
     flat = _averaged(train.select("text").mapInArrow(_train(vocabulary, first, 1, RATE / 4), schema), first)
