@@ -1,5 +1,6 @@
 """Text operators against brute force on small tables with odd rows."""
 
+import math
 import hashlib
 import zlib
 
@@ -300,6 +301,74 @@ def toxic_docs(spark):
     return documents(spark, rows), labels(spark, marks + [(None, 1, 1), (0, 1, 1)])
 
 
+def test_long_runs_of_letters():
+    model = toxicity.CharacterModel({g: n for w, n in {"moron": 60, "the": 300}.items() for g in toxicity.grams(w)})
+    letters = list("the" * 400 + "moron" + "the" * 400)
+    found = toxicity.spelled(letters, model)
+    assert "moron" in found
+    joins = toxicity.Joins(model)
+    assert "moron" in joins.over(letters) and not joins.runs  # only short runs are remembered
+    joins.over(["m", "o", "r", "o", "n"])
+    assert list(joins.runs) == [tuple("moron")]
+
+
+def readings_by_hand(token, model):
+    """All ways through the lattice, each with its cost."""
+    ways = [("", 0.0)]
+    for options in toxicity.lattice(token):
+        ways = [
+            (word + letter, cost + channel + (model.log(("^^" + word)[-2:], letter) if letter else -2.0))
+            for word, cost in ways
+            for letter, channel in options
+        ]
+    return {word: max(c for w, c in ways if w == word) + model.log(("^^" + word)[-2:], "^") for word, _ in ways}
+
+
+def test_restored_words_are_the_best_of_all_ways():
+    counts = {}
+    for word, n in {"idiot": 50, "stupid": 50, "the": 300, "loser": 40, "good": 90}.items():
+        for gram in toxicity.grams(word):
+            counts[gram] = counts.get(gram, 0) + n
+    model = toxicity.CharacterModel(counts)
+    rng = np.random.default_rng(8)
+    for token in ["1d10t", "$t|_|pid", "looo0er", "g.0.o.d", *("".join(rng.choice(list("idot10!*.-s"), 6)) for _ in range(60))]:
+        ways = readings_by_hand(token, model)
+        found = toxicity.restore(token, model)
+        assert found in ways and math.isclose(ways[found], max(ways.values()), abs_tol=1e-9), token
+
+
+def test_evidence_beyond_its_limit_is_filled_up(spark):
+    units = spark.createDataFrame([(f"u{i}", 8.0) for i in range(4000)] + [("top", 9.0)], "unit string, odds double")
+    assert [r["unit"] for r in common.most_frequent(units, "odds", 1000)] == ["top"]
+    found = {r["unit"] for r in common.most_frequent(units, "odds", 1000, fill="unit")}
+    assert "top" in found and 850 < len(found) < 1150
+
+
+def test_sampling_threshold(spark):
+    one = lambda most, rows: spark.range(4000).where(common.one_of(F.xxhash64("id"), most, rows)).count()
+    assert one(2000, 1500) == 4000 and one(5, 0) == 4000
+    assert 1800 < one(2000, 4000) < 2200
+    # Beyond two billion rows the share is small but not zero.
+    bound = common.one_of(F.lit(0).cast("bigint"), 2000, 3_000_000_000)
+    assert spark.range(1).where(bound).count() == 1
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs, marks = toxic_docs(spark)
+    names = ["_host", "_path", "_site_host", "_site_path", "quality_score", "quality_kept", "_toxic_score"]
+    names += ["_kept_id", "_kept_node", "_own_node", "_kept", "_rows"]
+    more = docs.withColumns({name: F.concat(F.lit(name), F.coalesce(F.col("text"), F.lit(""))) for name in names})
+    for stage in (
+        lambda x: quality.keep_good(x, marks),
+        lambda x: toxicity.keep_clean(x, marks),
+        lambda x: minhash.keep_one(x, percent=80),
+    ):
+        plain, kept = stage(docs), stage(more)
+        assert kept.columns == more.columns
+        assert sorted(map(str, kept.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r[n] == n + (r["text"] or "") for r in kept.collect() for n in names)
+
+
 def test_toxicity(spark):
     docs, marks = toxic_docs(spark)
     rows = toxicity.score(docs, marks).collect()

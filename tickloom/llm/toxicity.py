@@ -33,7 +33,7 @@ MOST_FEATURES = 50_000
 MOST_GRAMS = 60_000
 MOST_FITTED = 20_000
 LEAST_DOCS = 3
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 FLUSH = 150_000  # distinct entries a task counts before it passes them on
 PREFIXES = (4, 5, 6)
 
@@ -46,14 +46,17 @@ LEET = {
 SEPARATORS = ".-_*~'’·"
 SUBSTITUTED, SHRUNK, JOINED = -1.5, -0.7, -0.7
 DROPPED = -2.0  # cost of a blank that does not end a word; between two single letters it costs nothing
+LONG_RUN = 16  # tokens; longer runs are worked out anew, so that what is remembered has a bound
+STRETCH = 512  # single letters that are read together; stretches overlap by two longest words
 NEAR, SPELLED = 12.0, 24  # of single letters in a row, words of up to so many in readings so close to the best one count too
 EDGE = "^"
 RUN = re.compile(r"([^\W\d_])\1\1")
 TRIM = re.compile(r"^(?:([^\w\s])\1+|[(\[{\"'«“¿])+|(?:([^\w\s])\2+|[.,;:!?)\]}\"'»”])+$")
 DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{re.escape(''.join(LEET))}]|[^\W\d_](?:[{re.escape(SEPARATORS)}][^\W\d_])+$)")
-# Tokens of a few letters or signs, two or more in a row: blanks between them may be part of a disguise.
-SHORT = rf"(?<!\S)[(\[{{\"'«“¿]*(?:[^\W_]|[{re.escape(''.join(LEET) + SEPARATORS)}]){{1,4}}[.,;:!?)\]}}\"'»”]*(?!\S)"
-WINDOW = re.compile(rf"{SHORT}(?:\s+{SHORT})+")
+# Tokens of a few letters or signs; blanks between two or more in a row may be part of a disguise.
+SHORT = re.compile(
+    rf"[(\[{{\"'«“¿]*(?:[^\W_]|[{re.escape(''.join(LEET) + SEPARATORS)}]){{1,4}}[.,;:!?)\]}}\"'»”]*"
+)
 
 
 class CharacterModel:
@@ -140,6 +143,8 @@ def looks_disguised(core: str) -> bool:
 def readings(token: str, model: CharacterModel | None) -> str:
     """The plain word of a raw token; '' if it has no letters."""
     core = token.lower()
+    if core.isalpha() and not RUN.search(core):
+        return core
     if not core[:1].isalnum() or not core[-1:].isalnum():
         core = TRIM.sub("", core)
     if core.isalpha() and not RUN.search(core):
@@ -175,7 +180,13 @@ def segmented(tokens: list[str], model: CharacterModel) -> list[str]:
 
 
 def spelled(letters: list[str], model: CharacterModel) -> list[str]:
-    """Words over two or more single letters, in all readings close to the likeliest one."""
+    """Words over two or more single letters, in all readings close to the likeliest one of their stretch."""
+    step = STRETCH - 2 * SPELLED
+    starts = range(0, max(1, len(letters) - 2 * SPELLED), step)
+    return [word for i in starts for word in _spelled_words(letters[i : i + STRETCH], model)]
+
+
+def _spelled_words(letters: list[str], model: CharacterModel) -> list[str]:
     n = len(letters)
     best, rest = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
     ways: list[tuple[int, int, float, tuple]] = []
@@ -192,11 +203,12 @@ def spelled(letters: list[str], model: CharacterModel) -> list[str]:
 
 
 class Joins(dict):
-    """Joined words of a run of short tokens, remembered."""
+    """Words written over several tokens; by token: what a short one has without its outer signs, '' for others."""
 
     def __init__(self, model: CharacterModel) -> None:
         self.model = model
         self.gains: dict[str, float] = {}
+        self.runs: dict[tuple[str, ...], list[str]] = {}
 
     def gain(self, left: str, right: str) -> float:
         """Log cost of a dropped blank less that of a kept one; exact if both sides are two plain letters or more."""
@@ -209,35 +221,63 @@ class Joins(dict):
             )
         return value
 
-    def __missing__(self, tokens: tuple[str, ...]) -> list[str]:
-        found = segmented(list(tokens), self.model)
-        for single, letters in groupby(tokens, lambda x: len(x) == 1):
-            if single and len(row := list(letters)) > 2:
-                found += spelled(row, self.model)
-        value = self[tokens] = list(dict.fromkeys(found))
+    def __missing__(self, token: str) -> str:
+        short = len(token) < 5 if token.isalpha() else SHORT.fullmatch(token)
+        core = token.lower() if short else ""
+        value = self[token] = core if not core or core.isalpha() else TRIM.sub("", core) or core
+        return value
+
+    def joined(self, run: list[str]) -> list[str]:
+        """Words over all readings of a run of short tokens."""
+        key = tuple(run[: LONG_RUN + 1])
+        value = self.runs.get(key) if len(key) <= LONG_RUN else None
+        if value is None:
+            found = segmented(run, self.model)
+            for single, letters in groupby(run, lambda x: len(x) == 1):
+                if single and len(row := list(letters)) > 2:
+                    found += spelled(row, self.model)
+            value = list(dict.fromkeys(found))
+            if len(key) <= LONG_RUN:
+                self.runs[key] = value
         return value
 
-    def of(self, text: str) -> list[str]:
-        """Words of `text` that are written over several tokens."""
+    def within(self, cores: list[str]) -> list[str]:
+        """Words that are written over several of `cores`, short tokens in a row."""
         found: list[str] = []
-        for window in WINDOW.finditer(text):
-            run: list[str] = []
-            for token in window.group().lower().split():
-                core = token if token.isalpha() else TRIM.sub("", token) or token
-                # Blanks that the likeliest reading keeps, whatever stands around them, split the run.
-                if run and len(core) > 1 and len(run[-1]) > 1 and core.isalpha() and run[-1].isalpha() and (
-                    self.gain(run[-1], core) < 0
-                ):
+        run: list[str] = []
+        gains, plain = self.gains, False
+        for core in cores:
+            before, plain = plain, len(core) > 1 and core.isalpha()
+            # Blanks that the likeliest reading keeps, whatever stands around them, split the run.
+            if before and plain:
+                gain = gains.get(run[-1][-2:] + core[:2])
+                if (self.gain(run[-1], core) if gain is None else gain) < 0:
                     if len(run) > 1:
-                        found += self[tuple(run)]
+                        found += self.joined(run)
                     run = []
-                run.append(core)
-            if len(run) > 1 and any(map(str.isalpha, run)):
-                found += self[tuple(run)]
-        if len(self) > REMEMBERED:
+            run.append(core)
+        if len(run) > 1 and any(map(str.isalpha, run)):
+            found += self.joined(run)
+        return found
+
+    def of(self, text: str) -> list[str]:
+        """Words of `text` that are written over several tokens."""
+        return self.over(text.split())
+
+    def over(self, tokens: list[str]) -> list[str]:
+        """Words written over several of `tokens`, a text split at white space."""
+        found: list[str] = []
+        for short, cores in groupby(map(self.__getitem__, tokens), bool):
+            if short and len(row := list(cores)) > 1:
+                found += self.within(row)
+        if len(self) + len(self.runs) > REMEMBERED:
             self.clear()
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.runs.clear()
+
 
 def units(word: str) -> list[str]:
     """What evidence is counted on: the word and its beginnings."""
@@ -247,7 +287,7 @@ def units(word: str) -> list[str]:
 def _gram_rows(seen: Counter[str]) -> pa.RecordBatch:
     """Character grams of plain words, as `grams` gives them, with the words' counts."""
     cores = ((token if token.isalpha() else TRIM.sub("", token), n) for token, n in seen.items())
-    plain = [(core, n) for core, n in cores if core.isalpha() and len(core) < 40 and not RUN.search(core)]
+    plain = [(core, n) for core, n in cores if core.isalpha() and not RUN.search(core)]
     lengths = np.array([len(core) + 3 for core, _ in plain], np.int64)
     text = "".join(f"{EDGE}{EDGE}{core}{EDGE}" for core, _ in plain)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -298,7 +338,8 @@ class Reader(dict):
     def words(self, text: str) -> list[str]:
         if len(self) > REMEMBERED:
             self.clear()
-        return [*map(self.__getitem__, text.split()), *self.joins.of(text)]
+        tokens = text.split()
+        return [*map(self.__getitem__, tokens), *self.joins.over(tokens)]
 
 
 def _unit_rows(all_: Counter[str], bad: Counter[str]) -> pa.RecordBatch:
@@ -338,9 +379,12 @@ class TokenEvidence(dict):
 
     def __init__(self, model: CharacterModel, evidence: dict[str, float]) -> None:
         self.model, self.evidence = model, evidence
+        self.starts = {unit[:3] for unit in evidence}  # no unit is shorter
         self.joins = Joins(model)
 
     def of(self, word: str) -> float:
+        if word[:3] not in self.starts:
+            return 0.0
         return max([self.evidence.get(u, 0.0) for u in units(word)], default=0.0)
 
     def __missing__(self, token: str) -> float:
@@ -361,7 +405,8 @@ class Scorer:
         """Strongest evidence, log of the count of words with strong evidence, their share."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        values = [*map(self.known.__getitem__, text.split()), *map(self.known.of, self.known.joins.of(text))]
+        tokens = text.split()
+        values = [*map(self.known.__getitem__, tokens), *map(self.known.of, self.known.joins.over(tokens))]
         most = max(values, default=0.0)
         strong = sum(1 for v in values if v > 2.0) if most > 2.0 else 0
         return most, math.log1p(strong), math.sqrt(strong / max(1, len(values)))
@@ -387,7 +432,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     All of them are counted. The final weights are fitted on about `MOST_FITTED`
     of them, chosen by a hash of the id; the evidence table is cut to the
-    `MOST_FEATURES` units that occur in most toxic documents.
+    `MOST_FEATURES` units of the highest cautious odds.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -398,8 +443,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.avg("toxic").alias("toxic"))
     )
+    marked = common.stored(marked, "toxic-marked")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    train = common.stored(rows.join(marked, "id"), "toxic-train")
+    # Texts that surely have no label stay where they are; the join by hash is the same plan at every size.
+    rows = rows.where(common.may_be_in(marked.select("id"))(F.col("id")))
+    train = common.stored(rows.join(marked.hint("shuffle_hash"), "id"), "toxic-train")
     total = train.agg(F.count("*").alias("n"), F.sum((F.col("toxic") >= 0.5).cast("long")).alias("t")).first()
     n, toxic = total["n"], total["t"] or 0
     prior = (toxic + 1) / (n + 2)
@@ -414,15 +462,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = (F.col("toxic") + prior) / (F.col("n") + 1)
     careful = F.greatest(share - F.sqrt(share * (1 - share) / (F.col("n") + 1)), F.lit(1e-3))
     odds = F.log(careful / (1 - careful)) - math.log(prior / (1 - prior))
-    rows = (
-        counts.withColumn("odds", F.least(odds, F.lit(8.0)))
-        .where("odds > 0.7")
-    )
-    rows = common.most_frequent(common.stored(rows, "toxic-units"), "toxic", MOST_FEATURES)
+    rows = common.stored(counts.withColumn("odds", F.least(odds, F.lit(8.0))).where("odds > 0.7"), "toxic-units")
+    rows = common.most_frequent(rows, "odds", MOST_FEATURES, fill="unit")
     scorer = Scorer(model, {r["unit"]: r["odds"] for r in rows}, np.array([math.log(prior / (1 - prior)), 0, 0, 0]))
     if 0 < toxic < n:
-        part = min(1.0, MOST_FITTED / n)
-        chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(2**20)) < int(part * 2**20))
+        chosen = train.where(common.one_of(F.xxhash64("id"), MOST_FITTED, n))
         found = chosen.select("text", "toxic").mapInArrow(_vectors(scorer), "x array<double>, toxic double").toPandas()
         if found["toxic"].ge(0.5).nunique() == 2:
             scorer.weights = fit_logistic(np.stack(found["x"]), found["toxic"].ge(0.5).to_numpy(float), 0.1)
@@ -468,4 +512,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with their own columns."""
     scorer = fit(docs, labels)
     value = toxic_udf(scorer)(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_toxic_score", value).where(F.col("_toxic_score") < TOXIC_FROM).select(docs.columns)
+    return docs.where(value < TOXIC_FROM)
