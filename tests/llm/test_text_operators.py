@@ -153,6 +153,33 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+class CountingTokenizer:
+    """Hands on to a tokenizer and counts the texts."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_pieces_are_encoded_in_runs():
+    import pyarrow as pa
+
+    ids = packing.ChunkIds(packing.vocabulary_path(packing.VOCABULARY), most=100)
+    ids.tokenizer = CountingTokenizer(ids.tokenizer)
+    words = [f"Word{chr(97 + i % 26)}{chr(97 + i // 26)}in," for i in range(300)]
+    odd_texts = ["", " ", "\v a<|endoftext|>b\x0c", "< <| |> <|startoftext|>x", "e\u0301 \u0301 K\u212a", "\x1c a\u3000b"]
+    for texts in ([" ".join(words), *odd_texts], odd_texts, [""], []):
+        found = list(ids.encode(pa.array(texts, pa.string())))
+        assert found == [tokens(t)[:-1].tobytes() for t in texts]
+    assert ids.tokenizer.texts < 60
+
+
 def test_first_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300)

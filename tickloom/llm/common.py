@@ -73,6 +73,16 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def coded(split: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
+    """(distinct pieces, the place of each piece among them, edges) of texts split to lists.
+
+    The pieces of text i have the places edges[i] to edges[i + 1] - 1.
+    """
+    pieces = split.flatten().dictionary_encode()
+    edges = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return pieces.dictionary.to_pylist(), pieces.indices, edges
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spreads all bits of unsigned 64-bit values."""
     values = values ^ (values >> np.uint64(33))
@@ -143,16 +153,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def may_be_in(ids: DataFrame):
+def may_be_in(ids: DataFrame, bits: int = FILTER_BITS):
     """A test on an id: true for every id of `ids(id)`, and for few others while they fill a small part of the bits.
 
     The bits have a fixed size. They only spare rows a shuffle; a join decides.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
     )
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled = np.zeros(bits // 64, np.int64)
     for row in words.collect():
         filled[row["word"]] = row["bits"]
     shared = ids.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
@@ -163,7 +173,7 @@ def may_be_in(ids: DataFrame):
 
     run.__annotations__ = {"places": pd.Series, "return": pd.Series}
     test = F.pandas_udf(run, "boolean")
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

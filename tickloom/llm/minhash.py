@@ -30,6 +30,7 @@ SEED = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE_WORDS = 5
 BANDS, BAND_VALUES = 28, 5
 CLASSES = 128
+FILTER_BITS = common.FILTER_BITS
 
 
 def shingles(text: bytes, hashes: common.WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -238,7 +239,7 @@ def _with_nodes(
     busy = members.select(F.col("rep").alias("id"), "node").distinct()
     wanted = busy.select("id").distinct()
     sets = (
-        rows.where(common.may_be_in(wanted)(F.col("id")))
+        rows.where(common.may_be_in(wanted, FILTER_BITS)(F.col("id")))
         .join(wanted, "id", "left_semi")
         .select("id", "text")
         .mapInArrow(_sets(width), f"id {id_type}, node bigint, set binary, spread array<int>")
@@ -340,7 +341,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     ids = kept.groupBy(kept_id).agg(F.sum("_rows").alias("_rows"), F.max("_kept").alias("_kept")).where("_kept")
     # Rows that are surely not among those to be decided stay where they are; the others' texts are shuffled.
     all_ids = kept.groupBy(kept_id).agg(F.sum("_rows").alias("_rows"), F.min("_kept").alias("_all"))
-    open_ = common.may_be_in(all_ids.where("_rows > 1 or not _all").select(F.col(kept_id).alias("id")))(F.col(id_col))
+    open_ = common.may_be_in(all_ids.where("_rows > 1 or not _all").select(F.col(kept_id).alias("id")), FILTER_BITS)(F.col(id_col))
     here = docs.where(F.col(id_col).isNotNull())
     clear = here.where(~open_)
     once = clear.union(

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 4096
+RUN_CHUNKS = 64  # pieces that are encoded as one text
 PIECES = "length long, start long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,7 +42,8 @@ class ChunkIds(dict):
     """Little-endian 32-bit ids of the pieces of a text between blanks.
 
     The tokenizer never joins characters across white space and drops it, so a
-    text's ids are those of its pieces one after another. White space other than
+    text's ids are those of its pieces one after another. Each distinct piece of a
+    batch is looked up once, and Arrow puts the ids in order. White space other than
     ASCII stays inside a piece and is left to the tokenizer. It lower-cases and
     splits signs from letters, so a piece of Latin letters with signs at its end
     is its lower-cased letters, then its signs.
@@ -48,7 +51,7 @@ class ChunkIds(dict):
 
     signs = ".,;:!?|#$%&*"
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,33 +59,88 @@ class ChunkIds(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.most = most
+        letters = "".join(map(chr, range(97, 123)))
+        added = (x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        # Whether words of a to z reach the model as they are, so that it can be asked for them alone.
+        self.plain = (
+            self.tokenizer.post_processor is None
+            and not any(map(str.isalpha, added))
+            and (normal is None or normal.normalize_str(letters) == letters)
+            and (cut is None or cut.pre_tokenize_str(letters) == [(letters, (0, 26))])
+        )
+
+    def separator(self) -> tuple[str, int] | None:
+        """(text, id) of a special token in signs that the tokenizer cuts out of the raw text wherever it stands."""
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            inside = token.content[:1].isalnum() or token.content[-1:].isalnum()
+            if token.special and not (inside or token.normalized or token.single_word or token.lstrip or token.rstrip):
+                return token.content, i
+        return None
 
     def halves(self, chunk: str) -> tuple[str, str]:
         core = chunk.rstrip(self.signs)
-        if not core or max(core) > "\xff" or not core[-1].isalnum() or "<|" in core:
+        if not core or not core[-1].isalnum() or "<|" in core or not core.isascii() and max(core) > "\xff":
             return chunk, ""
         return core.lower(), chunk[len(core) :]
 
     def add(self, chunks: list[str]) -> None:
+        """Plain words are given to the model. Other chunks are encoded as longer texts, set apart by a special token; those that hold it alone."""
+        if self.plain:
+            others, model = [], self.tokenizer.model
+            for chunk in chunks:
+                if chunk.isascii() and chunk.isalpha() and chunk.islower():
+                    self[chunk] = array("I", [token.id for token in model.tokenize(chunk)]).tobytes()
+                else:
+                    others.append(chunk)
+            chunks = others
+        apart = self.separator()
+        if apart is not None:
+            text, between = apart
+            joined = [c for c in chunks if text not in c]
+            for start in range(0, len(joined), RUN_CHUNKS):
+                part = joined[start : start + RUN_CHUNKS]
+                (found,) = self.tokenizer.encode_batch_fast([text.join(part)], add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
+                data, edges = ids.tobytes(), (4 * np.flatnonzero(ids == between)).tolist()
+                for chunk, low, high in zip(part, [-4, *edges], [*edges, len(data)], strict=True):
+                    self[chunk] = data[low + 4 : high]
+            chunks = [c for c in chunks if text in c]
         for start in range(0, len(chunks), 4096):
             part = chunks[start : start + 4096]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[chunk] = array("I", found.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            for blank in "\n\t\r":
-                if blank in text:
-                    text = text.replace(blank, " ")
-            split.append(text.split(" "))
+    def learn(self, chunks: list[str]) -> None:
         if len(self) > self.most:
+            # What is asked for stays: the frequent pieces are in every batch.
+            kept = {chunk: self[chunk] for chunk in chunks if chunk in self}
             self.clear()
-        missing = [(chunk, *self.halves(chunk)) for chunk in set().union(*split).difference(self)]
-        self.add(list({half for _, *both in missing for half in both}.difference(self)))
-        for chunk, core, tail in missing:
-            self[chunk] = self[core] + self[tail]
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+            self.update(kept)
+        wanted, split = set(), []
+        for chunk in chunks:
+            if chunk not in self:
+                core, tail = self.halves(chunk)
+                wanted.add(core)
+                if tail:
+                    wanted.add(tail)
+                if core != chunk:
+                    split += (chunk, core, tail)
+        self.add([x for x in wanted if x not in self])
+        for chunk, core, tail in zip(split[::3], split[1::3], split[2::3], strict=True):
+            self[chunk] = self[core] + self[tail] if tail else self[core]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text, without the end."""
+        chunks, places, edges = common.coded(pc.ascii_split_whitespace(texts))
+        self.learn(chunks)
+        found = pa.array(map(self.__getitem__, chunks), pa.large_binary()).take(places)
+        if not len(found) or found.buffers()[2] is None:
+            return iter([b""] * len(texts))
+        starts = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+        data = memoryview(found.buffers()[2])
+        ends = starts[edges].tolist()
+        return (bytes(data[low:high]) for low, high in zip(ends, ends[1:]))
 
 
 _HELD: dict[str, ChunkIds] = {}
@@ -102,8 +160,8 @@ def _pieces(path: str | None, size: int, end_id: int):
         ids = chunk_ids(path or vocabulary_path(VOCABULARY))
         for batch in batches:
             rows, lengths, starts, sums, totals = [], [], [], [], []
-            for row, found in enumerate(ids.encode(batch.column(1).to_pylist())):
-                found += end
+            for row, text in enumerate(ids.encode(batch.column(1))):
+                found = text + end
                 total = len(found) // 4
                 for start in range(0, total, size):
                     part = found[4 * start : 4 * (start + size)]
