@@ -21,6 +21,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ MOST_FITTED = 20_000
 LEAST_DOCS = 3
 REMEMBERED = 250_000
 FLUSH = 150_000  # distinct entries a task counts before it passes them on
+MOST_BINS = 1 << 22  # grams of more possible letters are counted by sorting
 PREFIXES = (4, 5, 6)
 
 # What a sign may stand for, besides itself.
@@ -51,6 +53,7 @@ STRETCH = 512  # single letters that are read together; stretches overlap by two
 NEAR, SPELLED = 12.0, 24  # of single letters in a row, words of up to so many in readings so close to the best one count too
 EDGE = "^"
 RUN = re.compile(r"([^\W\d_])\1\1")
+CLOSING = frozenset(".,;:!?)]}\"'»”")
 TRIM = re.compile(r"^(?:([^\w\s])\1+|[(\[{\"'«“¿])+|(?:([^\w\s])\2+|[.,;:!?)\]}\"'»”])+$")
 DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{re.escape(''.join(LEET))}]|[^\W\d_](?:[{re.escape(SEPARATORS)}][^\W\d_])+$)")
 # Tokens of a few letters or signs; blanks between two or more in a row may be part of a disguise.
@@ -136,6 +139,11 @@ def restore(token: str, model: CharacterModel) -> str:
     return _spelled(_ended(states, model)[1])
 
 
+def trimmed(core: str) -> str:
+    """`core` without signs around it."""
+    return core[:-1] if core[-1:] in CLOSING and core[:-1].isalpha() else TRIM.sub("", core)
+
+
 def looks_disguised(core: str) -> bool:
     return bool(RUN.search(core) or DISGUISED.match(core))
 
@@ -146,7 +154,7 @@ def readings(token: str, model: CharacterModel | None) -> str:
     if core.isalpha() and not RUN.search(core):
         return core
     if not core[:1].isalnum() or not core[-1:].isalnum():
-        core = TRIM.sub("", core)
+        core = trimmed(core)
     if core.isalpha() and not RUN.search(core):
         return core
     if model is not None and looks_disguised(core):
@@ -274,11 +282,51 @@ class Joins(dict):
             self.clear()
         return found
 
+    def across(self, tokens: list[str], places: np.ndarray, texts: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(text, word) of the words written over several tokens, for coded texts; as `over` finds them in each."""
+        cores = ["" if len(token) > 4 and token.isalpha() else self[token] for token in tokens]
+        plain, left, right = (np.zeros(len(cores), kind) for kind in (bool, np.int64, np.int64))
+        ends: dict[str, int] = {}
+        short = np.fromiter(map(bool, cores), bool, len(cores))
+        for i in np.flatnonzero(short).tolist():
+            core = cores[i]
+            if len(core) > 1 and core.isalpha():
+                plain[i] = True
+                left[i], right[i] = ends.setdefault(core[-2:], len(ends)), ends.setdefault(core[:2], len(ends))
+        at = np.flatnonzero(short[places])
+        code = places[at]
+        joined = (at[1:] == at[:-1] + 1) & (texts[at[1:]] == texts[at[:-1]])
+        # Blanks that the likeliest reading keeps, whatever stands around them, split the run.
+        both = np.flatnonzero(joined & plain[code[:-1]] & plain[code[1:]])
+        pairs, place = np.unique(left[code[both]] << 32 | right[code[both + 1]], return_inverse=True)
+        names = list(ends)
+        gains = [self.gain(names[pair >> 32], names[pair & 0xFFFFFFFF]) for pair in pairs.tolist()]
+        joined[both[np.array(gains, float)[place] < 0]] = False
+        change = np.diff(np.concatenate([[0], joined, [0]]).astype(np.int8))
+        for low, high in zip(np.flatnonzero(change > 0).tolist(), np.flatnonzero(change < 0).tolist(), strict=True):
+            run = [cores[c] for c in code[low : high + 1].tolist()]
+            if any(map(str.isalpha, run)):
+                text = int(texts[at[low]])
+                for word in self.joined(run):
+                    yield text, word
+        if len(self) + len(self.runs) > REMEMBERED:
+            self.clear()
+
     def clear(self) -> None:
         super().clear()
         self.runs.clear()
 
 
+def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct tokens, the place of each token among them, its text) of texts split at white space."""
+    tokens, places, edges = common.coded(pc.utf8_split_whitespace(texts))
+    places, texts_of = places.to_numpy(), np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    if (empty := tokens.index("") if "" in tokens else -1) >= 0:  # white space at the edges of a text
+        full = places != empty
+        places, texts_of = places[full], texts_of[full]
+    return tokens, places, texts_of
+
+
 def units(word: str) -> list[str]:
     """What evidence is counted on: the word and its beginnings."""
     return [word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)] if len(word) >= 3 else []
@@ -286,21 +334,35 @@ def units(word: str) -> list[str]:
 
 def _gram_rows(seen: Counter[str]) -> pa.RecordBatch:
     """Character grams of plain words, as `grams` gives them, with the words' counts."""
-    cores = ((token if token.isalpha() else TRIM.sub("", token), n) for token, n in seen.items())
+    cores = ((token if token.isalpha() else trimmed(token), n) for token, n in seen.items())
     plain = [(core, n) for core, n in cores if core.isalpha() and not RUN.search(core)]
     lengths = np.array([len(core) + 3 for core, _ in plain], np.int64)
     text = "".join(f"{EDGE}{EDGE}{core}{EDGE}" for core, _ in plain)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
     weights = np.repeat(np.array([n for _, n in plain], np.int64), lengths)
     ends = np.flatnonzero(np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= 2)
+    used = np.zeros(0x110000, np.int64)
+    used[points] = 1
+    alphabet = np.flatnonzero(used)
+    used[alphabet] = np.arange(len(alphabet))
+    points, weights, letters = used[points], weights[ends], list(map(chr, alphabet.tolist()))
     names, counts = [], []
     for size in (1, 2, 3):
-        key = np.zeros(len(ends), np.int64)
+        key, bins = np.zeros(len(ends), np.int64), len(letters) ** size
         for k in range(size):
-            key = key << 21 | points[ends - size + 1 + k]
-        found, place = np.unique(key, return_inverse=True)
-        counts += np.bincount(place, weights[ends], len(found)).astype(np.int64).tolist()
-        names += ["".join(chr(x >> 21 * k & 0x1FFFFF) for k in reversed(range(size))) for x in found.tolist()]
+            key = key * len(letters) + points[ends - size + 1 + k]
+        if bins <= MOST_BINS:
+            sums = np.bincount(key, weights, bins)
+            found = np.flatnonzero(sums)
+            sums = sums[found]
+        else:
+            order = np.argsort(key)
+            key = key[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found, sums = key[starts], np.add.reduceat(weights[order], starts)
+        counts += sums.astype(np.int64).tolist()
+        parts = [[letters[i] for i in (found // len(letters) ** k % len(letters)).tolist()] for k in reversed(range(size))]
+        names += map("".join, zip(*parts, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["gram", "n"])
 
 
@@ -342,12 +404,49 @@ class Reader(dict):
         return [*map(self.__getitem__, tokens), *self.joins.over(tokens)]
 
 
-def _unit_rows(all_: Counter[str], bad: Counter[str]) -> pa.RecordBatch:
+    def coded(self, texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number of the word) of all words that `words` finds; new words get the next numbers in `number`."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        tokens, places, texts_of = coded(texts)
+        own = np.array([number.setdefault(self[token], len(number)) for token in tokens], np.int64)
+        joined = [(text, number.setdefault(word, len(number))) for text, word in self.joins.across(tokens, places, texts_of)]
+        more = np.array(joined, np.int64).reshape(-1, 2)
+        return np.concatenate([texts_of, more[:, 0]]), np.concatenate([own[places], more[:, 1]])
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _unit_rows(names: pa.Array, texts_of: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
+    """`units` of the distinct words of texts: in how many texts, and in how many toxic ones, each unit is.
+
+    `names` are distinct words; text texts_of[i] has word words[i].
+    """
+    texts_of, words = np.divmod(_distinct(texts_of * len(names) + words), max(1, len(names)))
+    lengths = pc.utf8_length(names).to_numpy(zero_copy_only=False)
+    found, which = [], []
+    for size in (0, *PREFIXES):
+        long = np.flatnonzero(lengths >= (size or 3))
+        part = names.take(pa.array(long))
+        found.append(pc.utf8_slice_codeunits(part, 0, size) if size else pc.binary_join_element_wise(part, "$", ""))
+        which.append(long)
+    coded_units = pa.concat_arrays(found).dictionary_encode()
+    codes, count = coded_units.indices.to_numpy(), len(coded_units.dictionary)
+    keys = []
+    for long, code in zip(which, np.split(codes, np.cumsum([len(x) for x in which])[:-1]), strict=True):
+        of_word = np.full(len(names), -1)
+        of_word[long] = code
+        unit = of_word[words]
+        keys.append((texts_of * count + unit)[unit >= 0])
+    texts_of, unit = np.divmod(_distinct(np.concatenate(keys)), max(1, count))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(list(all_), pa.string()),
-            pa.array(list(all_.values()), pa.int64()),
-            pa.array([bad[u] for u in all_], pa.int64()),
+            coded_units.dictionary,
+            pa.array(np.bincount(unit, minlength=count).astype(np.int64)),
+            pa.array(np.bincount(unit[toxic[texts_of]], minlength=count).astype(np.int64)),
         ],
         names=["unit", "n", "toxic"],
     )
@@ -356,20 +455,12 @@ def _unit_rows(all_: Counter[str], bad: Counter[str]) -> pa.RecordBatch:
 def _count_units(model: CharacterModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        bad: Counter[str] = Counter()
-        all_: Counter[str] = Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {u for word in set(reader.words(text)) for u in units(word)}
-                all_.update(found)
-                if label >= 0.5:
-                    bad.update(found)
-            if len(all_) > FLUSH:
-                yield _unit_rows(all_, bad)
-                all_.clear()
-                bad.clear()
-        yield _unit_rows(all_, bad)
-        common.release(all_, bad, reader, reader.joins, model.seen)
+            number: dict[str, int] = {}
+            texts_of, words = reader.coded(batch.column(0), number)
+            toxic = batch.column(1).to_numpy(zero_copy_only=False) >= 0.5
+            yield _unit_rows(pa.array(list(number), pa.string()), texts_of, words, toxic)
+        common.release(reader, reader.joins, model.seen)
 
     return run
 
@@ -401,18 +492,23 @@ class Scorer:
     def start(self) -> None:
         self.known = TokenEvidence(self.model, self.evidence)
 
-    def vector(self, text: str) -> tuple[float, float, float]:
-        """Strongest evidence, log of the count of words with strong evidence, their share."""
+    def vectors(self, texts: pa.Array) -> np.ndarray:
+        """Strongest evidence, log of the count of words with strong evidence, their share; a row per text."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        tokens = text.split()
-        values = [*map(self.known.__getitem__, tokens), *map(self.known.of, self.known.joins.over(tokens))]
-        most = max(values, default=0.0)
-        strong = sum(1 for v in values if v > 2.0) if most > 2.0 else 0
-        return most, math.log1p(strong), math.sqrt(strong / max(1, len(values)))
+        tokens, places, texts_of = coded(texts)
+        values = np.array([self.known[token] for token in tokens], float)[places]
+        joined = [(text, self.known.of(word)) for text, word in self.known.joins.across(tokens, places, texts_of)]
+        more = np.array(joined, float).reshape(-1, 2)
+        texts_of, values = np.concatenate([texts_of, more[:, 0].astype(np.int64)]), np.concatenate([values, more[:, 1]])
+        most, count = np.zeros(len(texts)), len(texts)
+        np.maximum.at(most, texts_of, values)
+        strong = np.bincount(texts_of[values > 2.0], minlength=count)
+        share = strong / np.maximum(1, np.bincount(texts_of, minlength=count))
+        return np.stack([most, np.log1p(strong), np.sqrt(share)], axis=1)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.vector(t) for t in texts]).reshape(len(texts), 3)
+        x = self.vectors(pa.array(texts, pa.string()))
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
@@ -420,7 +516,7 @@ def _vectors(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer.start()
         for batch in batches:
-            x = np.array([scorer.vector(t) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, 3)
+            x = scorer.vectors(batch.column(0))
             yield pa.RecordBatch.from_arrays([common.lists(x), batch.column(1)], names=["x", "toxic"])
         common.release(scorer.known.joins, scorer.known)
 
