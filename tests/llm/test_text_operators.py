@@ -180,6 +180,61 @@ def test_pieces_are_encoded_in_runs():
     assert ids.tokenizer.texts < 60
 
 
+def test_words_merged_in_step_are_those_merged_alone():
+    merges = bpe.Merges(bpe.vocabulary_path(bpe.VOCABULARY))
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(b" aehinrst.,\xc3\xa9\xff0", np.uint8)
+    words = [rng.choice(letters, n).tobytes() for n in rng.integers(1, bpe.LONG_WORD + 1, 2_000)] + [b"a" * n for n in range(1, 40)]
+    ids, sizes = merges.merge_all(words)
+    alone = [merges.merge(w) for w in words]
+    assert ids.tolist() == [i for x in alone for i in x] and sizes.tolist() == [len(x) for x in alone]
+    assert [len(x) for x in merges.merge_all([])] == [0, 0]
+
+
+def test_toxic_words_and_evidence_of_a_batch_are_those_of_its_texts():
+    import pyarrow as pa
+
+    counts = {}
+    for word in ["the"] * 30 + ["idiot"] * 8 + ["moron", "you", "are", "an", "in"] * 4:
+        for gram in toxicity.grams(word):
+            counts[gram] = counts.get(gram, 0) + 1
+    model = toxicity.CharacterModel(counts)
+    texts = ["you are an i d i o t.", "", "  \u2003 ", "the m o r o n, the th e an in a r e", "1d1ot! ..word.. (you) the the", "Stra\u00dfe \u0130d the"]
+    texts += ["an", "in a", "i d"]  # nothing runs from one text into the next
+    number = {}
+    texts_of, words = toxicity.Reader(model).coded(pa.array(texts), number)
+    names = list(number)
+    for i, text in enumerate(texts):
+        assert sorted(names[w] for w in words[texts_of == i]) == sorted(toxicity.Reader(model).words(text))
+    toxic = np.arange(len(texts)) % 2 == 0
+    rows = toxicity._unit_rows(pa.array(names, pa.string()), texts_of, words, toxic).to_pylist()
+    want = {}
+    for i, text in enumerate(texts):
+        for unit in {u for w in toxicity.Reader(model).words(text) for u in toxicity.units(w)}:
+            n, bad = want.get(unit, (0, 0))
+            want[unit] = n + 1, bad + toxic[i]
+    assert {r["unit"]: (r["n"], r["toxic"]) for r in rows} == want
+    scorer = toxicity.Scorer(model, {"idiot$": 5.0, "moro": 4.0, "you$": 1.0}, np.array([-3.0, 1, 1, 1]))
+    scorer.start()
+    known = scorer.known
+    for text, row in zip(texts, scorer.vectors(pa.array(texts)), strict=True):
+        values = [known.of(w) for w in toxicity.Reader(model).words(text)]
+        strong = sum(v > 2 for v in values)
+        assert row == pytest.approx([max(values, default=0.0), math.log1p(strong), math.sqrt(strong / max(1, len(values)))])
+
+
+@pytest.mark.parametrize("bins", [1 << 22, 1])
+def test_grams_of_words(monkeypatch, bins):
+    monkeypatch.setattr(toxicity, "MOST_BINS", bins)
+    seen = {"the": 3, "idiot,": 2, "\u017cle": 1, "a1": 5, "(you)": 1, "fooool": 2}
+    want = {}
+    for word, n in (("the", 3), ("idiot", 2), ("\u017cle", 1), ("you", 1)):
+        for gram in toxicity.grams(word):
+            want[gram] = want.get(gram, 0) + n
+    assert {r["gram"]: r["n"] for r in toxicity._gram_rows(seen).to_pylist()} == want
+    assert toxicity._gram_rows({}).num_rows == 0
+
+
 def test_first_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300)

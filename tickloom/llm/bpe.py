@@ -34,6 +34,9 @@ LEXICON_WORDS = 65_536
 LONGEST_WORD = 32
 FLUSH = 300_000
 REMEMBERED = 200_000
+LONG_WORD = 48  # bytes; longer words are merged with a heap
+SLOT_BITS = 20
+NO_PAIR = 1 << 30
 # The pattern by which the published vocabulary was made.
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -63,24 +66,95 @@ class Merges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
         self.ranks = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(pairs)}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        # The same pairs by id: keys in order, with rank and id of the joined token.
+        joined = [(self.ids[a] << 32 | self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items()]
+        rows = np.array(sorted(joined), np.int64).reshape(-1, 3)
+        self.pairs, self.pair_ranks, self.pair_ids = (np.ascontiguousarray(x) for x in rows.T)
+        self.byte_ids = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # Where a pair stands by a hash of its key; several keys of one slot are looked up by search.
+        slots = self._slots(self.pairs)
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.slot[slots] = np.arange(len(slots))
+        self.slot[np.flatnonzero(np.bincount(slots, minlength=1 << SLOT_BITS) > 1)] = -2
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs of ids in `pairs`, or -1."""
+        keys = left << 32 | right
+        found = self.slot[self._slots(keys)]
+        if (several := np.flatnonzero(found == -2)).size:
+            found[several] = np.minimum(np.searchsorted(self.pairs, keys[several]), len(self.pairs) - 1)
+        if len(self.pairs):
+            found[self.pairs[found] != keys] = -1
+        return found
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each has), as `merge` gives them.
+
+        In a round every word joins its pair of lowest rank, the leftmost one.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        ranks_of = np.append(self.pair_ranks, NO_PAIR)  # the last one is found by -1
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at these places."""
+            out = np.full(len(at), NO_PAIR)
+            inside = np.flatnonzero(at + 1 < len(ids))
+            inside = inside[owner[at[inside]] == owner[at[inside] + 1]]
+            out[inside] = ranks_of[self.places(ids[at[inside]], ids[at[inside] + 1])]
+            return out
+
+        rank = ranks(np.arange(len(ids)))
+        done_ids, done_owners = [], []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            sizes = np.diff(np.append(first, len(ids)))
+            least = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            ended = least == NO_PAIR
+            if ended.any():
+                done_ids.append(ids[ended])
+                done_owners.append(owner[ended])
+                ids, owner, rank, least = ids[~ended], owner[~ended], rank[~ended], least[~ended]
+                if not len(ids):
+                    break
+            best = np.flatnonzero(rank == least)
+            best = best[np.concatenate([[True], owner[best[1:]] != owner[best[:-1]]])]
+            ids[best] = self.pair_ids[self.places(ids[best], ids[best + 1])]
+            kept = np.ones(len(ids), bool)
+            kept[best + 1] = False
+            ids, owner, rank = ids[kept], owner[kept], rank[kept]
+            best -= np.arange(len(best))  # one place went in every word before
+            rank[best] = ranks(best)
+            before = best[best > 0] - 1
+            rank[before] = ranks(before)
+        if not done_ids:
+            return np.empty(0, np.int64), lengths
+        owners = np.concatenate(done_owners)
+        order = np.argsort(owners, kind="stable")
+        return np.concatenate(done_ids)[order], np.bincount(owners, minlength=len(words))
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of lowest rank, leftmost first, until none is left."""
-        if len(word) > 48:
+        if len(word) > LONG_WORD:
             return self._merge_long(word)
         parts, ranks = [word[i : i + 1] for i in range(len(word))], self.ranks
-        found = [ranks.get(pair, 1 << 30) for pair in zip(parts, parts[1:])]
+        found = [ranks.get(pair, NO_PAIR) for pair in zip(parts, parts[1:])]
         while found:
             rank = min(found)
-            if rank == 1 << 30:
+            if rank == NO_PAIR:
                 break
             i = found.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del found[i]
             if i:
-                found[i - 1] = ranks.get((parts[i - 1], parts[i]), 1 << 30)
+                found[i - 1] = ranks.get((parts[i - 1], parts[i]), NO_PAIR)
             if i < len(found):
-                found[i] = ranks.get((parts[i], parts[i + 1]), 1 << 30)
+                found[i] = ranks.get((parts[i], parts[i + 1]), NO_PAIR)
         return [self.ids[p] for p in parts]
 
     def _merge_long(self, word: bytes) -> list[int]:
@@ -207,8 +281,12 @@ class Lexicon:
             live, state, step = live[good], following[good].astype(np.int64), step + 1
         return out
 
-    def output(self, place: int) -> list[int]:
-        return self.ids[self.starts[place] : self.starts[place + 1]].tolist()
+    def outputs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id lists at these places one after another, how many each has)."""
+        starts = self.starts[places]
+        sizes = self.starts[places + 1] - starts
+        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[at], sizes
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +348,26 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        places = self.lexicon.places(raw).tolist() if self.lexicon else [-1] * len(raw)
-        for word, data, place in zip(words, raw, places, strict=True):
-            ids = self.lexicon.output(place) if place >= 0 else self.merges.merge(data)
-            self.joined[word] = b",".join([self.decimals[i] for i in ids])
-            self.bytes[word] = b"".join([self.merges.tokens[i] for i in ids])
+        places = self.lexicon.places(raw) if self.lexicon else np.full(len(raw), -1)
+        held = np.flatnonzero(places >= 0)
+        if len(held):
+            self.keep([words[i] for i in held.tolist()], *self.lexicon.outputs(places[held]))
+        others = np.flatnonzero(places < 0).tolist()
+        short = [i for i in others if len(raw[i]) <= LONG_WORD]
+        self.keep([words[i] for i in short], *self.merges.merge_all([raw[i] for i in short]))
+        for i in others:
+            if len(raw[i]) > LONG_WORD:
+                ids = self.merges.merge(raw[i])
+                self.keep([words[i]], np.array(ids, np.int64), np.array([len(ids)]))
+
+    def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        flat = ids.tolist()
+        decimals = list(map(self.decimals.__getitem__, flat))
+        tokens = list(map(self.merges.tokens.__getitem__, flat))
+        ends = np.cumsum(sizes).tolist()
+        for word, low, high in zip(words, [0, *ends], ends, strict=False):
+            self.joined[word] = b",".join(decimals[low:high])
+            self.bytes[word] = b"".join(tokens[low:high])
 
     def words(self, text: str) -> list[str]:
         split = self.merges.split
@@ -288,12 +381,16 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, their decimals joined by commas, decoded bytes) of every text."""
         split = [self.words(t) for t in texts]
+        met = set().union(*split)
         if len(self.joined) > REMEMBERED:
-            self.joined.clear()
-            self.bytes.clear()
+            # What these texts hold stays: the frequent words are in all of them.
+            for held in (self.joined, self.bytes):
+                kept = {word: held[word] for word in met.intersection(held)}
+                held.clear()
+                held.update(kept)
         for content, i in self.merges.special.items():
             self.joined[content], self.bytes[content] = self.decimals[i], self.merges.tokens[i]
-        self.learn(list(set().union(*split).difference(self.joined)))
+        self.learn(list(met.difference(self.joined)))
         for words in split:
             joined = b",".join(map(self.joined.__getitem__, words))
             yield (joined.count(b",") + 1 if joined else 0, joined, b"".join(map(self.bytes.__getitem__, words)))
