@@ -235,6 +235,18 @@ def test_grams_of_words(monkeypatch, bins):
     assert toxicity._gram_rows({}).num_rows == 0
 
 
+def test_a_window_updates_each_weight_once(monkeypatch):
+    vocabulary = recurrent.Vocabulary([b"", *(f"w{i}".encode() for i in range(300))], [b"abc"])
+    trainer = recurrent.Trainer(recurrent.Network.start(vocabulary), vocabulary)
+    names, apply = [], recurrent.Trainer.apply
+    monkeypatch.setattr(recurrent.Trainer, "apply", lambda self, name, *more: (names.append(name), apply(self, name, *more)))
+    before = trainer.network.to_word.copy()
+    trainer.fit([np.array([5, 70, 5, 130, 0])])  # classes 0 to 2 of 5
+    assert sorted(names) == sorted(trainer.network.names)
+    changed = np.flatnonzero((trainer.network.to_word != before).any(axis=1))
+    assert changed.min() == 0 and changed.max() == 191
+
+
 def test_first_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300)

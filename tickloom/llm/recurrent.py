@@ -255,10 +255,12 @@ class Trainer:
         self.squares = {n: np.full(getattr(network, n).shape, 1e-2, np.float32) for n in network.names}
 
     def apply(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        np.clip(gradient, -1, 1, out=gradient)
+        np.minimum(np.maximum(gradient, -1, out=gradient), 1, out=gradient)
         squares = self.squares[name][rows] + gradient * gradient
         self.squares[name][rows] = squares
-        getattr(self.network, name)[rows] -= self.rate * gradient / np.sqrt(squares)
+        gradient *= self.rate
+        gradient /= np.sqrt(squares)
+        getattr(self.network, name)[rows] -= gradient
 
     def fit(self, texts: list[np.ndarray], count: int = TRAIN_LANES) -> None:
         tokens, first, lengths = streams(texts, count)
@@ -319,24 +321,32 @@ class Trainer:
         """Updates the output weights; returns the gradient of the states."""
         net, scale = self.network, np.float32(32.0 / total)
         classes = self.vocabulary.class_of(targets)
-        scores = states @ net.to_class + net.class_bias
-        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+        scores = states @ net.to_class
+        scores += net.class_bias
+        scores -= scores.max(axis=1, keepdims=True)
+        np.exp(scores, out=scores)
         scores /= scores.sum(axis=1, keepdims=True)
         scores[np.arange(len(scores)), classes] -= 1
         scores *= scale
         back = scores @ net.to_class.T
-        updates = [("to_class", states.T @ scores, slice(None)), ("class_bias", scores.sum(axis=0), slice(None))]
+        self.apply("to_class", states.T @ scores)
+        self.apply("class_bias", scores.sum(axis=0))
+        # Words of classes that do not occur get a gradient of zero, which changes nothing.
+        to_word, word_bias = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
         for rows, words in net._by_class(self.vocabulary, targets, classes):
             weights, here = net.to_word[words], states[rows]
-            scores = here @ weights.T + net.word_bias[words]
-            scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+            scores = here @ weights.T
+            scores += net.word_bias[words]
+            scores -= scores.max(axis=1, keepdims=True)
+            np.exp(scores, out=scores)
             scores /= scores.sum(axis=1, keepdims=True)
             scores[np.arange(len(rows)), targets[rows] - words.start] -= 1
             scores *= scale
             back[rows] += scores @ weights
-            updates += [("to_word", scores.T @ here, words), ("word_bias", scores.sum(axis=0), words)]
-        for name, gradient, rows in updates:
-            self.apply(name, gradient, rows)
+            np.matmul(scores.T, here, out=to_word[words])
+            scores.sum(axis=0, out=word_bias[words])
+        self.apply("to_word", to_word)
+        self.apply("word_bias", word_bias)
         return back
 
 
