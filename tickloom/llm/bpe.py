@@ -281,6 +281,9 @@ class Lexicon:
             live, state, step = live[good], following[good].astype(np.int64), step + 1
         return out
 
+    def output(self, place: int) -> list[int]:
+        return self.outputs(np.array([place]))[0].tolist()
+
     def outputs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id lists at these places one after another, how many each has)."""
         starts = self.starts[places]
