@@ -223,6 +223,31 @@ def test_toxic_words_and_evidence_of_a_batch_are_those_of_its_texts():
         assert row == pytest.approx([max(values, default=0.0), math.log1p(strong), math.sqrt(strong / max(1, len(values)))])
 
 
+def test_plain_words_of_a_batch_are_read_at_once_and_not_remembered():
+    import pyarrow as pa
+
+    tokens = ["The", "", "fooool", "aaa", "bAAa", "\u0130d", "\u039f\u0394\u039f\u03a3", "1d1ot!", "i\u0301d", "\U00010400\U00010400\U00010400", "\u4e00\u4e00\u4e00"]
+    lowered, plain = toxicity.plain_words(tokens)
+    assert lowered == [t.lower() for t in tokens]
+    assert plain == [t.lower().isalpha() and not toxicity.RUN.search(t.lower()) for t in tokens]
+    assert toxicity.plain_words([]) == ([], [])
+    model = toxicity.CharacterModel({g: n for w, n in {"idiot": 60, "the": 300}.items() for g in toxicity.grams(w)})
+    scorer = toxicity.Scorer(model, {"idiot$": 5.0, "idi$": 3.0, "the$": 1.0}, np.array([-3.0, 1, 1, 1]))
+    scorer.start()
+    assert [row[0] for row in scorer.vectors(pa.array(["the Idiot", "idi the", "1d1ot", "id"])).tolist()] == [5.0, 3.0, 5.0, 0.0]
+    assert list(scorer.known) == ["1d1ot"]
+    assert scorer.vectors(pa.array([], pa.string())).shape == (0, 3)
+    assert scorer.vectors(pa.array(["", " "])).tolist() == [[0.0, 0.0, 0.0]] * 2
+    texts = ["The the (you)", "fooool \u039f\u0394\u039f\u03a3 x\u2003\u0130d", "", "the"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    (rows,) = toxicity._count_grams([batch])
+    want = {}
+    for word in ["the", "the", "you", "\u03bf\u03b4\u03bf\u03c2", "x", "the"]:
+        for gram in toxicity.grams(word):
+            want[gram] = want.get(gram, 0) + 1
+    assert {r["gram"]: r["n"] for r in rows.to_pylist()} == want
+
+
 @pytest.mark.parametrize("bins", [1 << 22, 1])
 def test_grams_of_words(monkeypatch, bins):
     monkeypatch.setattr(toxicity, "MOST_BINS", bins)

@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import compress, groupby
 
 import numpy as np
 import pandas as pd
@@ -164,6 +164,19 @@ def readings(token: str, model: CharacterModel | None) -> str:
     return "".join(filter(str.isalpha, core))
 
 
+def plain_words(tokens: list[str]) -> tuple[list[str], list[bool]]:
+    """(lower-cased tokens, whether each is a plain word: letters, no three equal ones in a row), for tokens without line feeds."""
+    if not tokens:
+        return [], []
+    text = "\n".join(tokens).lower()
+    lowered = text.split("\n")
+    plain = np.fromiter(map(str.isalpha, lowered), bool, len(lowered))
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    runs = np.flatnonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]))
+    plain[np.searchsorted(np.flatnonzero(points == ord("\n")), runs)] = False
+    return lowered, plain.tolist()
+
+
 def _blank(left: str, right: str) -> float:
     return 0.0 if len(left) == len(right) == 1 else DROPPED
 
@@ -282,9 +295,17 @@ class Joins(dict):
             self.clear()
         return found
 
-    def across(self, tokens: list[str], places: np.ndarray, texts: np.ndarray) -> Iterator[tuple[int, str]]:
-        """(text, word) of the words written over several tokens, for coded texts; as `over` finds them in each."""
-        cores = ["" if len(token) > 4 and token.isalpha() else self[token] for token in tokens]
+    def across(
+        self, tokens: list[str], lowered: list[str], letters: list[bool], places: np.ndarray, texts: np.ndarray
+    ) -> Iterator[tuple[int, str]]:
+        """(text, word) of the words written over several tokens, for coded texts; as `over` finds them in each.
+
+        `lowered` and `letters` are the `plain_words` of `tokens`.
+        """
+        cores = [
+            (word if len(token) < 5 else "") if plain else self[token]
+            for token, word, plain in zip(tokens, lowered, letters, strict=True)
+        ]
         plain, left, right = (np.zeros(len(cores), kind) for kind in (bool, np.int64, np.int64))
         ends: dict[str, int] = {}
         short = np.fromiter(map(bool, cores), bool, len(cores))
@@ -332,20 +353,24 @@ def units(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)] if len(word) >= 3 else []
 
 
-def _gram_rows(seen: Counter[str]) -> pa.RecordBatch:
+def _gram_rows(seen: dict[str, int]) -> pa.RecordBatch:
     """Character grams of plain words, as `grams` gives them, with the words' counts."""
-    cores = ((token if token.isalpha() else trimmed(token), n) for token, n in seen.items())
-    plain = [(core, n) for core, n in cores if core.isalpha() and not RUN.search(core)]
-    lengths = np.array([len(core) + 3 for core, _ in plain], np.int64)
-    text = "".join(f"{EDGE}{EDGE}{core}{EDGE}" for core, _ in plain)
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    weights = np.repeat(np.array([n for _, n in plain], np.int64), lengths)
-    ends = np.flatnonzero(np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= 2)
-    used = np.zeros(0x110000, np.int64)
+    cores = [token if token.isalpha() else trimmed(token) for token in seen]
+    _, plain = plain_words(cores)
+    words = list(compress(cores, plain))
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    text = f"{EDGE}{EDGE}" + f"{EDGE}{EDGE}{EDGE}".join(words) + EDGE if words else ""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    weights = np.repeat(np.fromiter(compress(seen.values(), plain), np.float64, len(words)), lengths - 2)
+    starts = np.cumsum(lengths) - lengths
+    inside = np.ones(len(points), bool)
+    inside[starts] = inside[starts + 1] = False
+    ends = np.flatnonzero(inside)
+    used = np.zeros(0x110000, np.int32)
     used[points] = 1
     alphabet = np.flatnonzero(used)
     used[alphabet] = np.arange(len(alphabet))
-    points, weights, letters = used[points], weights[ends], list(map(chr, alphabet.tolist()))
+    points, letters = used[points], list(map(chr, alphabet.tolist()))
     names, counts = [], []
     for size in (1, 2, 3):
         key, bins = np.zeros(len(ends), np.int64), len(letters) ** size
@@ -367,10 +392,12 @@ def _gram_rows(seen: Counter[str]) -> pa.RecordBatch:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
+    seen: dict[str, int] = {}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(text.lower().split())
+        tokens, places, _ = coded(batch.column(0))
+        lowered = "\n".join(tokens).lower().split("\n") if tokens else []
+        for word, n in zip(lowered, np.bincount(places, minlength=len(lowered)).tolist(), strict=True):
+            seen[word] = seen.get(word, 0) + n
         if len(seen) > FLUSH:
             yield _gram_rows(seen)
             seen.clear()
@@ -403,14 +430,16 @@ class Reader(dict):
         tokens = text.split()
         return [*map(self.__getitem__, tokens), *self.joins.over(tokens)]
 
-
     def coded(self, texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """(text, number of the word) of all words that `words` finds; new words get the next numbers in `number`."""
         if len(self) > REMEMBERED:
             self.clear()
         tokens, places, texts_of = coded(texts)
-        own = np.array([number.setdefault(self[token], len(number)) for token in tokens], np.int64)
-        joined = [(text, number.setdefault(word, len(number))) for text, word in self.joins.across(tokens, places, texts_of)]
+        lowered, plain = plain_words(tokens)
+        found = [word if letters else self[token] for token, word, letters in zip(tokens, lowered, plain, strict=True)]
+        own = np.array([number.setdefault(word, len(number)) for word in found], np.int64)
+        across = self.joins.across(tokens, lowered, plain, places, texts_of)
+        joined = [(text, number.setdefault(word, len(number))) for text, word in across]
         more = np.array(joined, np.int64).reshape(-1, 2)
         return np.concatenate([texts_of, more[:, 0]]), np.concatenate([own[places], more[:, 1]])
 
@@ -470,13 +499,15 @@ class TokenEvidence(dict):
 
     def __init__(self, model: CharacterModel, evidence: dict[str, float]) -> None:
         self.model, self.evidence = model, evidence
-        self.starts = {unit[:3] for unit in evidence}  # no unit is shorter
+        # The first four letters of a word, or its three, are the beginning of all its units.
+        self.starts = {unit.removesuffix("$")[:4] for unit in evidence}
         self.joins = Joins(model)
 
     def of(self, word: str) -> float:
-        if word[:3] not in self.starts:
+        if word[:4] not in self.starts:
             return 0.0
-        return max([self.evidence.get(u, 0.0) for u in units(word)], default=0.0)
+        found = self.evidence.get
+        return max([found(word + "$", 0.0), *[found(word[:k], 0.0) for k in PREFIXES]])
 
     def __missing__(self, token: str) -> float:
         value = self[token] = self.of(readings(token, self.model))
@@ -497,8 +528,16 @@ class Scorer:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         tokens, places, texts_of = coded(texts)
-        values = np.array([self.known[token] for token in tokens], float)[places]
-        joined = [(text, self.known.of(word)) for text, word in self.known.joins.across(tokens, places, texts_of)]
+        lowered, plain = plain_words(tokens)
+        known, of, starts = self.known, self.known.of, self.known.starts
+        # Plain words need not be remembered.
+        values = [
+            (of(word) if word[:4] in starts else 0.0) if letters else known[token]
+            for token, word, letters in zip(tokens, lowered, plain, strict=True)
+        ]
+        values = np.array(values, float)[places]
+        across = known.joins.across(tokens, lowered, plain, places, texts_of)
+        joined = [(text, of(word)) for text, word in across]
         more = np.array(joined, float).reshape(-1, 2)
         texts_of, values = np.concatenate([texts_of, more[:, 0].astype(np.int64)]), np.concatenate([values, more[:, 1]])
         most, count = np.zeros(len(texts)), len(texts)
