@@ -180,6 +180,18 @@ def test_pieces_are_encoded_in_runs():
     assert ids.tokenizer.texts < 60
 
 
+def test_latin_words_are_given_to_the_model_alone():
+    import pyarrow as pa
+
+    ids = packing.ChunkIds(packing.vocabulary_path(packing.VOCABULARY))
+    ids.tokenizer = CountingTokenizer(ids.tokenizer)
+    words = [f"{a}{b}{c}re" for a in "\u00e9\u00dfn\u00fc" for b in "\u00f1\u00ffe\u00c9" for c in "o\u00e7\u00b5"]
+    found = list(ids.encode(pa.array([" ".join(words)], pa.string())))
+    assert found == [tokens(" ".join(words))[:-1].tobytes()] and ids.tokenizer.texts == 0
+    chunks = [x + y for x in ["a", "", "\u00c9t\u00e9", "\u0130", "\u0101b", "<|", "x\u00bd", "\u00d7", "1\u00b2"] for y in ["", ".", "!?", "\u2026", ")."]]
+    assert list(zip(*ids.all_halves(chunks), strict=True)) == [ids.halves(x) for x in chunks]
+
+
 def test_words_merged_in_step_are_those_merged_alone():
     merges = bpe.Merges(bpe.vocabulary_path(bpe.VOCABULARY))
     rng = np.random.default_rng(6)

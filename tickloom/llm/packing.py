@@ -29,6 +29,7 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 4096
 RUN_CHUNKS = 64  # pieces that are encoded as one text
+LATIN_END = r"^[\x00-\xff]*[0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]$"  # a letter or a number after nothing but Latin-1
 PIECES = "length long, start long, ids_crc32 long, doc_tokens long"
 
 
@@ -59,17 +60,25 @@ class ChunkIds(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.most = most
-        letters = "".join(map(chr, range(97, 123)))
         added = (x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        # Whether words of a to z reach the model as they are, so that it can be asked for them alone.
+        # Letters by what of them reaches the model, so that it can be asked for their words alone.
+        letters = "".join(x for x in map(chr, range(97, 256)) if x.isalpha() and x.islower() and self.seen(x) is not None)
+        self.letters = {x: self.seen(x) for x in letters}
+        self.table = str.maketrans(self.letters)
         self.plain = (
             self.tokenizer.post_processor is None
             and not any(map(str.isalpha, added))
-            and (normal is None or normal.normalize_str(letters) == letters)
-            and (cut is None or cut.pre_tokenize_str(letters) == [(letters, (0, 26))])
+            and self.seen(letters) == letters.translate(self.table)
         )
 
+    def seen(self, word: str) -> str | None:
+        """What the model gets of a word that is neither changed nor cut before."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is not None and normal.normalize_str(word) != word:
+            return None
+        parts = [(word, (0, len(word)))] if cut is None else cut.pre_tokenize_str(word)
+        return parts[0][0] if len(parts) == 1 and parts[0][1] == (0, len(word)) else None
+
     def separator(self) -> tuple[str, int] | None:
         """(text, id) of a special token in signs that the tokenizer cuts out of the raw text wherever it stands."""
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
@@ -87,10 +96,12 @@ class ChunkIds(dict):
     def add(self, chunks: list[str]) -> None:
         """Plain words are given to the model. Other chunks are encoded as longer texts, set apart by a special token; those that hold it alone."""
         if self.plain:
-            others, model = [], self.tokenizer.model
+            others, model, own = [], self.tokenizer.model, frozenset(self.letters)
+            ascii_as_is = all(self.letters[x] == x for x in own if x.isascii())
             for chunk in chunks:
-                if chunk.isascii() and chunk.isalpha() and chunk.islower():
-                    self[chunk] = array("I", [token.id for token in model.tokenize(chunk)]).tobytes()
+                if chunk and own.issuperset(chunk):
+                    seen = chunk if ascii_as_is and chunk.isascii() else chunk.translate(self.table)
+                    self[chunk] = array("I", [token.id for token in model.tokenize(seen)]).tobytes()
                 else:
                     others.append(chunk)
             chunks = others
@@ -111,30 +122,38 @@ class ChunkIds(dict):
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[chunk] = array("I", found.ids).tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of every piece."""
         if len(self) > self.most:
             # What is asked for stays: the frequent pieces are in every batch.
             kept = {chunk: self[chunk] for chunk in chunks if chunk in self}
             self.clear()
             self.update(kept)
-        wanted, split = set(), []
-        for chunk in chunks:
-            if chunk not in self:
-                core, tail = self.halves(chunk)
-                wanted.add(core)
-                if tail:
-                    wanted.add(tail)
-                if core != chunk:
-                    split += (chunk, core, tail)
-        self.add([x for x in wanted if x not in self])
-        for chunk, core, tail in zip(split[::3], split[1::3], split[2::3], strict=True):
-            self[chunk] = self[core] + self[tail] if tail else self[core]
+        found = list(map(self.get, chunks))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        new = [chunks[i] for i in places]
+        cores, tails = self.all_halves(new)
+        self.add([x for x in {*cores, *filter(None, tails)} if x not in self])
+        for i, chunk, core, tail in zip(places, new, cores, tails, strict=True):
+            found[i] = self[chunk] = self[core] + self[tail] if tail else self[core]
+        return found
+
+    def all_halves(self, chunks: list[str]) -> tuple[list[str], list[str]]:
+        """`halves` of many pieces; Arrow splits those of Latin letters."""
+        split = pa.array(chunks, pa.string())
+        cores = pc.ascii_rtrim(split, characters=self.signs)
+        plain = pc.match_substring_regex(cores, LATIN_END)
+        plain = pc.and_not(plain, pc.match_substring(cores, "<|"))
+        found = common.strings(pc.if_else(plain, pc.utf8_lower(cores), split))
+        tails = [chunk[len(core) :] for chunk, core in zip(chunks, found, strict=True)]
+        for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            found[i], tails[i] = self.halves(chunks[i])
+        return found, tails
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of every text, without the end."""
         chunks, places, edges = common.coded(pc.ascii_split_whitespace(texts))
-        self.learn(chunks)
-        found = pa.array(map(self.__getitem__, chunks), pa.large_binary()).take(places)
+        found = pa.array(self.learn(chunks), pa.large_binary()).take(places)
         if not len(found) or found.buffers()[2] is None:
             return iter([b""] * len(texts))
         starts = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
