@@ -284,6 +284,31 @@ def test_a_window_updates_each_weight_once(monkeypatch):
     assert changed.min() == 0 and changed.max() == 191
 
 
+def test_rows_of_a_window_are_summed_by_id():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.full(40, 7), np.full(9, 2), np.full(8, 30), rng.integers(0, 50, 60), [49]])
+    values = rng.standard_normal((len(ids), 6)).astype(np.float32)
+    want = np.zeros((50, 6))
+    np.add.at(want, ids, values)
+    order = rng.permutation(len(ids))
+    sums, rows = recurrent.row_sums(values[order], ids[order], 50)
+    assert rows.tolist() == np.unique(ids).tolist() and np.allclose(sums, want[rows], atol=1e-4)
+    sums, rows = recurrent.row_sums(values[:1], ids[:1], 50)
+    assert rows.tolist() == [7] and np.array_equal(sums, values[:1])
+
+
+def test_softmax_of_scores_of_any_size():
+    rng = np.random.default_rng(4)
+    wanted = rng.integers(0, 5, 8)
+    for size in (1, 30, 1_000):
+        scores = (rng.standard_normal((8, 5)) * size).astype(np.float32)
+        shares = np.exp(scores.astype(float) - scores.max(axis=1, keepdims=True))
+        shares /= shares.sum(axis=1, keepdims=True)
+        shares[np.arange(8), wanted] -= 1
+        errors, factor = recurrent.softmax_errors(scores.copy, wanted, np.float32(0.25))
+        assert np.allclose(errors * factor, shares / 4, atol=1e-6)
+
+
 def test_first_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300)

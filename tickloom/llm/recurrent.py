@@ -15,7 +15,7 @@ of fixed size; all other words of a text are joined to the counts by a shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -37,6 +37,10 @@ WINDOW = 16
 LANES, TRAIN_LANES = 256, 64
 SAMPLE_DOCS = 2_000
 FLUSH = 300_000
+CHUNK = 1_024  # columns of a softmax at a time
+BLOCK = 8_192  # weights that are updated at a time, few enough to stay in the processor's cache
+OFTEN = 8  # times an id occurs in a window
+LEAST_SUM = 1e-20  # of exponentials that are summed as they are
 BATCH_TOKENS = 600_000
 RATE = 0.08
 SMOOTH = 0.5
@@ -87,10 +91,6 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """GRU weights by name, all float32.
 
@@ -138,40 +138,124 @@ class Network:
             at += value.size
         return Network(weights)
 
-    def step(self, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(next state, reset and update gates, candidate, gated state) for a batch of lanes."""
-        size = state.shape[1]
-        both = sigmoid(inputs[:, : 2 * size] + state @ self.state[:, : 2 * size])
-        gated = both[:, :size] * state
-        candidate = np.tanh(inputs[:, 2 * size :] + gated @ self.state[:, 2 * size :])
-        update = both[:, size:]
-        return state + update * (candidate - state), both, candidate, gated
+    def run(self, inputs: np.ndarray, first: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(states, gates, gated states) of a window; `inputs` are steps by lanes, all others have the lanes last.
+
+        `gates` holds reset, update and candidate one below the other. Where `first`
+        is true a lane starts from zero.
+        """
+        (steps, width), size = inputs.shape, len(state)
+        added = self.gates[inputs]
+        added += self.bias
+        added = added.transpose(0, 2, 1).copy()
+        # 1 / (1 + exp(-x)) is half of tanh(x / 2) and a half.
+        half = np.float32(0.5)
+        added[:, : 2 * size] *= half
+        to_both, to_candidate = half * self.state[:, : 2 * size].T, self.state[:, 2 * size :].T.copy()
+        gates = np.empty((steps, 3 * size, width), np.float32)
+        states, gated = np.empty((2, steps, size, width), np.float32)
+        begins = first.any(axis=1).tolist()
+        for t in range(steps):
+            if begins[t]:
+                state = np.where(first[t], np.float32(0), state)
+            both, update, candidate, after = gates[t, : 2 * size], gates[t, size : 2 * size], gates[t, 2 * size :], states[t]
+            np.matmul(to_both, state, out=both)
+            both += added[t, : 2 * size]
+            np.tanh(both, out=both)
+            both *= half
+            both += half
+            np.multiply(gates[t, :size], state, out=gated[t])
+            np.matmul(to_candidate, gated[t], out=candidate)
+            candidate += added[t, 2 * size :]
+            np.tanh(candidate, out=candidate)
+            np.subtract(candidate, state, out=after)
+            after *= update
+            after += state
+            state = after
+        return states, gates, gated
 
     def log_probabilities(self, vocabulary: Vocabulary, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for predicted words, of P(word | class)."""
+        return self.row_logs(vocabulary, with_ones(states.T[None]), targets)
+
+    def row_logs(self, vocabulary: Vocabulary, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """`log_probabilities` of states that end with a column of ones."""
         out = np.empty(len(targets))
         classes = vocabulary.class_of(targets)
-        for low in range(0, len(targets), 2_048):
-            part = slice(low, low + 2_048)
-            scores = states[part] @ self.to_class + self.class_bias
-            top = scores.max(axis=1, keepdims=True)
-            norm = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
-            out[part] = scores[np.arange(len(scores)), classes[part]] - norm
-        for rows, words in self._by_class(vocabulary, targets, classes):
-            scores = states[rows] @ self.to_word[words].T + self.word_bias[words]
-            top = scores.max(axis=1, keepdims=True)
-            norm = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
-            out[rows] += scores[np.arange(len(rows)), targets[rows] - words.start] - norm
+        to_class = np.vstack([self.to_class, self.class_bias])
+        for low in range(0, len(targets), CHUNK):
+            part = slice(low, low + CHUNK)
+            out[part] = log_shares(states[part], to_class, classes[part])
+        order, edges = self._by_class(vocabulary, targets, classes)
+        ordered, inside, to_word = states[order], targets[order] % CLASS_WORDS, self.words_by_class()
+        found = np.empty(len(order))
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            for low in range(edges[c], edges[c + 1], CHUNK):
+                part = slice(low, min(low + CHUNK, edges[c + 1]))
+                found[part] = log_shares(ordered[part], to_word[c], inside[part])
+        out[order] += found
+        return out
+
+    def words_by_class(self) -> np.ndarray:
+        """Output weights of words, with their bias in the last row: classes, hidden units and one, words."""
+        hidden = len(self.state)
+        out = np.empty((len(self.to_word) // CLASS_WORDS, hidden + 1, CLASS_WORDS), np.float32)
+        out[:, :hidden] = self.to_word.reshape(-1, CLASS_WORDS, hidden).transpose(0, 2, 1)
+        out[:, hidden] = self.word_bias.reshape(-1, CLASS_WORDS)
         return out
 
     @staticmethod
-    def _by_class(vocabulary: Vocabulary, targets: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+    def _by_class(vocabulary: Vocabulary, targets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """(places of the predicted words, class by class, where each class begins and the last one ends)."""
         predicted = np.flatnonzero(targets < vocabulary.size)
-        order = predicted[np.argsort(classes[predicted], kind="stable")]
-        starts = np.searchsorted(classes[order], np.arange(vocabulary.word_classes + 1))
-        for c in range(vocabulary.word_classes):
-            if starts[c + 1] > starts[c]:
-                yield order[starts[c] : starts[c + 1]], slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+        own = classes[predicted]
+        edges = np.cumsum(np.bincount(own, minlength=vocabulary.word_classes))
+        return predicted[sorted_places(own, vocabulary.word_classes)], [0, *edges.tolist()]
+
+
+def sorted_places(ids: np.ndarray, count: int) -> np.ndarray:
+    """Places of ids below `count` in their order; numpy sorts short integers by their digits."""
+    return np.argsort(ids.astype(np.int16) if count <= 1 << 15 else ids, kind="stable")
+
+
+def exponentials(scores: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials, their sum in each row, what was taken off the scores first).
+
+    Nothing is taken off unless a sum becomes very large or small.
+    """
+    found = scores()
+    every = np.ones(found.shape[1], np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(found, out=found)
+        sums = found @ every
+    if LEAST_SUM < sums.min(initial=1) and sums.max(initial=1) < 1 / LEAST_SUM:
+        return found, sums, 0.0
+    found = scores()
+    top = found.max(axis=1)
+    found -= top[:, None]
+    np.exp(found, out=found)
+    return found, found @ every, top
+
+
+def log_shares(states: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at the place `wanted`; `states` end with a column of ones."""
+    _, sums, top = exponentials(lambda: states @ weights)
+    return np.einsum("ij,ij->i", states, weights.T[wanted]) - (np.log(sums) + top)
+
+
+def softmax_errors(scores: Callable[[], np.ndarray], wanted: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays whose product is `scale` times the softmax of each row of scores less one at the place `wanted`."""
+    found, sums, _ = exponentials(scores)
+    found[np.arange(len(wanted)), wanted] -= sums
+    return found, (scale / sums)[:, None]
+
+
+def with_ones(states: np.ndarray) -> np.ndarray:
+    """States (steps, hidden, lanes) as rows, with a column of ones by which a product adds the bias."""
+    steps, hidden, width = states.shape
+    rows = np.ones((steps, width, hidden + 1), np.float32)
+    rows[:, :, :hidden] = states.transpose(0, 2, 1)
+    return rows.reshape(-1, hidden + 1)
 
 
 def lanes(texts: list[np.ndarray], count: int) -> list[list[int]]:
@@ -199,6 +283,21 @@ def streams(texts: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray
     return tokens, first, lengths
 
 
+def previous_tokens(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each one; an end before a text."""
+    before = np.vstack([np.zeros((1, tokens.shape[1]), np.int64), tokens[:-1]])
+    before[first] = 0
+    return before
+
+
+def windows(lengths: np.ndarray, steps: int, size: int) -> Iterator[tuple[int, tuple[slice, slice], np.ndarray]]:
+    """(first step, rows and lanes, which places hold a token) of each window; a lane that is used up leaves."""
+    for low in range(0, steps, size):
+        width = int(np.searchsorted(-lengths, -low, side="left"))
+        high = min(low + size, steps)
+        yield low, (slice(low, high), slice(width)), np.arange(low, high)[:, None] < lengths[:width]
+
+
 def text_logs(network: Network, vocabulary: Vocabulary, texts: list[np.ndarray], count: int = LANES) -> np.ndarray:
     """log10 probability of every text's network tokens; each text ends with id 0.
 
@@ -209,35 +308,32 @@ def text_logs(network: Network, vocabulary: Vocabulary, texts: list[np.ndarray],
         return np.empty(0)
     dealt = lanes(texts, count)
     tokens, first, lengths = streams(texts, count)
+    before = previous_tokens(tokens, first)
     logs = np.zeros(tokens.shape, np.float64)
-    hidden = network.state.shape[0]
-    state = np.zeros((len(lengths), hidden), np.float32)
-    previous = np.zeros(len(lengths), np.int64)
-    inputs_of = network.gates + network.bias
+    state = np.zeros((network.state.shape[0], len(lengths)), np.float32)
     held, targets, places = [], [], []
 
     def flush() -> None:
         if held:
-            value = network.log_probabilities(vocabulary, np.concatenate(held), np.concatenate(targets))
+            value = network.row_logs(vocabulary, np.concatenate(held), np.concatenate(targets))
             at = 0
-            for row, width in places:
-                logs[row, :width] = value[at : at + width]
-                at += width
+            for low, live in places:
+                size, into = np.count_nonzero(live), logs[low : low + len(live), : live.shape[1]]
+                if size == live.size:
+                    into[:] = value[at : at + size].reshape(live.shape)
+                else:
+                    into[live] = value[at : at + size]
+                at += size
             held.clear(), targets.clear(), places.clear()
 
-    for row in range(len(tokens)):
-        width = int(np.searchsorted(-lengths, -row, side="left"))
-        state, previous = state[:width], previous[:width]
-        new = first[row, :width]
-        if new.any():
-            state = np.where(new[:, None], np.float32(0), state)
-            previous = np.where(new, 0, previous)
-        state = network.step(inputs_of[previous], state)[0]
-        previous = tokens[row, :width]
-        held.append(state)
-        targets.append(previous)
-        places.append((row, width))
-        if len(held) * width > 65_536:
+    for low, part, live in windows(lengths, len(tokens), WINDOW):
+        states, *_ = network.run(before[part], first[part], state[:, : live.shape[1]])
+        state = states[-1]
+        rows, wanted, on = with_ones(states), tokens[part].reshape(-1), live.reshape(-1)
+        held.append(rows if on.all() else rows[on])
+        targets.append(wanted if on.all() else wanted[on])
+        places.append((low, live))
+        if sum(map(len, targets)) > 65_536:
             flush()
     flush()
     out = np.empty(len(texts))
@@ -255,101 +351,145 @@ class Trainer:
         self.squares = {n: np.full(getattr(network, n).shape, 1e-2, np.float32) for n in network.names}
 
     def apply(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        np.minimum(np.maximum(gradient, -1, out=gradient), 1, out=gradient)
-        squares = self.squares[name][rows] + gradient * gradient
-        self.squares[name][rows] = squares
-        gradient *= self.rate
-        gradient /= np.sqrt(squares)
-        getattr(self.network, name)[rows] -= gradient
+        weights, squares = getattr(self.network, name), self.squares[name]
+        if not isinstance(rows, slice):
+            held = squares[rows]
+            self._change(gradient, held)
+            squares[rows] = held
+            weights[rows] -= gradient
+            return
+        size = max(1, BLOCK * len(gradient) // max(1, gradient.size))
+        for low in range(0, len(gradient), size):
+            part = slice(low, low + size)
+            self._change(gradient[part], squares[part])
+            weights[part] -= gradient[part]
+
+    def _change(self, gradient: np.ndarray, squares: np.ndarray) -> None:
+        """Adds to the squares and turns a gradient into the change of the weights."""
+        root = gradient * gradient
+        if not root.max(initial=0) <= 1:
+            np.minimum(np.maximum(gradient, -1, out=gradient), 1, out=gradient)
+            np.multiply(gradient, gradient, out=root)
+        squares += root
+        np.sqrt(squares, out=root)
+        gradient *= np.float32(self.rate)
+        gradient /= root
 
     def fit(self, texts: list[np.ndarray], count: int = TRAIN_LANES) -> None:
         tokens, first, lengths = streams(texts, count)
-        hidden = self.network.state.shape[0]
-        state = np.zeros((len(lengths), hidden), np.float32)
-        before = np.vstack([np.zeros((1, tokens.shape[1]), np.int64), tokens[:-1]])
-        before[first] = 0
-        for low in range(0, len(tokens), self.window):
-            width = int(np.searchsorted(-lengths, -low, side="left"))
-            high = min(low + self.window, len(tokens))
-            live = np.arange(low, high)[:, None] < lengths[:width]
-            state = self._window(
-                before[low:high, :width], tokens[low:high, :width], first[low:high, :width], live, state[:width]
-            )
+        before = previous_tokens(tokens, first)
+        state = np.zeros((self.network.state.shape[0], len(lengths)), np.float32)
+        for _, part, live in windows(lengths, len(tokens), self.window):
+            state = self._window(before[part], tokens[part], first[part], live, state[:, : live.shape[1]])
 
     def _window(
         self, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, live: np.ndarray, state: np.ndarray
     ) -> np.ndarray:
-        net, steps, hidden = self.network, len(inputs), state.shape[1]
-        saved = []
-        states = np.empty((*inputs.shape, hidden), np.float32)
-        for t in range(steps):
-            state = np.where(first[t][:, None], np.float32(0), state)
-            after, both, candidate, gated = net.step(net.gates[inputs[t]] + net.bias, state)
-            saved.append((state, both, candidate, gated))
-            states[t] = state = after
-        on = live.reshape(-1)
-        total = max(1, int(on.sum()))
-        flat, wanted = states.reshape(-1, hidden)[on], targets.reshape(-1)[on]
-        back = np.zeros((on.size, hidden), np.float32)
-        back[on] = self._output(flat, wanted, total)
-        back = back.reshape(states.shape)
-
-        to_inputs = np.empty((*inputs.shape, 3 * hidden), np.float32)
-        state_gradient = np.zeros_like(net.state)
-        carried = np.zeros_like(state)
+        net, (steps, width), hidden = self.network, inputs.shape, len(state)
+        states, gates, gated = net.run(inputs, first, state)
+        previous = np.concatenate([state[None], states[:-1]])
+        np.copyto(previous, 0, where=first[:, None])
+        flat = with_ones(states)
+        on, wanted = live.reshape(-1), targets.reshape(-1)
+        if on.all():
+            back = self._output(flat, wanted, on.size)
+        else:
+            back = np.zeros((on.size, hidden), np.float32)
+            back[on] = self._output(flat[on], wanted[on], max(1, int(on.sum())))
+        back = back.reshape(steps, width, hidden).transpose(0, 2, 1).copy()
+
+        # The parts of the gradients that do not depend on later steps, for the whole window.
+        reset, update, candidate = (gates[:, i * hidden : (i + 1) * hidden] for i in range(3))
+        kept = 1 - update
+        by_candidate = (1 - candidate * candidate) * update
+        by_reset = (1 - reset) * reset * previous
+        by_update = (candidate - previous) * update * kept
+        from_both, from_candidate = net.state[:, : 2 * hidden].copy(), net.state[:, 2 * hidden :].copy()
+        to_gates = np.empty_like(gates)
+        carried = np.zeros_like(states[0])
+        begins = first.any(axis=1).tolist()
         for t in reversed(range(steps)):
-            previous, both, candidate, gated = saved[t]
-            reset, update = both[:, :hidden], both[:, hidden:]
-            carried = carried + back[t]
-            d_candidate = carried * update * (1 - candidate * candidate)
-            d_gated = d_candidate @ net.state[:, 2 * hidden :].T
-            d_both = np.concatenate([d_gated * previous, carried * (candidate - previous)], axis=1) * both * (1 - both)
-            to_inputs[t, :, : 2 * hidden], to_inputs[t, :, 2 * hidden :] = d_both, d_candidate
-            state_gradient[:, : 2 * hidden] += previous.T @ d_both
-            state_gradient[:, 2 * hidden :] += gated.T @ d_candidate
-            carried = carried * (1 - update) + d_gated * reset + d_both @ net.state[:, : 2 * hidden].T
-            carried[first[t]] = 0
-        flat_inputs, ids = to_inputs.reshape(-1, 3 * hidden), inputs.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        rows, starts = np.unique(ids[order], return_index=True)
-        self.apply("gates", np.add.reduceat(flat_inputs[order], starts, axis=0), rows)
+            carried += back[t]
+            np.multiply(carried, by_candidate[t], out=to_gates[t, 2 * hidden :])
+            d_gated = from_candidate @ to_gates[t, 2 * hidden :]
+            np.multiply(d_gated, by_reset[t], out=to_gates[t, :hidden])
+            np.multiply(carried, by_update[t], out=to_gates[t, hidden : 2 * hidden])
+            carried *= kept[t]
+            d_gated *= reset[t]
+            carried += d_gated
+            carried += from_both @ to_gates[t, : 2 * hidden]
+            if begins[t]:
+                carried[:, first[t]] = 0
+        lanes_first = to_gates.transpose(0, 2, 1)
+        by_both = previous @ lanes_first[:, :, : 2 * hidden]
+        by_candidate = gated @ lanes_first[:, :, 2 * hidden :]
+        state_gradient = np.concatenate([by_both.sum(axis=0), by_candidate.sum(axis=0)], axis=1)
+        by_token = lanes_first.reshape(-1, 3 * hidden)
+        self.apply("gates", *row_sums(by_token, inputs.reshape(-1), len(net.gates)))
         self.apply("state", state_gradient)
-        self.apply("bias", flat_inputs.sum(axis=0))
-        return state
+        self.apply("bias", to_gates.sum(axis=2).sum(axis=0))
+        return states[-1]
 
     def _output(self, states: np.ndarray, targets: np.ndarray, total: int) -> np.ndarray:
-        """Updates the output weights; returns the gradient of the states."""
-        net, scale = self.network, np.float32(32.0 / total)
+        """Updates the output weights; returns the gradient of the states. `states` ends with a column of ones, by which a product adds the bias."""
+        net, scale, hidden = self.network, np.float32(32.0 / total), states.shape[1] - 1
         classes = self.vocabulary.class_of(targets)
-        scores = states @ net.to_class
-        scores += net.class_bias
-        scores -= scores.max(axis=1, keepdims=True)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(axis=1, keepdims=True)
-        scores[np.arange(len(scores)), classes] -= 1
-        scores *= scale
+        to_class = np.vstack([net.to_class, net.class_bias])
+        scores, factor = softmax_errors(lambda: states @ to_class, classes, scale)
         back = scores @ net.to_class.T
-        self.apply("to_class", states.T @ scores)
-        self.apply("class_bias", scores.sum(axis=0))
-        # Words of classes that do not occur get a gradient of zero, which changes nothing.
-        to_word, word_bias = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
-        for rows, words in net._by_class(self.vocabulary, targets, classes):
-            weights, here = net.to_word[words], states[rows]
-            scores = here @ weights.T
-            scores += net.word_bias[words]
-            scores -= scores.max(axis=1, keepdims=True)
-            np.exp(scores, out=scores)
-            scores /= scores.sum(axis=1, keepdims=True)
-            scores[np.arange(len(rows)), targets[rows] - words.start] -= 1
-            scores *= scale
-            back[rows] += scores @ weights
-            np.matmul(scores.T, here, out=to_word[words])
-            scores.sum(axis=0, out=word_bias[words])
-        self.apply("to_word", to_word)
-        self.apply("word_bias", word_bias)
+        back *= factor
+        gradient = (states * factor).T @ scores
+        self.apply("to_class", gradient[:-1])
+        self.apply("class_bias", gradient[-1])
+        # The words of all classes that occur; a class that does not gets a gradient of zero, which changes nothing.
+        order, edges = net._by_class(self.vocabulary, targets, classes)
+        here, to_word = states[order], net.words_by_class()
+        parts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+
+        def word_scores() -> np.ndarray:
+            out = np.empty((len(order), CLASS_WORDS), np.float32)
+            for c, part in parts:
+                np.matmul(here[part], to_word[c], out=out[part])
+            return out
+
+        gradient = np.zeros((len(to_word), CLASS_WORDS, hidden + 1), np.float32)
+        if parts:
+            scores, factor = softmax_errors(word_scores, targets[order] % CLASS_WORDS, scale)
+            here *= factor
+            to_states, net_words = np.empty((len(order), hidden), np.float32), net.to_word.reshape(-1, CLASS_WORDS, hidden)
+            for c, part in parts:
+                np.matmul(scores[part].T, here[part], out=gradient[c])
+                np.matmul(scores[part], net_words[c], out=to_states[part])
+            to_states *= factor
+            back[order] += to_states
+        gradient = gradient.reshape(-1, hidden + 1)
+        self.apply("to_word", gradient[:, :-1].copy())
+        self.apply("word_bias", gradient[:, -1].copy())
         return back
 
 
+def row_sums(values: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the rows of each id that occurs, these ids); ids are smaller than `count`.
+
+    Ids that occur often are summed run by run, all others row after row together.
+    """
+    times = np.bincount(ids, minlength=count)
+    rows = np.flatnonzero(times)
+    times = times[rows]
+    order, starts = sorted_places(ids, count), np.cumsum(times) - times
+    sums = values[order[starts]]
+    for k in range(1, OFTEN):
+        more = np.flatnonzero((times > k) & (times <= OFTEN))
+        if not len(more):
+            break
+        sums[more] += values[order[starts[more] + k]]
+    often = times > OFTEN
+    if often.any():
+        ends = np.cumsum(times[often])
+        sums[often] = np.add.reduceat(values[order[np.repeat(often, times)]], ends - times[often], axis=0)
+    return sums, rows
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[bytes] = Counter()
 
