@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,36 @@ def test_a_window_updates_each_weight_once(monkeypatch):
     assert changed.min() == 0 and changed.max() == 191
 
 
+def test_words_of_texts_are_found_and_classed_together():
+    texts = [b"", b" \n ", b"a", b" A\x0bb ", b"x\x1cy\x00 Z", "\u00c9\u00a0\u0416. e".encode(), b"\xff\x85 Walking, b", b"b b"]
+    want = [[*common.words(t), b""] for t in texts]
+    assert recurrent.tokens_of(pa.array(texts, pa.binary())).to_pylist() == want
+    parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], names=["text"]) for x in (texts[:3], texts[3:])]
+    (held, words, coded, edges), *more = recurrent._token_batches(iter(parts), 0, 1_000)
+    assert held == parts and not more
+    assert len(words) == len(set(words.to_pylist()))  # each word is classed once
+    assert [words.take(pa.array(x)).to_pylist() for x in np.split(coded, edges[1:-1])] == want
+    vocabulary = recurrent.Vocabulary([b"", b"b", b"a"], [b"ing", b""])
+    by = dict(zip(words.to_pylist(), vocabulary.ids(words).tolist(), strict=True))
+    assert (by[b""], by[b"b"], by[b"a"], by[b"walking,"], by[b"z"]) == (0, 1, 2, 3, 5)
+    assert vocabulary.ids(pa.array([b".!", b"?ing)"], pa.binary())).tolist() == [4, 3]
+    rows = [r for b in recurrent._count(iter(parts)) for r in b.to_pylist()]
+    counts = {w: sum(x.count(w) for x in want) for w in by}
+    assert {r["word"]: r["c"] for r in rows} == counts
+
+
+def test_scoring_keeps_the_states_alone():
+    vocabulary = recurrent.Vocabulary([b"", *(f"w{i}".encode() for i in range(40))], [b"ing"])
+    network = recurrent.Network.start(vocabulary, 6)
+    rng = np.random.default_rng(5)
+    network.bias[:] = rng.standard_normal(18)
+    inputs, first, state = rng.integers(0, 42, (9, 4)), rng.random((9, 4)) < 0.2, rng.standard_normal((6, 4)).astype(np.float32)
+    states, gates, gated = network.run(inputs, first, state)
+    again, last, _ = network.run(inputs, first, state, network.inputs_table())
+    assert np.array_equal(states, again) and np.array_equal(gates[-1], last[0])
+    assert (len(gates), len(gated), len(last)) == (9, 9, 1)
+
+
 def test_rows_of_a_window_are_summed_by_id():
     rng = np.random.default_rng(3)
     ids = np.concatenate([np.full(40, 7), np.full(9, 2), np.full(8, 30), rng.integers(0, 50, 60), [49]])

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +28,17 @@ from tickloom.llm import common
 
 HELD_OUT_OF, HELD_OUT = 5, 1
 END = b""
+MARKS = b".,;:!?)\"'"
 HOT_WORDS = 131_072
 OUTPUT_WORDS = 2_048
 CLASS_WORDS = 64
 ENDINGS = 127
 HIDDEN = 24
 WINDOW = 16
-LANES, TRAIN_LANES = 256, 64
+LANES, TRAIN_LANES = 128, 64
 SAMPLE_DOCS = 2_000
-FLUSH = 300_000
+COUNT_TOKENS = 2_000_000
+FLUSH_TOKENS = 16_384  # of which the output is computed at a time
 CHUNK = 1_024  # columns of a softmax at a time
 BLOCK = 8_192  # weights that are updated at a time, few enough to stay in the processor's cache
 OFTEN = 8  # times an id occurs in a window
@@ -48,7 +50,12 @@ SMOOTH = 0.5
 
 def ending(word: bytes) -> bytes:
     """Last letters of a word before its punctuation, by which rare words are classed."""
-    return word.rstrip(b".,;:!?)\"'")[-3:]
+    return word.rstrip(MARKS)[-3:]
+
+
+def ending_rows(words: pa.Array) -> pa.Array:
+    """`ending` of each of the words, which are binary."""
+    return pc.binary_slice(pc.ascii_rtrim(words.view(pa.utf8()), characters=MARKS.decode()).view(pa.binary()), -3)
 
 
 class Vocabulary:
@@ -60,35 +67,27 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], endings: list[bytes]) -> None:
         self.size = len(words)
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.endings = {e: self.size + i for i, e in enumerate(endings)}
+        self.words, self.endings = pa.array(words, pa.binary()), pa.array(endings, pa.binary())
         self.rest = self.size + len(endings)
         self.inputs = self.rest + 1
         self.word_classes = -(-self.size // CLASS_WORDS)
         self.classes = self.word_classes + len(endings) + 1
+        every = np.arange(self.inputs)
+        self.class_by_id = np.where(every < self.size, every // CLASS_WORDS, self.word_classes + every - self.size)
 
-    def id(self, word: bytes) -> int:
-        found = self.ids.get(word)
-        return self.endings.get(ending(word), self.rest) if found is None else found
+    def ids(self, words: pa.Array) -> np.ndarray:
+        found = places(words, self.words)
+        others = np.flatnonzero(found == self.size)
+        found[others] += places(ending_rows(words.take(pa.array(others))), self.endings)
+        return found
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.size, ids // CLASS_WORDS, self.word_classes + ids - self.size)
-
-
-class Ids(dict):
-    """Network id of a word, remembered."""
+        return self.class_by_id.take(ids)
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = self.vocabulary.id(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > FLUSH:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word in `among`, or its length."""
+    return pc.index_in(words, value_set=among).fill_null(len(among)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Network:
@@ -138,35 +137,51 @@ class Network:
             at += value.size
         return Network(weights)
 
-    def run(self, inputs: np.ndarray, first: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inputs_table(self) -> np.ndarray:
+        """Part of every input in the gates, with the bias; `run` takes half of the reset and update gates."""
+        table = self.gates + self.bias
+        table[:, : 2 * len(self.state)] *= np.float32(0.5)
+        return table
+
+    def run(
+        self, inputs: np.ndarray, first: np.ndarray, state: np.ndarray, table: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(states, gates, gated states) of a window; `inputs` are steps by lanes, all others have the lanes last.
 
         `gates` holds reset, update and candidate one below the other. Where `first`
-        is true a lane starts from zero.
+        is true a lane starts from zero. With the `inputs_table` of these weights the
+        states alone are kept of all steps.
         """
         (steps, width), size = inputs.shape, len(state)
-        added = self.gates[inputs]
-        added += self.bias
-        added = added.transpose(0, 2, 1).copy()
         # 1 / (1 + exp(-x)) is half of tanh(x / 2) and a half.
-        half = np.float32(0.5)
-        added[:, : 2 * size] *= half
+        half, keep = np.float32(0.5), table is None
+        if keep:
+            added = self.gates.take(inputs, axis=0)
+            added += self.bias
+            added[:, :, : 2 * size] *= half
+        else:
+            added = table.take(inputs, axis=0)
+        added = added.transpose(0, 2, 1)
+        if keep:
+            added = added.copy()
         to_both, to_candidate = half * self.state[:, : 2 * size].T, self.state[:, 2 * size :].T.copy()
-        gates = np.empty((steps, 3 * size, width), np.float32)
-        states, gated = np.empty((2, steps, size, width), np.float32)
+        gates = np.empty((steps if keep else 1, 3 * size, width), np.float32)
+        gated = np.empty((len(gates), size, width), np.float32)
+        states = np.empty((steps, size, width), np.float32)
         begins = first.any(axis=1).tolist()
         for t in range(steps):
             if begins[t]:
                 state = np.where(first[t], np.float32(0), state)
-            both, update, candidate, after = gates[t, : 2 * size], gates[t, size : 2 * size], gates[t, 2 * size :], states[t]
-            np.matmul(to_both, state, out=both)
-            both += added[t, : 2 * size]
+            here, now, product, after = added[t], gates[t if keep else 0], gated[t if keep else 0], states[t]
+            both, update, candidate = now[: 2 * size], now[size : 2 * size], now[2 * size :]
+            np.dot(to_both, state, out=both)
+            both += here[: 2 * size]
             np.tanh(both, out=both)
             both *= half
             both += half
-            np.multiply(gates[t, :size], state, out=gated[t])
-            np.matmul(to_candidate, gated[t], out=candidate)
-            candidate += added[t, 2 * size :]
+            np.multiply(now[:size], state, out=product)
+            np.dot(to_candidate, product, out=candidate)
+            candidate += here[2 * size :]
             np.tanh(candidate, out=candidate)
             np.subtract(candidate, state, out=after)
             after *= update
@@ -186,8 +201,8 @@ class Network:
         for low in range(0, len(targets), CHUNK):
             part = slice(low, low + CHUNK)
             out[part] = log_shares(states[part], to_class, classes[part])
-        order, edges = self._by_class(vocabulary, targets, classes)
-        ordered, inside, to_word = states[order], targets[order] % CLASS_WORDS, self.words_by_class()
+        order, edges = self._by_class(vocabulary, classes)
+        ordered, inside, to_word = states.take(order, axis=0), targets[order] % CLASS_WORDS, self.words_by_class()
         found = np.empty(len(order))
         for c in np.flatnonzero(np.diff(edges)).tolist():
             for low in range(edges[c], edges[c + 1], CHUNK):
@@ -205,12 +220,11 @@ class Network:
         return out
 
     @staticmethod
-    def _by_class(vocabulary: Vocabulary, targets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    def _by_class(vocabulary: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """(places of the predicted words, class by class, where each class begins and the last one ends)."""
-        predicted = np.flatnonzero(targets < vocabulary.size)
-        own = classes[predicted]
-        edges = np.cumsum(np.bincount(own, minlength=vocabulary.word_classes))
-        return predicted[sorted_places(own, vocabulary.word_classes)], [0, *edges.tolist()]
+        edges = np.cumsum(np.bincount(classes, minlength=vocabulary.word_classes)[: vocabulary.word_classes]).tolist()
+        # Classes of words are the first ones.
+        return sorted_places(classes, vocabulary.classes)[: edges[-1]], [0, *edges]
 
 
 def sorted_places(ids: np.ndarray, count: int) -> np.ndarray:
@@ -240,13 +254,13 @@ def exponentials(scores: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarr
 def log_shares(states: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row at the place `wanted`; `states` end with a column of ones."""
     _, sums, top = exponentials(lambda: states @ weights)
-    return np.einsum("ij,ij->i", states, weights.T[wanted]) - (np.log(sums) + top)
+    return np.einsum("ij,ij->i", states, weights.T.take(wanted, axis=0)) - (np.log(sums) + top)
 
 
 def softmax_errors(scores: Callable[[], np.ndarray], wanted: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray]:
     """Two arrays whose product is `scale` times the softmax of each row of scores less one at the place `wanted`."""
     found, sums, _ = exponentials(scores)
-    found[np.arange(len(wanted)), wanted] -= sums
+    found.reshape(-1)[np.arange(0, found.size, found.shape[1]) + wanted] -= sums
     return found, (scale / sums)[:, None]
 
 
@@ -310,7 +324,7 @@ def text_logs(network: Network, vocabulary: Vocabulary, texts: list[np.ndarray],
     tokens, first, lengths = streams(texts, count)
     before = previous_tokens(tokens, first)
     logs = np.zeros(tokens.shape, np.float64)
-    state = np.zeros((network.state.shape[0], len(lengths)), np.float32)
+    state, table = np.zeros((network.state.shape[0], len(lengths)), np.float32), network.inputs_table()
     held, targets, places = [], [], []
 
     def flush() -> None:
@@ -327,13 +341,13 @@ def text_logs(network: Network, vocabulary: Vocabulary, texts: list[np.ndarray],
             held.clear(), targets.clear(), places.clear()
 
     for low, part, live in windows(lengths, len(tokens), WINDOW):
-        states, *_ = network.run(before[part], first[part], state[:, : live.shape[1]])
+        states, *_ = network.run(before[part], first[part], state[:, : live.shape[1]], table)
         state = states[-1]
         rows, wanted, on = with_ones(states), tokens[part].reshape(-1), live.reshape(-1)
         held.append(rows if on.all() else rows[on])
         targets.append(wanted if on.all() else wanted[on])
         places.append((low, live))
-        if sum(map(len, targets)) > 65_536:
+        if sum(map(len, targets)) >= FLUSH_TOKENS:
             flush()
     flush()
     out = np.empty(len(texts))
@@ -353,10 +367,10 @@ class Trainer:
     def apply(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         weights, squares = getattr(self.network, name), self.squares[name]
         if not isinstance(rows, slice):
-            held = squares[rows]
+            held = squares.take(rows, axis=0)
             self._change(gradient, held)
             squares[rows] = held
-            weights[rows] -= gradient
+            weights[rows] = np.subtract(weights.take(rows, axis=0), gradient, out=gradient)
             return
         size = max(1, BLOCK * len(gradient) // max(1, gradient.size))
         for low in range(0, len(gradient), size):
@@ -411,13 +425,13 @@ class Trainer:
         for t in reversed(range(steps)):
             carried += back[t]
             np.multiply(carried, by_candidate[t], out=to_gates[t, 2 * hidden :])
-            d_gated = from_candidate @ to_gates[t, 2 * hidden :]
+            d_gated = np.dot(from_candidate, to_gates[t, 2 * hidden :])
             np.multiply(d_gated, by_reset[t], out=to_gates[t, :hidden])
             np.multiply(carried, by_update[t], out=to_gates[t, hidden : 2 * hidden])
             carried *= kept[t]
             d_gated *= reset[t]
             carried += d_gated
-            carried += from_both @ to_gates[t, : 2 * hidden]
+            carried += np.dot(from_both, to_gates[t, : 2 * hidden])
             if begins[t]:
                 carried[:, first[t]] = 0
         lanes_first = to_gates.transpose(0, 2, 1)
@@ -442,14 +456,14 @@ class Trainer:
         self.apply("to_class", gradient[:-1])
         self.apply("class_bias", gradient[-1])
         # The words of all classes that occur; a class that does not gets a gradient of zero, which changes nothing.
-        order, edges = net._by_class(self.vocabulary, targets, classes)
-        here, to_word = states[order], net.words_by_class()
+        order, edges = net._by_class(self.vocabulary, classes)
+        here, to_word = states.take(order, axis=0), net.words_by_class()
         parts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
 
         def word_scores() -> np.ndarray:
             out = np.empty((len(order), CLASS_WORDS), np.float32)
             for c, part in parts:
-                np.matmul(here[part], to_word[c], out=out[part])
+                np.dot(here[part], to_word[c], out=out[part])
             return out
 
         gradient = np.zeros((len(to_word), CLASS_WORDS, hidden + 1), np.float32)
@@ -458,10 +472,10 @@ class Trainer:
             here *= factor
             to_states, net_words = np.empty((len(order), hidden), np.float32), net.to_word.reshape(-1, CLASS_WORDS, hidden)
             for c, part in parts:
-                np.matmul(scores[part].T, here[part], out=gradient[c])
-                np.matmul(scores[part], net_words[c], out=to_states[part])
+                np.dot(scores[part].T, here[part], out=gradient[c])
+                np.dot(scores[part], net_words[c], out=to_states[part])
             to_states *= factor
-            back[order] += to_states
+            back[order] = np.add(to_states, back.take(order, axis=0), out=to_states)
         gradient = gradient.reshape(-1, hidden + 1)
         self.apply("to_word", gradient[:, :-1].copy())
         self.apply("word_bias", gradient[:, -1].copy())
@@ -477,67 +491,78 @@ def row_sums(values: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarra
     rows = np.flatnonzero(times)
     times = times[rows]
     order, starts = sorted_places(ids, count), np.cumsum(times) - times
-    sums = values[order[starts]]
+    sums = values.take(order[starts], axis=0)
     for k in range(1, OFTEN):
         more = np.flatnonzero((times > k) & (times <= OFTEN))
         if not len(more):
             break
-        sums[more] += values[order[starts[more] + k]]
+        sums[more] = sums.take(more, axis=0) + values.take(order[starts[more] + k], axis=0)
     often = times > OFTEN
     if often.any():
         ends = np.cumsum(times[often])
-        sums[often] = np.add.reduceat(values[order[np.repeat(often, times)]], ends - times[often], axis=0)
+        sums[often] = np.add.reduceat(values.take(order[np.repeat(often, times)], axis=0), ends - times[often], axis=0)
     return sums, rows
 
 
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """Words of binary texts as `common.words` finds them, each text with its end, the empty word."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.view(pa.utf8())))
+    # What follows the last blank is the end; a text without words has no blank.
+    with_end = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, "", " "))
+    split = pc.ascii_split_whitespace(with_end)
+    return pa.ListArray.from_arrays(split.offsets, split.values.view(pa.binary()))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+    held, total = [], 0
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"]
-        )
+        counted = pa.chunked_array(held, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "c"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(common.words(text))
-            seen[END] += 1
-        if len(seen) > FLUSH:
+        held.append(tokens_of(batch.column(0)).flatten())
+        total += len(held[-1])
+        if total >= COUNT_TOKENS:
             yield rows()
-            seen.clear()
+            held, total = [], 0
     yield rows()
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array(map(ending, words), pa.binary()), batch.column(1)], names=["ending", "c"])
+        yield pa.RecordBatch.from_arrays([ending_rows(batch.column(0)), batch.column(1)], names=["ending", "c"])
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch], column: int, most: int):
-    """Runs of rows with about `most` tokens: (record batches, word lists with their end)."""
+    """Runs of rows with about `most` tokens: (record batches, distinct words, place of each token among them, edges of the texts)."""
     held, texts, total = [], [], 0
+
+    def run() -> tuple[list[pa.RecordBatch], pa.Array, np.ndarray, np.ndarray]:
+        coded = pa.chunked_array([x.flatten() for x in texts]).dictionary_encode().unify_dictionaries().chunks
+        lengths = [x.value_lengths().to_numpy(zero_copy_only=False) for x in texts]
+        indices = [x.indices.to_numpy(zero_copy_only=False) for x in coded]
+        return held, coded[0].dictionary, np.concatenate(indices), np.cumsum(np.concatenate([[0], *lengths]))
+
     for batch in batches:
         held.append(batch)
-        for text in batch.column(column).to_pylist():
-            found = [*common.words(text), END]
-            texts.append(found)
-            total += len(found)
+        texts.append(tokens_of(batch.column(column)))
+        total += len(texts[-1].flatten())
         if total >= most:
-            yield held, texts
+            yield run()
             held, texts, total = [], [], 0
-    if texts:
-        yield held, texts
+    if total:
+        yield run()
 
 
 def _train(vocabulary: Vocabulary, start: np.ndarray, passes: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(Network.start(vocabulary).filled(start), vocabulary, rate)
-        tokens, kept, ids = 0, [], Ids(vocabulary)
-        for _, words in _token_batches(batches, 0, BATCH_TOKENS):
-            texts = [ids.of(x) for x in words]
+        tokens, kept = 0, []
+        for _, words, coded, edges in _token_batches(batches, 0, BATCH_TOKENS):
+            texts = np.split(vocabulary.ids(words)[coded], edges[1:-1])
             trainer.fit(texts)
-            tokens += sum(map(len, texts))
+            tokens += len(coded)
             if passes > 1:
                 kept.append(texts)
         for _ in range(passes - 1):
@@ -560,19 +585,6 @@ def _averaged(trained: DataFrame, otherwise: np.ndarray) -> np.ndarray:
     return found["weight"].to_numpy(np.float32) if len(found) else otherwise
 
 
-class Codes(Ids):
-    """Network id of a word and, above it, its place among the frequent words."""
-
-    def __init__(self, vocabulary: Vocabulary, hot: dict[bytes, int]) -> None:
-        super().__init__(vocabulary)
-        self.places = {w: i for i, w in enumerate(hot)}
-        self.none = len(hot)
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = self.places.get(word, self.none) << 20 | self.vocabulary.id(word)
-        return value
-
-
 def _score(vocabulary: Vocabulary, flat: np.ndarray, hot: dict[bytes, int], masses: np.ndarray):
     """Per text its sums over frequent words, and its other words with their numbers."""
 
@@ -580,37 +592,31 @@ def _score(vocabulary: Vocabulary, flat: np.ndarray, hot: dict[bytes, int], mass
         network = Network.start(vocabulary).filled(flat)
         row = TaskContext.get().partitionId() << 36
         log_mass = np.log10(np.maximum(masses, SMOOTH))
-        counts = np.fromiter(hot.values(), np.float64, len(hot))
+        hot_words, counts = pa.array(list(hot), pa.binary()), np.fromiter(hot.values(), np.float64, len(hot))
         logs = np.append(np.log10(counts + SMOOTH), 0.0)
-        seen = np.append(counts > 0, False)
-        codes = Codes(vocabulary, hot)
-        for held, texts in _token_batches(batches, 1, BATCH_TOKENS):
-            coded = [codes.of(words) for words in texts]
-            ids = [x & 0xFFFFF for x in coded]
-            scores = text_logs(network, vocabulary, ids)
-            known, hot_logs, rare_logs, cold, cold_n, cold_sizes = [], [], [], [], [], []
-            for words, code, own, score in zip(texts, coded, ids, scores.tolist(), strict=True):
-                place, rare = code >> 20, own >= vocabulary.size
-                log = logs[place]
-                known.append(int(seen[place].sum()))
-                hot_logs.append(float(log.sum()))
-                rare_logs.append(float(log[rare].sum()) + score - float(log_mass[own[rare] - vocabulary.size].sum()))
-                others = Counter(compress(words, (place == codes.none).tolist()))
-                cold += others.keys()
-                cold_n += others.values()
-                cold_sizes.append(len(others))
-            rows = pa.array(np.arange(row, row + len(texts)))
-            row += len(texts)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(cold_sizes)]).astype(np.int32))
+        seen = np.append(counts > 0, False).astype(np.int64)
+        for held, words, coded, edges in _token_batches(batches, 1, BATCH_TOKENS):
+            own, place = vocabulary.ids(words), places(words, hot_words)
+            rare = own >= vocabulary.size
+            inside = np.where(rare, logs[place] - log_mass[np.maximum(own - vocabulary.size, 0)], 0.0)
+            starts, n = edges[:-1], len(edges) - 1
+            scores = text_logs(network, vocabulary, np.split(own[coded], edges[1:-1]))
+            # Distinct words of a text that are not among the frequent ones, with their numbers.
+            cold = np.flatnonzero((place == len(hot))[coded])
+            text = np.searchsorted(edges, cold, side="right") - 1
+            pairs, cold_n = np.unique(text * len(words) + coded[cold], return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(words)).astype(np.int32))
+            rows = pa.array(np.arange(row, row + n))
+            row += n
             yield pa.RecordBatch.from_arrays(
                 [
                     rows,
                     pa.concat_arrays([b.column(0) for b in held]),
-                    pa.array([len(x) for x in texts], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(hot_logs, pa.float64()),
-                    pa.array(rare_logs, pa.float64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(cold, pa.binary())),
+                    pa.array(np.diff(edges), pa.int64()),
+                    pa.array(np.add.reduceat(seen[place][coded], starts), pa.int64()),
+                    pa.array(np.add.reduceat(logs[place][coded], starts), pa.float64()),
+                    pa.array(np.add.reduceat(inside[coded], starts) + scores, pa.float64()),
+                    pa.ListArray.from_arrays(offsets, words.take(pa.array(pairs % len(words)))),
                     pa.ListArray.from_arrays(offsets, pa.array(cold_n, pa.int64())),
                 ],
                 names=["row", "id", "n_tokens", "known", "hot_log", "rare_log", "cold", "cold_n"],
